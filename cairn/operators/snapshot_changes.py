@@ -27,13 +27,14 @@ ORDER_WIDTH = 30 * 86_400
 
 def path_key(path: Column) -> Column:
     """Lower case, `/` only, without a leading `./`."""
-    return F.regexp_replace(F.translate(F.lower(path), "\\", "/"), r"^(\./)+", "")
+    plain = F.translate(F.lower(path), "\\", "/")
+    return F.when(plain.startswith("./"), F.substring(plain, 3, 1 << 30)).otherwise(plain)
 
 
 def digest_value(digest: Column) -> Column:
     """The digest's bytes however they are spelled (case, blanks, an algorithm's name before `:`); null if unknown."""
-    plain = F.regexp_replace(F.lower(F.trim(digest)), r"^[a-z0-9\-]*[:=]\s*", "")
-    return F.when(plain == "", None).when(plain.rlike("^([0-9a-f]{2})+$"), F.unhex(plain)).otherwise(plain.cast("binary"))
+    plain = F.trim(F.substring_index(digest, ":", -1))
+    return F.when(plain != "", F.coalesce(F.unhex(plain), F.lower(plain).cast("binary")))
 
 
 def complete_headers(headers: DataFrame, files: DataFrame) -> DataFrame:
