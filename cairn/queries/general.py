@@ -5,8 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.operators.instants import normalised_instants
 from cairn.operators.snapshot_changes import snapshot_changes
-from cairn.runtime import table
+from cairn.runtime import small, table
+
+
+def written_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_table, record_id, raw, tz_name, locale of every written time that is to be normalised."""
+    project = table(spark, sf_dir, "project").select("id", "root_path", "tz_name", "locale")
+    project = small(project)
+
+    def of(name: str, key: str, raw: str, on: str, to: str) -> DataFrame:
+        rows = table(spark, sf_dir, name).select(F.lit(name).alias("source_table"), F.col(key).alias("record_id"), F.col(raw).cast("string").alias("raw"), F.col(on).alias("_on"))
+        return rows.join(project, rows["_on"] == project[to], "left").select("source_table", "record_id", "raw", "tz_name", "locale")
+
+    runs = of("export_run", "id", "started_at", "project_id", "id")
+    entries = of("legacy_history_entry", "entry_id", "generated_at", "source_root", "root_path")
+    blobs = of("historical_blob", "blob_id", "committed_at", "project_id", "id")
+    return runs.unionByName(entries).unionByName(blobs)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalised_instants(written_times(spark, sf_dir))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +41,7 @@ def p4_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_change_counts": p4_change_counts,
 }
