@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators.instants import normalised_instants
+from cairn.operators.schema_drift import schema_changes, unified_settings
 from cairn.operators.snapshot_changes import snapshot_changes
 from cairn.runtime import small, table
 
@@ -40,7 +41,18 @@ def p4_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.groupBy("snapshot_id").agg(*kinds)
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_changes(table(spark, sf_dir, "legacy_settings"))
+
+
+def p1_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one consistent settings table over all files."""
+    return unified_settings(table(spark, sf_dir, "legacy_settings"))
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_settings": p1_settings,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_change_counts": p4_change_counts,
