@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +14,22 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python this package, once per session, so it needn't be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cairn_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp(prefix="cairn-")) / "cairn.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(to))
+    sc._cairn_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,6 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read again: later stages survive lost executors and don't recompute it."""
+    ship(df.sparkSession)
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/cairn/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
