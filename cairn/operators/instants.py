@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.instants import instant
-from cairn.runtime import cut
+from cairn.runtime import arrow_map, cut
 
 _KEY = ["raw", "tz_name", "locale"]
 _DICTIONARY = "raw string, tz_name string, locale string, utc_us bigint"
@@ -30,7 +30,7 @@ def extend_dictionary(values: DataFrame, path: str | None = None) -> DataFrame:
     """
     distinct = values.select(*_KEY).where(F.col("raw").isNotNull()).distinct()
     if path is None:
-        return cut(distinct.mapInArrow(_parse, _DICTIONARY))
+        return cut(arrow_map(distinct, _parse, _DICTIONARY))
     spark = values.sparkSession
     try:
         known = spark.read.schema(_DICTIONARY).parquet(path)
@@ -38,7 +38,7 @@ def extend_dictionary(values: DataFrame, path: str | None = None) -> DataFrame:
     except Exception:
         known = spark.createDataFrame([], _DICTIONARY)
     new = distinct.alias("n").join(known.alias("k"), [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in _KEY], "left_anti")
-    cut(new.mapInArrow(_parse, _DICTIONARY)).write.mode("append").parquet(path)
+    cut(arrow_map(new, _parse, _DICTIONARY)).write.mode("append").parquet(path)
     return spark.read.schema(_DICTIONARY).parquet(path)
 
 

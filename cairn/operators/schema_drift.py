@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.settings import assign, canonical, fields, parse, similarity
-from cairn.runtime import cut, small
+from cairn.runtime import arrow_map, cut, small
 
 #: Revision numbers of one installation that are put in order together.
 REVISION_WIDTH = 256
@@ -31,7 +31,7 @@ SEEDS = 8
 #: Two names are one setting if this share of the appearances of the rarer one are swaps for the other, at least...
 CONFIDENCE = 0.5
 #: ... in so many revisions, or in one revision if the names are this similar.
-SUPPORT, NAMES_ALIKE = 3, 0.34
+SUPPORT, NAMES_ALIKE = 3, 0.3
 
 _FIELD = "struct<path:string,type:string,digest:string>"
 _FILE = pa.schema([
@@ -62,7 +62,7 @@ def readable_revisions(files: DataFrame) -> DataFrame:
     contents that aren't JSON as a whole are passed over. Of deliveries that differ, the smallest text counts.
     """
     known = files.select(F.col("install_id").cast("long"), F.col("revision").cast("long"), "content").dropna().distinct()
-    read = known.mapInArrow(_read, f"install_id bigint, revision bigint, fields array<{_FIELD}>, content string")
+    read = arrow_map(known, _read, f"install_id bigint, revision bigint, fields array<{_FIELD}>, content string")
     return read.groupBy("install_id", "revision").agg(F.min_by("fields", "content").alias("fields"), F.min("content").alias("content"))
 
 
@@ -97,8 +97,12 @@ def differences(pairs: DataFrame) -> DataFrame:
     return out.where((F.size("gone") > 0) | (F.size("new") > 0) | (F.size("retyped") > 0))
 
 
-_canonical = F.pandas_udf(lambda s: s.map(canonical), "string")
-_similar = F.pandas_udf(lambda a, b: pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64"), "double")
+def _canonical(path: str | Column) -> Column:
+    return F.pandas_udf(lambda s: s.map(canonical), "string")(path)
+
+
+def _similar(a: str, b: str) -> Column:
+    return F.pandas_udf(lambda a, b: pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64"), "double")(a, b)
 
 
 def profiles(revisions: DataFrame) -> DataFrame:
@@ -159,7 +163,7 @@ def meanings(profiled: DataFrame, same: DataFrame) -> DataFrame:
     based = based.select("path", named.alias("seg"))
     # A setting that also stands on its own means the same inside an object that only groups settings.
     alone = names.where(~F.col("path").contains(".")).select(F.col("name").alias("head")).distinct()
-    out = based.join(small(alone), (F.size("seg") > 1) & (F.element_at("seg", 2) == F.col("head")), "left")
+    out = based.join(small(alone), F.try_element_at("seg", F.lit(2)) == F.col("head"), "left")
     meaning = F.when(F.col("head").isNotNull(), F.slice("seg", 2, F.size("seg"))).otherwise(F.col("seg"))
     # Twice, since a spelling inside an object may have a base of its own.
     out = out.select("path", F.array_join(meaning, ".").alias("m"))
@@ -233,7 +237,7 @@ def unified_settings(files: DataFrame) -> DataFrame:
             columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["install_id", "revision", "path", "type", "value"])
 
-    values = revisions.select("install_id", "revision", "content").mapInArrow(texts, "install_id bigint, revision bigint, path string, type string, value string")
+    values = arrow_map(revisions.select("install_id", "revision", "content"), texts, "install_id bigint, revision bigint, path string, type string, value string")
     placed = values.join(small(cut(named)), "path")
     best = placed.groupBy("install_id", "revision", "setting").agg(F.max_by(F.struct("type", "value"), F.struct("files", "path")).alias("v"))
     return best.select("install_id", "revision", "setting", "v.type", "v.value")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,6 +29,12 @@ def ship(spark: SparkSession) -> None:
     sc._cairn_shipped = True
 
 
+def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow with this package at hand in the executors' Python."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
