@@ -97,7 +97,7 @@ def entropy(token: Column) -> Column:
 def entropy_tokens(line: Column) -> Column:
     """token, bits, confidence of every token that looks drawn, in the order of the line."""
     tokens = F.filter(F.regexp_extract_all(line, F.lit(r"[A-Za-z0-9+/=_\-]+"), 0), lambda t: F.length(t) >= 20)
-    rated = F.transform(tokens, lambda t: F.struct(t.alias("token"), entropy(t).alias("bits"), F.substring_index(line, t, 1).alias("prefix")))
+    rated = F.transform(tokens, lambda t: F.struct(t.alias("token"), entropy(t).alias("bits"), F.call_function("substring_index", line, t, F.lit(1)).alias("prefix")))
     n = lambda x: F.length(x["token"])
     hit = F.filter(rated, lambda x: ((n(x) >= 20) & (x["bits"] >= 4.0)) | ((n(x) >= 32) & (x["bits"] >= 3.0)))
 
@@ -105,7 +105,7 @@ def entropy_tokens(line: Column) -> Column:
         strong = ((n(x) >= 40) & (x["bits"] >= 4.8)) | ((n(x) >= 48) & (x["bits"] >= 3.6))
         context = F.rtrim(x["prefix"]).rlike("[=:]$") | x["prefix"].rlike(ASSIGNMENT)
         level = F.when(strong, 1).otherwise(0) + F.when(context, 1).otherwise(0)
-        return F.struct(x["token"].alias("token"), x["bits"].alias("bits"), F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), level + 1).alias("confidence"))
+        return F.struct(x["token"].alias("token"), x["bits"].alias("bits"), F.get(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), level).alias("confidence"))
 
     return F.transform(hit, grade)
 

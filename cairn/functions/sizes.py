@@ -15,7 +15,7 @@ def token_estimate(size: Column) -> Column:
 def format_bytes(size: Column) -> Column:
     out = F.concat(size.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(size >= 1024**k, F.concat(F.format_string("%.2f", size / F.lit(float(1024**k))), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(size >= 1024**k, F.concat(F.format_string("%.2f", F.bround(size / F.lit(float(1024**k)), 2)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

@@ -15,8 +15,8 @@ _COMMENT = r"^(//|/\*|\*|#|<!--|--)"
 
 def split_lines(text: Column) -> Column:
     """The lines of text without their ends; what follows the last line end is a line only if it isn't empty."""
-    pieces = F.split(F.regexp_replace(text, "\n$", ""), "\n")
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.transform(pieces, lambda s: F.regexp_replace(s, "\r$", "")))
+    pieces = F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.transform(pieces, lambda s: F.regexp_replace(s, r"\r\z", "")))
 
 
 def numbered_lines(files: DataFrame, text: str = "text") -> DataFrame:
