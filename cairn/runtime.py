@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only after its rows were counted and found to be at most this many.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 400_000
 
 
 def ship(spark: SparkSession) -> None:
