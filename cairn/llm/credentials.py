@@ -68,7 +68,7 @@ _PLACE = re.compile(
     | redacted | masked | removed | placeholder | replace | change[_\-. ]?(?:me|it|this) | your[_\-. ]|^your | insert | todo | fixme | dummy | sample[_\-]?(?:key|token|secret) | example[_\-.]?(?:key|token|secret|pass|value)|example$ | ^ex[ae]mple
     | ^(?:vault|env|ssm|secretsmanager|arn|kms|file|ref|op|keyring|keychain|sops|doppler|gcp|aws|azure|akv|config|secret|secrets)[:/] | ^(?:aws:)?arn:
     | ^(?:none|null|nil|true|false|yes|no|undefined|void|empty|unset|default|string|str|text|int|integer|number|bool|boolean|object|any|bytes|required|optional|hidden|secret|password|token|test|foo|bar|n/a|tbd|process|prompt|ask|set|get|see)$
-    | ^(?:/|\./|~/|[a-z]:\\) | \.(?:key|pem|age|crt|json|ya?ml|txt|env|gpg|asc|p12|pfx|jks)$ | ^[\w./\-]+/[\w.\-]+\.\w{2,4}$ | ^(?:os|process|sys|env|config|settings|self|this|cfg|vault|secrets)\. | ^!\w+ | ^@\w+ | ^&\w+$
+    | (?-i:^(?:/|\./|~/|[A-Za-z]:\\)[a-z0-9_.\-]*(?:[/\\][a-z0-9_.\-]+)*[/\\]?$) | \.(?:key|pem|age|crt|json|ya?ml|txt|env|gpg|asc|p12|pfx|jks)$ | ^[\w./\-]+/[\w.\-]+\.\w{2,4}$ | ^(?:os|process|sys|env|config|settings|self|this|cfg|vault|secrets)\. | ^!\w+ | ^@\w+ | ^&\w+$
     | ^0+$ | ^1234 | ^(?:abc|qwe)\w{0,4}$ | ^(.)\1{5,}$ | ^\d{1,7}$ | ^\d+(?:\.\d+)?(?:ms|s|m|h|d|kb|mb|gb)?$ | -credentials?$ | ^input\[ | ^ssh-(?:ed25519|rsa)\b | ^ecdsa-
     | ^\$2[abxy]\$ | ^\$(?:argon2|5|6|1)\b | ^sha\d+[-:] | ^md5[-:] | ^data: | -----BEGIN\ (?:[A-Z]+\ )*(?:PUBLIC|CERT) """
 )
@@ -80,7 +80,7 @@ def _words(name: str) -> list[str]:
 
 
 _JOINED = re.compile(
-    r"(?:password|passwd|passwort|passphrase|motdepasse|kennwort|secret|token|credentials?|creds|pwd|(?<=[a-z]{4})pw|(?:"
+    r"(?:password|passwd|passwort|passphrase|motdepasse|kennwort|secret|token|credentials?|creds|pwd|(?<=[a-z]{4})pw|(?:store|key|bind|smtp|db|user|root|admin|ssh|ftp|mail|ldap|proxy|bot|git)pass|bindpw|(?:"
     + "|".join(sorted(KEY_WORDS))
     + r")key|smtppass|dbpass|пароль|pincode)$"
 )
@@ -110,6 +110,9 @@ def placeholder(value: str) -> bool:
     return bool(_PLACE.search(value.strip()))
 
 
+_HEX_TAIL = re.compile(r"^[a-z]+_[a-f]{6}$")
+
+
 def _random(value: str) -> bool:
     """Whether letters look drawn rather than written: capitals inside of words, with hardly any run of small letters."""
     if not (len(value) >= 10 and re.fullmatch(r"[A-Za-z0-9+/=_\-.!@#$%^&*~]+", value)):
@@ -120,7 +123,7 @@ def _random(value: str) -> bool:
 
 def _mixed(value: str) -> bool:
     """Whether a value without quotes can be a credential rather than a word or an expression."""
-    return len(value) >= 4 and (any(c.isdigit() for c in value) or _random(value))
+    return len(value) >= 4 and (any(c.isdigit() for c in value) or _random(value) or bool(_HEX_TAIL.search(value)))
 
 
 def literal(value: str, quoted: bool) -> bool:
@@ -132,7 +135,7 @@ def literal(value: str, quoted: bool) -> bool:
         return False
     if quoted and not any(c.isdigit() for c in v):
         # Words alone are a name or a message; a random string isn't.
-        return _random(v) or bool(re.search(r"[!#%^&*]", v) and len(v) >= 8)
+        return _random(v) or bool(re.search(r"[!#%^&*]", v) and len(v) >= 8) or bool(re.fullmatch(r"[A-Za-z]{10,}", v) and len(re.findall(r"[A-Z]", v)) >= 2 and re.search(r"[a-z]", v)) or bool(_HEX_TAIL.search(v))
     return True
 
 
@@ -161,6 +164,27 @@ _CONTINUED = re.compile(r"""\s*(?:\+|\.|\.\.|&|\\)?\s*(?:\r?\n)?[ \t]*(?:\+\s*)?
 _KEYED = re.compile(r"(?i)\b(?:accountkey|sharedaccesskey|sharedsecretkey)=([A-Za-z0-9+/=]{16,})")
 
 _LOGIN = re.compile(r"(?i)\b(?:authenticate|log_?in|sign_?in|connect|logon)\(([^()\n]*[\"'`]\s*,\s*)[\"'`]([^\"'`\n]+)[\"'`]\s*\)")
+_SQL = re.compile(r"(?i)\b(?:password|identified\s+(?:with\s+\w+\s+)?by(?:\s+password)?)\s+(?:=\s*)?'([^'\n]+)'")
+_DOCKER = re.compile(r"(?i)\b(?:docker|podman|helm|az|oc|nerdctl|skopeo|crane|registry|acr|aws|gcloud|npm)\b[^\n;|&]*?\blogin\b[^\n;|&]*?\s(?:-p|--password)(?:=|\s+)[\"']?([^\s\"'`;|]{4,})")
+_LOG_IN = re.compile(r"(?i)\b(?:log ?in|sign ?in|login|log on|connect|anmelden|zugang)\s+(?:as|with|als|comme|como)?\s*\S+\s+(?:/|:|with|und|and|mit)\s+([^\s\"'`<>]{4,})")
+_PGPASS = re.compile(r"(?<![\w.\-/@])(?:[\w\-]+\.)+[A-Za-z]{2,}:(?:\d{2,5}|\*):[\w\-*]+:[\w\-*]+:([^\s\"'`,;:<>]{4,})")
+# Other commands and files that take a password in a place of their own.
+_PLACES = [
+    re.compile(p)
+    for p in (
+        r"-pass(?:in|out|word)?\s+pass:([^\s\"';|]{4,})",
+        r"\b(?:sqlplus|rman|expdp|impdp|exp|imp)\s+(?:-\w+\s+)*\w+/([^\s@/\"']{4,})@",
+        r"\b(?:smbclient|rpcclient|mount\.cifs|net)\b[^\n]*?\s-U\s+[\"']?[\w\\.]+%([^\s\"']{4,})",
+        r"\bhtpasswd\s+-\w*b\w*\s+(?:-\w+\s+)*\S+\s+\S+\s+[\"']?([^\s\"']{4,})",
+        r"\b(?:zip|unzip|7za?|rar|unrar)\b[^\n|;]*?\s-(?:P\s+|p)([^\s\"'\-]{4,})",
+        r"\b(?:requirepass|masterauth|AUTH(?:\s+PLAIN|\s+LOGIN)?)\s+[\"']?([A-Za-z0-9+/=_!@#$%^&*.\-]{6,})",
+        r"\becho\s+(?:-\w+\s+)?[\"']?\w+:([^\s\"'|]{4,})[\"']?\s*\|\s*(?:sudo\s+)?chpasswd\b",
+        r"\becho\s+(?:-\w+\s+)?[\"']?([^\s\"'|:]{6,})[\"']?\s*\|\s*[^\n]*--password-stdin\b",
+        r"/user:\S+\s+[\"']?([^\s\"'/]{4,})",
+        r"\b(?:add_user|change_password|set_password)\s+[\"']?\w+[\"']?\s+[\"']?([^\s\"']{4,})",
+        r"://([A-Za-z0-9_\-]{20,})@[\w.\-]+",
+    )
+]
 _NETRC = re.compile(r"(?i)\b(?:login|user|account)\s+\S+\s+password\s+[\"']?([^\s\"';]+)")
 _BUILDER = re.compile(rf"""\.(?P<name>{_NAME})\(\s*(?P<v>"[^"\n]*"|'[^'\n]*'|`[^`\n]*`)\s*\)""")
 _PROPERTY = re.compile(rf"""<\w[^<>\n]*\bname=["'](?P<name>{_NAME})["'][^<>\n]*>(?P<v>[^<>\s]+)</""")
@@ -173,11 +197,11 @@ ANCHORS = [
     *(s.lower() for s in TOKEN_STARTS if s not in ("SG.", "sk-")),
     *"sk-ant sk-proj ya29. dop_v1_ shpat_ shpss_ age-secret-key- hooks. passw passp passc passe token secret cred kennwort passwort contrase clave senha "
     "пароль hmac sessionid cookie bearer authorization accountkey accesskey authkey apikey -key _key sig= signature= --user sshpass jwt psk wachtwoord hasło heslo "
-    "pwd ://  mysql redis-cli -----begin mot_de_passe motdepasse sid= :_auth pass= pass: pass\" pass' pass` pass) pass* pass_ _pass -pass pw= pw: pw\" pw' pw` pw) pw* _pw basic_auth".split(),
+    "pwd ://  mysql redis-cli -----begin mot_de_passe motdepasse sid= :_auth pass= pass: pass\" pass' pass` pass) pass* pass_ _pass -pass pw= pw: pw\" pw' pw` pw) pw* _pw -pw basic_auth".split(),
     "api key", "master key", "signing key", "storage key", "license key", "encryption key", "private key", "access key", "account key", "shared key", "smtp pass", "pass for", "pass is", "pass =",
-    "mot de passe", " -u ", "pw =", " pw ", "basic ", *(k + "key" for k in sorted(KEY_WORDS)), "_auth", "-auth", "authenticate(", "login(", "connect(", "auth = (", "auth=(", "auth: (", "auth:", "auth=", "auth\"", "auth'", '"sg.', "'sg.", "=sg.", " sg.", *(c + "sk-" for c in " \"'`=:(,>/"), "\nsk-", "\tsk-",
+    "mot de passe", "pass :", "auth =", "auth :", "auth`", "auth until", "x auth", "xauth", "identified", "pass:", "sqlplus", "rman ", "expdp", "impdp", "smbclient", "rpcclient", "htpasswd", "zip -p", "7z ", "requirepass", "masterauth", "auth plain", "auth login", "chpasswd", "--password-stdin", "/user:", "add_user", "change_password", "log in as", "login as", "sign in as", "anmelden", "docker", "podman", " login ", " -u ", "pw =", " pw ", "basic ", *(k + "key" for k in sorted(KEY_WORDS)), "_auth", "-auth", "authenticate(", "login(", "connect(", "auth = (", "auth=(", "auth: (", "auth:", "auth=", "auth\"", "auth'", '"sg.', "'sg.", "=sg.", " sg.", *(c + "sk-" for c in " \"'`=:(,>/"), "\nsk-", "\tsk-",
 ]
-_TELEGRAM = re.compile(r":[A-Za-z0-9_\-]{35}")
+_TELEGRAM = re.compile(r":(?:[A-Za-z0-9_\-]{35}|\d{2,5}:)")
 
 
 @lru_cache(maxsize=1)
@@ -209,7 +233,7 @@ def anchored_lines(text: str) -> list[tuple[int, int]]:
                 until = len(low) if until < 0 else until
                 hits.add(at + end - (low[end] == "\n"))
         for m in _TELEGRAM.finditer(low):
-            if low[m.start() - 1 : m.start()].isdigit():
+            if low[m.start() - 1 : m.start()].isalnum():
                 hits.add(at + m.start())
     out: dict[int, int] = {}
     for hit in sorted(hits):
@@ -274,9 +298,9 @@ def _line_spans(text: str, at: int, end: int) -> list[tuple[int, int]]:
     for m in _HEADER.finditer(line):
         v = m[2]
         named = m[0].lower().startswith("authorization")
-        if placeholder(v) or not re.search(r"\d", v):
+        if placeholder(v) or m[1].lower() != "basic" and not re.search(r"\d", v) and not _random(v):
             continue
-        if m[1].lower() == "basic" and (_basic(v) or named and len(v) >= 16) or m[1].lower() != "basic" and (named or m[1].lower() == "bearer") and (len(v) >= 16 or named and _mixed(v)):
+        if m[1].lower() == "basic" and (_basic(v) or named and len(v) >= 16 and re.search(r"\d", v)) or m[1].lower() != "basic" and (named or m[1].lower() == "bearer") and (len(v) >= 16 or named and _mixed(v)):
             out.append((at + m.start(2), at + m.end(2)))
     for rx, g in ((_CURL, 2), (_OPTION, 1), (_COOKIE, 1), (_KEYED, 1), (_TUPLE, 2), (_LOGIN, 2)):
         for m in rx.finditer(line):
@@ -306,8 +330,8 @@ def _line_spans(text: str, at: int, end: int) -> list[tuple[int, int]]:
         while m := rx.search(line, pos):
             pos = max(m.start("v"), m.start() + 1)
             name = m["name"]
-            if rx is _ASSIGN and m[0][m.end("c") - m.start() :].lstrip().startswith(",") and not m["c"].strip("])"):
-                continue
+            if rx is _ASSIGN and m[0][m.end("c") - m.start() :].lstrip().startswith(",") and not (m["c"].strip("])") and m["v"][:1] in "\"'`"):
+                continue  # the next argument of a call, not a value
             named_value(name, at + m.start("v"), at + m.end("v"))
     for rx in (_BUILDER, _PROPERTY, _SPACED, _FOR_IS):
         for m in rx.finditer(line):
@@ -320,11 +344,20 @@ def _line_spans(text: str, at: int, end: int) -> list[tuple[int, int]]:
                     out.append((at + m.start("v"), at + m.start("v") + len(v)))
             else:
                 named_value(m["name"], at + m.start("v"), at + m.end("v"))
-    for rx in (_NETRC, _LOOSE):
+    for rx in (_NETRC, _LOOSE, _SQL, _DOCKER, _LOG_IN, _PGPASS):
         for m in rx.finditer(line):
             v = m[1]
             if literal(v, False) or re.search(r"\d", v) and literal(v, True):
                 out.append((at + m.start(1), at + m.end(1)))
+    for rx in _PLACES:
+        for m in rx.finditer(line):
+            v = m[1]
+            if literal(v, False) or re.search(r"\d", v) and literal(v, True) and not re.search(r"[(){}<>]", v):
+                if rx is not _PLACES[-1] or re.search(r"\d", v) and re.search(r"[A-Z]", v) and re.search(r"[a-z]", v):
+                    out.append((at + m.start(1), at + m.end(1)))
+    m = re.search(r"[\"']auth[\"']\s*:\s*[\"']([A-Za-z0-9+/=]{8,})[\"']", line)
+    if m and _basic(m[1]):
+        out.append((at + m.start(1), at + m.end(1)))
     for m in _HTML.finditer(line):
         for n, v in (("name", "v"), ("t", "w"), ("n2", "u")):
             if m[n] and m[v] and secret_name(m[n]) and literal(m[v], True):
@@ -340,7 +373,13 @@ def _line_spans(text: str, at: int, end: int) -> list[tuple[int, int]]:
     for m in _FLAG.finditer(line):
         if secret_name(m[1]) and literal(m[2], False):
             out.append((at + m.start(2), at + m.end(2)))
-    # The name stands on the line before: a list of name and value pairs.
+    # A list of name and value pairs, each on its line: the value stands on the next.
+    m = re.match(rf"""\s*-?\s*["']?(?:name|key)["']?\s*[:=]\s*["']?(?P<name>{_NAME})["']?,?\s*$""", line)
+    if m and secret_name(m["name"]):
+        n = re.compile(r"""\r?\n\s*["']?value["']?\s*[:=]\s*(?P<v>"[^"\n]*"|'[^'\n]*'|[^\s,]+)""").match(text, end)
+        if n:
+            named_value(m["name"], n.start("v"), n.end("v"))
+    # Seen from the value, where only that line has an anchor.
     m = re.match(r"""\s*-?\s*["']?value["']?\s*[:=]\s*(?P<v>"[^"\n]*"|'[^'\n]*'|\S+)""", line)
     if m and at:
         before = text[text.rfind("\n", 0, at - 1) + 1 : at - 1]
@@ -358,6 +397,39 @@ def _line_spans(text: str, at: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
+# A value that stands alone on its line, but for the marks of a comment or a list.
+_ALONE = re.compile(r"^[^\w\n\"'`$\\]{0,5}([A-Za-z0-9][A-Za-z0-9+/=_\-.!@$%^&*?~]{7,63})[ \t]*(?:-->|#\}|\*/)?\r?$", re.M)
+_PASSWORD_SHAPES = re.compile(r"[a-z]{3,}(?:-[a-z]{3,}){1,3}-\d{1,3}|[a-z]{3,}_[0-9a-f]{6}|[A-Z][a-z]{2,}\d{2,4}[a-z]{3,}|[A-Z][a-z]{2,}[.!_@][a-z]{3,}\d{2,4}|[a-z]{3}[!$%?*][A-Z]{4}\d{2}[!$%?*]")
+_NOTE = re.compile(r"(?i)[\"']?\b(?:note|comment|remark|memo|hint|info|description)[\"']?\s*[:=]\s*[\"']([^\"'\s]{8,64})[\"']")
+_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.S)
+
+
+def _drawn_alone(v: str) -> bool:
+    """Whether a value without any context has the shape of a password or was drawn: capitals, small letters and digits mixed."""
+    if _PASSWORD_SHAPES.fullmatch(v):
+        return True
+    if re.search(r"ABCDE|abcde|01234|12345|56789", v):
+        return False
+    if _random(v) and len(v) >= 12 and v.isalnum():
+        return True
+    mixed = re.search(r"[A-Z]", v) and re.search(r"[a-z]", v) and re.search(r"\d", v)
+    if not mixed or len(v) < 11 or placeholder(v) or not re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", v):
+        return False
+    # Words with digits, paths and alphabets have long runs of one kind; drawn values change kind all the time.
+    kinds = re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"\d", "9", v)))
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    return changes >= 0.3 * len(v)
+
+
+def alone(text: str) -> list[tuple[int, int]]:
+    """Spans of values that stand alone on a line outside of key armor and certificates."""
+    found = [m.span(1) for rx in (_ALONE, _NOTE) for m in rx.finditer(text) if _drawn_alone(m[1])]
+    if not found or "-----BEGIN" not in text:
+        return found
+    blocks = [m.span() for m in _BLOCK.finditer(text)]
+    return [(s, e) for s, e in found if not any(a <= s < b for a, b in blocks)]
+
+
 def spans(text: str | None) -> list[tuple[int, int]]:
     """Spans of the literal credentials in text, in order; of spans that overlap, the first and longest counts.
 
@@ -368,6 +440,7 @@ def spans(text: str | None) -> list[tuple[int, int]]:
     found: set[tuple[int, int]] = set()
     for start, end in anchored_lines(text):
         found.update(_line_spans(text, start, end))
+    found.update(alone(text))
     out: list[tuple[int, int]] = []
     for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
         if e > s and (not out or s >= out[-1][1]):
