@@ -145,8 +145,9 @@ def synonyms(pairs: DataFrame, profiled: DataFrame) -> DataFrame:
     files = profiled.groupBy(_canonical("path").alias("name")).agg(F.sum("files").alias("n"))
     base, other = files.select(F.col("name").alias("a"), F.col("n").alias("na")), files.select(F.col("name").alias("b"), F.col("n").alias("nb"))
     rated = both.where(strong).join(base, "a").join(other, "b").where((F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-    # Evidence first, then the values' likeness, then the name.
-    best = F.max_by("a", F.struct("na", "votes", "values", "alike", "a"))
+    # The same last part first, then the name in most files, evidence, and likeness of values and names.
+    leaf = F.substring_index("a", ".", -1) == F.substring_index("b", ".", -1)
+    best = F.max_by("a", F.struct(leaf, "na", "votes", "values", "alike", "a"))
     return rated.groupBy(F.col("b").alias("name")).agg(best.alias("base"))
 
 
