@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import classify, detect, paths, policy, sizes
 from cairn.operators import findings, inventory, lines, redaction
-from cairn.runtime import table
+from cairn.runtime import spread, table
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,11 +101,16 @@ def loc_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def code_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return lines.code_metrics(files(spark, d))
+    return lines.code_metrics(_texts(spark, d, "rel_path", "text"))
+
+
+def _texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Files whose whole texts are gone through."""
+    return spread(files(spark, d).select(*(columns or ("doc_id", "text"))))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return lines.numbered_lines(files(spark, d).select("doc_id", "text"))
+    return lines.numbered_lines(_texts(spark, d))
 
 
 def line_numbers(spark: SparkSession, d: str) -> DataFrame:
@@ -151,15 +156,15 @@ def secret_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_findings(spark: SparkSession, d: str) -> DataFrame:
     """Every finding with its redacted message."""
-    return findings.scan(files(spark, d)).distinct()
+    return findings.scan(_texts(spark, d, "rel_path", "text")).distinct()
 
 
 def scan_summary(spark: SparkSession, d: str) -> DataFrame:
-    return findings.summary(findings.scan(files(spark, d)))
+    return findings.summary(findings.scan(_texts(spark, d, "rel_path", "text")))
 
 
 def fail_on_gate(spark: SparkSession, d: str) -> DataFrame:
-    return findings.gate(findings.scan(files(spark, d)), "high")
+    return findings.gate(findings.scan(_texts(spark, d, "rel_path", "text")), "high")
 
 
 def earlier_finding_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +184,7 @@ def allowlist_screen(spark: SparkSession, d: str) -> DataFrame:
 
 def source_risk_summary(spark: SparkSession, d: str) -> DataFrame:
     """Per source: files, bytes, tokens, lines, and lines with secrets by confidence. The flagship query."""
-    rows = files(spark, d).withColumn("source", F.coalesce("source", F.lit("")))
+    rows = _texts(spark, d, "source", "text", "size").withColumn("source", F.coalesce("source", F.lit("")))
     per_file = rows.select("source", "size", sizes.token_estimate(F.col("size")).alias("tokens"), F.size(lines.split_lines(F.col("text"))).alias("lines"))
     base = per_file.groupBy("source").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.sum("lines").alias("lines"))
     hit = lines.numbered_lines(rows.select("source", "text")).where(F.col("content").rlike(findings.PREFILTER)).withColumn("k", detect.keyword_confidence(F.col("content")))
@@ -189,7 +194,7 @@ def source_risk_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redact_lines(spark: SparkSession, d: str) -> DataFrame:
-    return redaction.redacted_lines(files(spark, d).select("doc_id", "text"))
+    return redaction.redacted_lines(_texts(spark, d))
 
 
 def stable_labels(spark: SparkSession, d: str) -> DataFrame:
