@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.credentials import lines_of, redact, spans
-from cairn.runtime import arrow_map
+from cairn.runtime import arrow_map, spread
 
 #: What replaces a credential.
 MARK = "<REDACTED>"
@@ -37,7 +37,7 @@ def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    return rows.select(F.col(key).cast("long").alias("record_id"), F.col(text).alias("text")).where(F.col("record_id").isNotNull() & (F.length("text") >= 8))
+    return spread(rows.select(F.col(key).cast("long").alias("record_id"), F.col(text).alias("text")).where(F.col("record_id").isNotNull() & (F.length("text") >= 8)))
 
 
 def credential_lines(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.runtime import arrow_map
+from cairn.runtime import arrow_map, spread
 
 #: Vocabulary of byte-level BPE ranks; a parameter of every function here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -69,6 +69,6 @@ def token_counts(documents: DataFrame, keep: tuple[str, ...] = (), vocabulary: s
             columns = [batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.int64()), pa.array(loss, pa.int64())], names=[*batch.schema.names[:-1], "tokens", "loss_tokens"])
 
-    sized = arrow_map(rows, counted, ", ".join(["doc_id bigint", *kept, "tokens bigint", "loss_tokens bigint"]))
+    sized = arrow_map(spread(rows), counted, ", ".join(["doc_id bigint", *kept, "tokens bigint", "loss_tokens bigint"]))
     largest = F.max(F.struct("tokens", "loss_tokens", *keep))
     return sized.groupBy("doc_id").agg(largest.alias("s")).select("doc_id", *(F.col(f"s.{c}").alias(c) for c in keep), "s.tokens", "s.loss_tokens")
