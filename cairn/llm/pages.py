@@ -8,33 +8,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.residue import page
-from cairn.runtime import arrow_map, cut, spread
+from cairn.llm.alignment import SIBLINGS, may_be_open, open_template, places
+from cairn.llm.residue import is_source, page
+from cairn.runtime import arrow_map, cut, small, spread
 
-_PAGE = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("slots", pa.int64()), ("words", pa.int64()), ("template", pa.string())])
+_PAGE = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("slots", pa.int64()), ("words", pa.int64()), ("template", pa.string()), ("open", pa.bool_()), ("signatures", pa.list_(pa.int64()))])
+_PLACE = pa.schema([("signature", pa.int64()), ("place", pa.int64()), ("value", pa.string())])
+_OPEN = pa.schema([("doc_id", pa.int64()), ("slots", pa.int64())])
 
 #: A template needs this many pages before it speaks for those of its pages that show nothing by themselves.
 TEMPLATE_PAGES = 4
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * len(schema), schema)], schema=schema)
+
+
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc, text, lang, path in zip(*(batch.column(k).to_pylist() for k in range(4))):
             p = page(text, lang, path)
-            if p is not None:
-                rows.append((doc, p.kind, p.slots, p.words, p.template))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 5, _PAGE)], schema=_PAGE)
+            judged = (p.kind, p.slots, p.words, p.template) if p is not None else (None,) * 4
+            rows.append((doc, *judged, may_be_open(text) and not is_source(text, lang, path), list(places(text))))
+        yield _batch(rows, _PAGE)
 
 
-def pages(documents: DataFrame) -> DataFrame:
-    """doc_id, kind, slots, words, template of each document that has at most a stray sentence of content.
+def _rows(documents: DataFrame) -> DataFrame:
+    columns = [F.col(c) if c in documents.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "rel_path")]
+    return documents.select(F.col("doc_id").cast("long"), "text", *columns).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+
+
+def scanned(documents: DataFrame) -> DataFrame:
+    """doc_id, kind, slots, words, template, open, signatures of each document; those with content of their own have no kind.
 
+    open: whether it shows what slots hold that were never filled. signatures: those of its frame, to find its siblings.
     documents: doc_id, text, and lang and rel_path if there; other columns are ignored. Null ids and texts are left out.
     """
-    columns = [F.col(c) if c in documents.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "rel_path")]
-    rows = documents.select(F.col("doc_id").cast("long"), "text", *columns).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return arrow_map(spread(rows), _pages, "doc_id bigint, kind string, slots bigint, words bigint, template string")
+    return arrow_map(spread(_rows(documents)), _pages, "doc_id bigint, kind string, slots bigint, words bigint, template string, open boolean, signatures array<bigint>")
+
+
+def pages(documents: DataFrame) -> DataFrame:
+    """doc_id, kind, slots, words, template of each document that has at most a stray sentence of content."""
+    return scanned(documents).where("kind IS NOT NULL").drop("open", "signatures")
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            at = places(text)
+            rows += [(s, k, value) for s in wanted for k, (_, value) in enumerate(at.get(s, []))]
+        yield _batch(rows, _PLACE)
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for doc, text, lang, path, signature, varying in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            slots = open_template(text, signature, {v["place"]: (v["low"], v["high"]) for v in varying}, lang, path)
+            if slots:
+                rows.append((doc, slots))
+        yield _batch(rows, _OPEN)
+
+
+def open_templates(documents: DataFrame, seen: DataFrame) -> DataFrame:
+    """doc_id, slots of the documents that, held against their siblings, are templates with slots that were never filled.
+
+    seen: scanned(documents), cut. Only families of siblings with an open document are aligned. Of each place the
+    least and greatest value are taken, combined before the shuffle, so a template with very many pages isn't one task.
+    """
+    member = seen.select("doc_id", "open", F.explode("signatures").alias("signature")).distinct()
+    families = member.groupBy("signature").agg(F.count("*").alias("n"), F.max("open").alias("any_open")).where((F.col("n") >= SIBLINGS) & F.col("any_open"))
+    member = cut(member.join(small(families.select("signature")), "signature"))
+    texts = _rows(documents).dropDuplicates(["doc_id"])
+    siblings = texts.select("doc_id", "text").join(small(member.groupBy("doc_id").agg(F.collect_set("signature").alias("wanted"))), "doc_id").select("text", "wanted")
+    at = arrow_map(siblings, _places, "signature bigint, place bigint, value string")
+    ends = at.groupBy("signature", "place").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low < high")
+    slots = ends.groupBy("signature").agg(F.collect_list(F.struct("place", "low", "high")).alias("varying"))
+    candidates = texts.join(small(member.where("open").select("doc_id", "signature")), "doc_id").join(slots, "signature")
+    judged = arrow_map(candidates.select("doc_id", "text", "lang", "rel_path", "signature", "varying"), _judged, "doc_id bigint, slots bigint")
+    return judged.groupBy("doc_id").agg(F.max("slots").alias("slots"))
 
 
 def templates(found: DataFrame) -> DataFrame:
@@ -49,10 +103,16 @@ def residue(documents: DataFrame) -> DataFrame:
     """doc_id, kind of the documents without content of their own: template, filler, error or script.
 
     Empty and very short texts, template sources, and texts that quote or handle such things aren't among them.
-    Few documents are such pages at all; only those are cut, counted by template and joined, each once.
+    Few documents are such pages by themselves; those are counted by template and joined, each once. All others are
+    aligned with the documents that share a signature of their frame, and the slots that this shows are judged.
     """
-    found = cut(pages(documents).groupBy("doc_id").agg(F.min(F.struct("kind", "slots", "words", "template")).alias("p")).select("doc_id", "p.*"))
+    seen = cut(scanned(documents))
+    found = cut(seen.where("kind IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("kind", "slots", "words", "template")).alias("p")).select("doc_id", "p.*"))
     known = templates(found).where((F.col("kind") != "") & (F.col("pages") >= TEMPLATE_PAGES) & (F.col("share") > 0.5))
     judged = found.join(known.select("template", F.col("kind").alias("by_template")), "template", "left")
     verdict = F.when(F.col("kind") != "", F.col("kind")).otherwise(F.col("by_template"))
-    return judged.select("doc_id", verdict.alias("kind")).where(F.col("kind").isNotNull())
+    alone = judged.select("doc_id", verdict.alias("kind")).where(F.col("kind").isNotNull())
+    aligned = open_templates(documents, seen).select("doc_id", F.lit("template").alias("kind"))
+    # What a page shows by itself comes first; alignment adds those that show it only beside their siblings.
+    both = alone.withColumn("by", F.lit(0)).unionByName(aligned.withColumn("by", F.lit(1)))
+    return both.groupBy("doc_id").agg(F.min_by("kind", "by").alias("kind"))

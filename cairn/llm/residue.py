@@ -202,6 +202,11 @@ def _skeleton(unit: str) -> str:
     return re.sub(r"\s+", " ", masked)
 
 
+def is_source(text: str, lang: str | None, path: str | None) -> bool:
+    """Whether text is the source of a template, by language, path or control structures."""
+    return (lang or "").strip().lower() in _SOURCE_LANG or bool(path and _SOURCE_PATH.search(path)) or bool(_CONTROL.search(text))
+
+
 def page(text: str | None, lang: str | None = None, path: str | None = None) -> Page | None:
     """What text is as a page, or None if it has content of its own, or is empty or very short.
 
@@ -246,7 +251,7 @@ def page(text: str | None, lang: str | None = None, path: str | None = None) ->
         slots += max(1, len(SLOT.findall(unit))) if kind == "template" else 0
         kept.append(unit)
     skeleton = [_skeleton(unit) for unit in kept]
-    source = (lang or "").strip().lower() in _SOURCE_LANG or bool(path and _SOURCE_PATH.search(path)) or bool(_CONTROL.search(stripped))
+    source = is_source(stripped, lang, path)
     if content > STRAY:
         if not _drawn(low):
             return None

@@ -50,3 +50,13 @@ def test_tables(spark):
 def test_a_template_speaks_for_its_pages(spark):
     found = spark.createDataFrame([(k, "error" if k < 4 else "", 0, 5, "t") for k in range(5)] + [(9, "", 0, 5, "u")], "doc_id long, kind string, slots long, words long, template string")
     assert {(r.template, r.kind, r.pages, r.share) for r in templates(found).collect()} == {("t", "error", 5, 0.8), ("u", "", 1, 1.0)}
+
+
+def test_slots_in_no_known_style_show_beside_siblings(spark):
+    form = "Delivery note\nCustomer: {}\nThis note was made when the parcel left the hall. Keep it until the parcel has been paid in full.\nDear {}, the driver calls before the parcel comes.\nStreet: {}\nPlease hand this note to the driver. It must not be thrown away before the end of the year.\n"
+    filled = [form.format(c, n, s) for c, n, s in (("Harbor Ltd", "Maria", "12 Mill Lane"), ("Quartz Inc", "Jon", "7 Elm Road"), ("Velvet AG", "Pia", "3 High Street"))]
+    blank = form.format("~customer~", "~first name~", "?street?")
+    rows = [(k, t) for k, t in enumerate([*filled, blank, STORY, form.format("Maple KG", "~first name~", "9 Low Street")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert page(blank) is None
+    assert {tuple(r) for r in residue(df).collect()} == {(3, "template")}
