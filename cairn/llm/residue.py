@@ -106,9 +106,21 @@ def _latin(words: list[str]) -> bool:
     return len(low) >= 4 and known >= 0.7 * len(low)
 
 
-def _drawn(low: list[str]) -> bool:
+class _Drawn:
     """Words in the way of filler: long enough, plain letters, no ordinary small word, few words again and again."""
-    return len(low) >= 40 and not any(w in _ORDINARY for w in low) and len(set(low)) <= 0.5 * len(low) and all(w.isalpha() for w in low)
+
+    def __init__(self) -> None:
+        self.words, self.distinct, self.possible = 0, set(), True
+
+    def add(self, unit: str) -> None:
+        low = [w.strip(".,;:!?").lower() for w in unit.split()]
+        self.words += len(low)
+        self.distinct.update(low)
+        # Only these two can't be made good by what follows; the share of distinct words can.
+        self.possible = self.possible and all(w.isalpha() and w not in _ORDINARY for w in low)
+
+    def holds(self) -> bool:
+        return self.possible and self.words >= 40 and len(self.distinct) <= 0.5 * self.words
 
 
 def _blocks(text: str, size: int = 2048) -> Iterator[str]:
@@ -211,7 +223,8 @@ def page(text: str | None, lang: str | None = None, path: str | None = None) ->
     """What text is as a page, or None if it has content of its own, or is empty or very short.
 
     Template sources (by language, path, or control structures) aren't unfilled templates. Nulls and texts of under
-    three words give None, unless they are an error. The scan ends with the first sentence of content too many.
+    three words give None, unless they are an error. The scan ends with the first sentence of content
+    too many, unless all content so far may still be drawn filler.
     """
     if text is None:
         return None
@@ -226,7 +239,7 @@ def page(text: str | None, lang: str | None = None, path: str | None = None) ->
             text = _INNER_BODY.sub("\nPage not found\n", plain)
     counts: dict[str, int] = {}
     told: dict[str, int] = {}
-    content, slots, total, kept, low = 0, 0, 0, [], []
+    content, slots, total, kept, drawn = 0, 0, 0, [], _Drawn()
     trace = False
     for unit in units(text):
         kind = _kind(unit)
@@ -239,11 +252,10 @@ def page(text: str | None, lang: str | None = None, path: str | None = None) ->
                 told[unit] += 1
                 continue
             told[unit] = 1
-            low += [w.strip(".,;:!?").lower() for w in unit.split()]
             content += 1
-            if content > STRAY and not (len(low) < 400 and _drawn(low)):
-                if len(low) >= 40 or any(w in _ORDINARY for w in low):
-                    return None
+            drawn.add(unit)
+            if content > STRAY and not drawn.possible:
+                return None
         else:
             counts[kind] = counts.get(kind, 0) + 1
             if kind == "frame" and not _MENU.match(unit):
@@ -253,7 +265,7 @@ def page(text: str | None, lang: str | None = None, path: str | None = None) ->
     skeleton = [_skeleton(unit) for unit in kept]
     source = is_source(stripped, lang, path)
     if content > STRAY:
-        if not _drawn(low):
+        if not drawn.holds():
             return None
         return Page("filler", 0, total, _digest(skeleton), len(stripped.split()))
     kind = ""

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from cairn.llm.pages import residue, templates
@@ -60,3 +62,11 @@ def test_slots_in_no_known_style_show_beside_siblings(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert page(blank) is None
     assert {tuple(r) for r in residue(df).collect()} == {(3, "template")}
+
+
+def test_drawn_filler_of_any_length():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    text = "\n".join(" ".join(rng.choice(words) for _ in range(12)).capitalize() + "." for _ in range(100))
+    assert page(text).kind == "filler" and page(text[:1500]).kind == "filler"
+    assert page(text + "\n" + STORY) is None
