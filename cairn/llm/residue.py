@@ -17,7 +17,8 @@ from dataclasses import dataclass
 #: Sentences of real content that a page of residue may still have.
 STRAY = 1
 
-_TAG = re.compile(r"<!--(.*?)-->|<(script|style)\b[^>]*>.*?</\2\s*>|</?(?:!doctype|html|head|body|div|p|span|title|center|h[1-6r]|hr|br|ul|ol|li|table|thead|tbody|tr|t[dh]|section|article|main|header|footer|nav|a|b|i|em|strong|small|code|pre|noscript|meta|link|img|form|input|button|label)\b[^<>]*>", re.I | re.S)
+_TAG = re.compile(r"<!--|<(script|style)\b|</?(?:!doctype|html|head|body|div|p|span|title|center|h[1-6r]|hr|br|ul|ol|li|table|thead|tbody|tr|t[dh]|section|article|main|header|footer|nav|a|b|i|em|strong|small|code|pre|noscript|meta|link|img|form|input|button|label)\b[^<>]*>", re.I)
+_CLOSE = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I)}
 _BANNER = re.compile(r"^={3,} ?\S+ ?={3,}$|^[=\-_*#~+\s]{3,}$")
 _LEAD = re.compile(r"^(?:(?:>|//+|/\*+|\*(?= )|#+(?= |$)|--(?= )|;+(?= )|\{#|<!--|[\-*+](?= )|\d+[.)](?= ))\s*)+")
 _TRAIL = re.compile(r"\s*(?:\*/|#\}|-->|\|)\s*$")
@@ -133,16 +134,44 @@ def _blocks(text: str, size: int = 2048) -> Iterator[str]:
         at = end
 
 
-def _untagged(m: re.Match) -> str:
-    if m[1]:
-        return f"\n{m[0]}\n" if SLOT.fullmatch(m[0]) else f"\n{m[1]}\n"
-    return "\n"
+def _untagged(text: str) -> Iterator[str]:
+    """text between its tags, and its comments; scripts and styles are left out with all they hold, however long.
+
+    What is opened and never closed isn't an element; a close that isn't there is looked for once.
+    """
+    at = pos = 0
+    missing: set[str] = set()
+    while m := _TAG.search(text, pos):
+        end, comment = m.end(), ""
+        name = "!--" if m[0] == "<!--" else (m[1] or "").lower()
+        if name and name in missing:
+            pos = end
+            continue
+        if name == "!--":
+            close = text.find("-->", end)
+            stop = close + 3 if close >= 0 else -1
+            if close >= 0:
+                comment = text[m.start() : stop] if SLOT.fullmatch(text, m.start(), stop) else text[end:close]
+        elif name:
+            opened = text.find(">", end)
+            closed = _CLOSE[name].search(text, opened + 1) if opened >= 0 else None
+            stop = closed.end() if closed else -1
+        else:
+            stop = end
+        if stop < 0:
+            missing.add(name)
+            pos = end
+            continue
+        yield text[at : m.start()]
+        yield comment
+        at = pos = stop
+    yield text[at:]
 
 
 def units(text: str) -> Iterator[str]:
     """The units of text, one after the other; lines are cut into sentences unless they are code."""
-    for block in _blocks(text):
-        for line in (_TAG.sub(_untagged, block) if "<" in block else block).split("\n"):
+    for block in (b for piece in (_untagged(text) if "<" in text else (text,)) for b in _blocks(piece)):
+        for line in block.split("\n"):
             bare = _TRAIL.sub("", _LEAD.sub("", line.strip().lstrip("\ufeff"))).strip()
             if not bare or _BANNER.match(bare):
                 continue

@@ -70,3 +70,17 @@ def test_drawn_filler_of_any_length():
     text = "\n".join(" ".join(rng.choice(words) for _ in range(12)).capitalize() + "." for _ in range(100))
     assert page(text).kind == "filler" and page(text[:1500]).kind == "filler"
     assert page(text + "\n" + STORY) is None
+
+
+@pytest.mark.parametrize("element", ["<script>{}</script>", "<style type='text/css'>{}</style>", "<!--\n{}\n-->"])
+def test_elements_of_any_size_are_left_out(element):
+    if element.startswith("<!"):
+        inner = "\n".join("Skip to main content" for _ in range(300))
+    else:
+        inner = "\n".join(f"window.part{k} = load({k}, 'one more piece of the shell');" for k in range(120))
+    text = "<html><head>\n" + element.format(inner) + "\n</head><body><noscript>You need to enable JavaScript to run this app.</noscript></body></html>"
+    assert len(text) > 5000 and page(text).kind == "script"
+
+
+def test_elements_that_are_never_closed():
+    assert page("<!-- <script " * 20_000 + STORY) is None
