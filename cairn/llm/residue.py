@@ -10,6 +10,7 @@ most of its pages show to be an error page or a notice.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -77,9 +78,16 @@ _ERROR = re.compile(
 _ERROR_TAIL = re.compile(
     r"(?i)^(?:try again(?: later)?\b.{0,60}|please try again.{0,40}|try:?|checking the (?:connection|proxy|firewall).{0,20}|(?:reference|ray|incident|request|trace|vorgang|code|detail|host|status|content-length|x-[\w\-]+|ref|id)\b[ :=#\"].{0,80}|go back\b.{0,60}|(?:report|tell|contact)\b.{0,60}|(?:thank you|thanks) for your patience\.?|zurück zur? .{0,30}|vuelva .{0,30}|merci de .{0,40}|wait \d+ \w+.{0,60}|if you think this is a mistake.{0,60}|sign in to see more\.?|file \"[^\"]+\", line \d+.{0,60}|return \w+\(.{0,60}\)|\w+(?:error|missing|exception)\b.{0,80}|the page \S+ could not.{0,80}|reset reason.{0,60}|\S+ said \d+.{0,40}|[\w.\-]+\.(?:test|example|invalid|com|org|net)\b.{0,90})$"
 )
-_BODY = re.compile(r'(?is)^\s*(?:\{\s*"?(?:message|error|detail|status|code|title)"?\s*[:=].{0,300}\}|<\?xml[^>]*>\s*<error>.{0,600}</error>|error:?\s*\{.{0,300}\}|http/\d(?:\.\d)? [45]\d\d\b.{0,400})\s*$')
-#: An error as data, somewhere in a page.
-_INNER_BODY = re.compile(r'(?is)"?error"?\s*:?\s*\{[^{}]{0,200}?\b(?:code|status)"?\s*[=:]\s*"?[45]\d\d\b[^{}]{0,300}\}|\{\s*"?(?:message|error|title|detail)"?\s*[=:][^{}]{0,200}?\b(?:status|code)"?\s*[=:]\s*"?[45]\d\d\b[^{}]{0,300}\}')
+#: How an error as data begins.
+_BODY = re.compile(r'(?i)(?:\{\s*"?(?:message|error|detail|status|code|title)"?\s*[:=]|<\?xml[^<>]*>\s*<error>|error:?\s*\{|http/\d(?:\.\d)? [45]\d\d\b)')
+_PAIR = re.compile(r"""["']?([A-Za-z_][\w\-]*)["']?\s*[:=]\s*("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^\s,;{}\[\]"']+)""", re.S)
+_HEADER_LINE = re.compile(r"[A-Za-z][\w\-]*: ?.*")
+#: An error as data, somewhere in a page: where it begins, and the status it must have.
+_INNER_BODY = re.compile(r'(?i)"?error"?\s*:?\s*\{|\{\s*"?(?:message|error|title|detail)"?\s*[=:]')
+_STATUS = re.compile(r'(?i)\b(?:code|status)"?\s*[=:]\s*"?[45]\d\d\b')
+# What errors as data consist of besides; what else they hold is content if it reads so.
+_ERROR_KEYS = set("message error errors detail details status code title reason description type name statuscode status_code errorcode error_code error_description trace stack stacktrace stack_trace traceback exception cause request_id requestid trace_id timestamp path instance resource".split())
+_SIGN_KEYS = set("message error errors detail details title reason description type name code status statuscode status_code errorcode error_code error_description exception".split())
 _BODY_SIGN = re.compile(r"(?i)[45]\d\d|denied|forbidden|not found|error|unavailable|timeout|archived|no such")
 _MENU = re.compile(r"(?i)^(?:skip to (?:main )?content|menu|search|home|docs|sign (?:in|up|out)|log ?(?:in|out)|overview|pricing|files|history|start|help|status|contact|privacy|terms|cookies|imprint|feedback|about|next|previous|back|[|·•\-–/\s,])+$")
 _CODE = re.compile(r"[;{}]\s*$|^\s*[\w.\[\]\"'\-]+\s*(?:=|:=|\+=)\s*\S|^\s*(?:def|class|import|from|package|func|fn|pub|const|let|var|if|for|while|return|match|SELECT|UPDATE|INSERT|FROM|COPY|RUN|ENV|EXPOSE|export|public|private|static|@\w+)\b.*[({:;=]|\w\(.*\)\s*[;{:]?$|^\s*[\"']?[\w.\-]+[\"']?\s*:\s*(?:[\"'\[{\d]|\S+$)|^\s*\[[\w.\-]+\]$|\{%-?\s*(?:if|for|set|block|end)|\|\s*default\(|^\s*-\s+\w+:|^\s*sed\b|^#!")
@@ -243,6 +251,78 @@ def _skeleton(unit: str) -> str:
     return re.sub(r"\s+", " ", masked)
 
 
+def _pairs(data: object, key: str = "") -> Iterator[tuple[str, str]]:
+    """Key and value of all that data, read from JSON, holds at any depth; items of lists have the list's key."""
+    todo = [(key, data)]
+    while todo:
+        key, value = todo.pop()
+        if isinstance(value, dict):
+            todo += [(str(k), v) for k, v in value.items()]
+        elif isinstance(value, list):
+            todo += [(key, v) for v in value]
+        elif value not in (None, "", False):
+            yield key, str(value)
+
+
+def _read(body: str) -> list[tuple[str, str]]:
+    """The pairs of a body in braces, as JSON or else as names with values."""
+    try:
+        return list(_pairs(json.loads(body)))
+    except (ValueError, RecursionError):
+        return [(m[1], m[2].strip("\"'")) for m in _PAIR.finditer(body)]
+
+
+def _content_units(text: str) -> int:
+    """Sentences of content in text, counted no further than needed."""
+    n = 0
+    for unit in units(text):
+        n += _kind(unit) == "content"
+        if n > STRAY:
+            break
+    return n
+
+
+def _error_body(text: str) -> bool:
+    """Whether text, which begins as an error as data does, is one as a whole and holds nothing else, whatever its length."""
+    low = text[:5].lower()
+    if low == "http/":
+        head, _, body = re.sub(r"\r\n?", "\n", text).partition("\n\n")
+        status, *headers = head.split("\n")
+        body = body.strip()
+        if headers and all(_HEADER_LINE.fullmatch(h) for h in headers):
+            return True  # a response with its headers: all that follows is what it answers
+        rest = "\n".join([*headers, body])
+        return len(status.split()) <= _TITLE_WORDS and (bool(_BODY.match(body) and _error_body(body)) or _content_units(rest) <= STRAY)
+    if low.startswith("<?xml"):
+        return text.lower().endswith("</error>") and bool(_BODY_SIGN.search(text))
+    if not text.endswith("}"):
+        return False
+    pairs = _read(text[text.index("{") :])
+    sign = low.startswith("error") or any(k.lower() in ("error", "errors") or k.lower() in _SIGN_KEYS and _BODY_SIGN.search(v) for k, v in pairs)
+    return sign and _content_units("\n".join(v for k, v in pairs if k.lower() not in _ERROR_KEYS and " " in v)) <= STRAY
+
+
+def _without_inner_bodies(text: str) -> str:
+    """text with a notice in place of each error as data that has an error's status; '' if there is none."""
+    parts, at = [], 0
+    pos, decoder = 0, json.JSONDecoder()
+    while m := _INNER_BODY.search(text, pos):
+        brace = text.index("{", m.start())
+        try:
+            _, stop = decoder.raw_decode(text, brace)
+        except (ValueError, RecursionError):
+            close, opened = text.find("}", brace), text.find("{", brace + 1)
+            stop = close + 1 if close >= 0 and not 0 <= opened < close else -1
+        pos = brace + 1
+        if stop < 0 or not _STATUS.search(text, brace, stop):
+            continue
+        if _content_units("\n".join(v for k, v in _read(text[brace:stop]) if k.lower() not in _ERROR_KEYS and " " in v)) > STRAY:
+            continue
+        parts += [text[at : m.start()], "\nPage not found\n"]
+        at = pos = stop
+    return "".join([*parts, text[at:]]) if parts else ""
+
+
 def is_source(text: str, lang: str | None, path: str | None) -> bool:
     """Whether text is the source of a template, by language, path or control structures."""
     return (lang or "").strip().lower() in _SOURCE_LANG or bool(path and _SOURCE_PATH.search(path)) or bool(_CONTROL.search(text))
@@ -260,12 +340,11 @@ def page(text: str | None, lang: str | None = None, path: str | None = None) ->
     stripped = text.strip().lstrip("﻿").strip()
     if len(stripped) < 12:
         return None
-    if len(stripped) < 1200 and _BODY.match(stripped) and _BODY_SIGN.search(stripped):
+    if _BODY.match(stripped) and _error_body(stripped):
         return Page("error", 0, 1, _digest([_skeleton(stripped)]), len(stripped.split()))
-    if len(stripped) < 2000 and "{" in stripped and _BODY_SIGN.search(stripped):
+    if "{" in stripped and _STATUS.search(stripped):
         plain = re.sub(r"</?(?:p|div|pre|code|span)\b[^<>]*>|^[ \t]*>[ \t]?", "", stripped, flags=re.M)
-        if _INNER_BODY.search(plain):
-            text = _INNER_BODY.sub("\nPage not found\n", plain)
+        text = _without_inner_bodies(plain) or text
     counts: dict[str, int] = {}
     told: dict[str, int] = {}
     content, slots, total, kept, drawn = 0, 0, 0, [], _Drawn()

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -84,3 +85,24 @@ def test_elements_of_any_size_are_left_out(element):
 
 def test_elements_that_are_never_closed():
     assert page("<!-- <script " * 20_000 + STORY) is None
+
+
+TRACE = "\n".join(f"  at worker.step{k} (worker.js:{k}:7)" for k in range(120))
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        (json.dumps({"error": {"code": 503, "message": "Service unavailable", "details": [{"reason": "backend", "trace": TRACE}]}}), "error"),
+        ("<?xml version='1.0'?>\n<Error><Code>NoSuchKey</Code><Message>The key was not found</Message><Trace>" + TRACE + "</Trace></Error>", "error"),
+        ("HTTP/1.1 502 Bad Gateway\nServer: edge\nX-Trace: a\n\n" + TRACE, "error"),
+        ("Upstream said:\n" + json.dumps({"error": {"code": 503, "details": [{"trace": TRACE}]}}), "error"),
+    ],
+)
+def test_errors_as_data_of_any_length(text, kind):
+    assert len(text) > 2000 and page(text).kind == kind
+
+
+def test_data_that_only_names_an_error():
+    p = page(json.dumps({"title": "How the exporter reports an error", "body": STORY}))
+    assert p is None or p.kind == ""
