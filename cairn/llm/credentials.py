@@ -192,14 +192,21 @@ _SPACED = re.compile(rf"(?i)^\W*(?:env|arg|export|set|setx|setenv|define|#define
 _FOR_IS = re.compile(r"(?i)(?<!\w)(?P<name>(?:[^\W\d]+[ _\-]){0,4}?(?:[^\W\d]+))(?:\s+(?:for|of|on|to|in|at|von|für|de|para)\s+(?:the\s+)?[\w.\-/]+)?\s+(?:is|was|ist|lautet|est|es)(?:\s+now|\s+still)?\s+[`\"']?(?P<v>[^\s`\"'<>]+)")
 _LOOSE = re.compile(r"(?i)(?<!\w)(?:token|password|passwd|secret|api[ _]?key|passphrase|credentials?)\s+[`\"']?(?P<v>[^\s`\"'<>]{6,})[`\"']?\s+(?:works|is valid|expires|still|until|lets|opens|gilt|funktioniert)")
 
-# What a line must contain, in lower case, to hold any of the above.
+# What a line must contain, in lower case, to hold any of the above: the least that each grammar can't do without.
+#: Word ends that count only where no letter follows, as in a name's last word; other words begin or hold them too often.
+_LAST_WORDS = ("pass", "pw", "sid")
+#: Token starts that count only where no word, path or number goes before them.
+_FIRST = ("sk-", "sg.")
 ANCHORS = [
-    *(s.lower() for s in TOKEN_STARTS if s not in ("SG.", "sk-")),
-    *"sk-ant sk-proj ya29. dop_v1_ shpat_ shpss_ age-secret-key- hooks. passw passp passc passe token secret cred kennwort passwort contrase clave senha "
-    "пароль hmac sessionid cookie bearer authorization accountkey accesskey authkey apikey -key _key sig= signature= --user sshpass jwt psk wachtwoord hasło heslo "
-    "pwd ://  mysql redis-cli -----begin mot_de_passe motdepasse sid= :_auth pass= pass: pass\" pass' pass` pass) pass* pass_ _pass -pass pw= pw: pw\" pw' pw` pw) pw* _pw -pw basic_auth".split(),
-    "api key", "master key", "signing key", "storage key", "license key", "encryption key", "private key", "access key", "account key", "shared key", "smtp pass", "pass for", "pass is", "pass =",
-    "mot de passe", "pass :", "auth =", "auth :", "auth`", "auth until", "x auth", "xauth", "identified", "pass:", "sqlplus", "rman ", "expdp", "impdp", "smbclient", "rpcclient", "htpasswd", "zip -p", "7z ", "requirepass", "masterauth", "auth plain", "auth login", "chpasswd", "--password-stdin", "/user:", "add_user", "change_password", "log in as", "login as", "sign in as", "anmelden", "docker", "podman", " login ", " -u ", "pw =", " pw ", "basic ", *(k + "key" for k in sorted(KEY_WORDS)), "_auth", "-auth", "authenticate(", "login(", "connect(", "auth = (", "auth=(", "auth: (", "auth:", "auth=", "auth\"", "auth'", '"sg.', "'sg.", "=sg.", " sg.", *(c + "sk-" for c in " \"'`=:(,>/"), "\nsk-", "\tsk-",
+    *(s.lower() for s in TOKEN_STARTS),
+    *(f"{a}k_{b}_" for a in "srp" for b in ("live", "test")),
+    *"ya29. dop_v1_ shpat_ shpss_ shpca_ shppa_ age-secret-key- hooks. -----begin".split(),
+    *sorted(SECRET_WORDS), "passw", "passp", "passc", "passe", "cred", "contrase", "auth", "pincode", "pin code",
+    *(k + c + "key" for k in sorted(KEY_WORDS) for c in ("", " ")), *(c + "key" for c in ("-", "_", ".", "['", '["')),
+    "://", "sig=", "signature=", "bearer", "basic", "-u", ":*:", "identified",
+    *"mysql mariadb mongo redis-cli plink pscp sqlplus smbclient rpcclient htpasswd masterauth chpasswd add_user /user:".split(),
+    "rman ", "rman\t", "exp ", "exp\t", "imp ", "imp\t", "expdp", "impdp", "zip ", "zip\t", "7z ", "7z\t", "7za", "rar ", "rar\t", "requirepass",
+    "login", "log in", "log_in", "logon", "log on", "signin", "sign in", "sign_in", "connect(", "connect ", "connect\t", "anmelden", "zugang",
 ]
 _TELEGRAM = re.compile(r":(?:[A-Za-z0-9_\-]{35}|\d{2,5}:)")
 
@@ -221,6 +228,15 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def _counts(low: str, end: int) -> bool:
+    """Whether the anchor that ends at end stands as it must."""
+    if low.endswith(_LAST_WORDS, 0, end + 1):
+        return not low[end + 1 : end + 2].isalpha()
+    if low.endswith("auth", 0, end + 1):
+        return not (low.startswith("or", end + 1) and low[end + 3 : end + 4] != "i")  # an author
+    return not (low.endswith(_FIRST, 0, end + 1) and end >= 3 and (low[end - 3].isalnum() and low[end - 3].isascii() or low[end - 3] in "_-/+"))
+
+
 def anchored_lines(text: str) -> list[tuple[int, int]]:
     """Start and end of each line with an anchor. Chunks overlap by more than any anchor, so none is cut in two."""
     hits, scan = set(), automaton()
@@ -228,7 +244,7 @@ def anchored_lines(text: str) -> list[tuple[int, int]]:
         low = _lower(text[at : at + CHUNK + OVERLAP])
         until = -1
         for end in scan(low):
-            if end >= until:
+            if end >= until and _counts(low, end):
                 until = low.find("\n", end)
                 until = len(low) if until < 0 else until
                 hits.add(at + end - (low[end] == "\n"))

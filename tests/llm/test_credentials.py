@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from cairn.llm.credentials import CHUNK, lines_of, redact, spans
+from cairn.llm.credentials import CHUNK, KEY_WORDS, SECRET_WORDS, anchored_lines, lines_of, redact, spans
 from cairn.llm.secrets import credential_lines, redacted_texts
 
 rng = random.Random(3)
@@ -71,3 +71,25 @@ def test_tables(spark):
     assert sorted(map(tuple, credential_lines(df, "id", "body", "t").collect())) == [("t", 1, 2), ("t", 4, 1)]
     assert {tuple(r) for r in redacted_texts(df, "id", "body").collect()} == {(1, "k\nTOKEN=<REDACTED>\r\n", 1), (4, "a <REDACTED> b <REDACTED>", 2)}
     assert credential_lines(df.limit(0), "id", "body", "t").count() == 0
+
+
+V = "x1y2" + draw(8)
+HEX = draw(31, "abcdef0123456789") + "7"
+
+
+@pytest.mark.parametrize(
+    "line, value",
+    [
+        (f"note rk_test_{GH[4:24]} here", f"rk_test_{GH[4:24]}"), (f"note shpca_{HEX} here", f"shpca_{HEX}"), (f"note shppa_{HEX} here", f"shppa_{HEX}"), (f"|sk-{GH[4:30]}|", f"sk-{GH[4:30]}"),
+        (f'.dbPass("{V}")', V), (f"<dbPass>{V}</dbPass>", V), (f"dbPass || '{V}'", V), (f"dbPass ?? '{V}'", V), (f"ENV DBPASS {V}", V), (f"the deploy key is {V}", V), (f"webhook key is {V}", V), (f"ssh key is {V}", V), (f"session.key = '{V}'", V),
+        (f"salasana: {V}", V), (f"lösenord: {V}", V), (f"sid: {V}", V), (f"log in with u and {V}", V), (f"unrar x -p{V} a.rar", V), (f"plink -pw {V} h", V), (f"curl -uapp:{V} h", V), (f"db.example.com:*:app:u:{V}", V),
+    ],
+)
+def test_every_grammar_is_reached_through_an_anchor(line, value):
+    text = f"first\n{line}\nlast"
+    assert redact(text, spans(text)) == text.replace(value, "<REDACTED>")
+
+
+def test_anchors_cover_words_and_forms():
+    for name in [*SECRET_WORDS, *(k + c + "key" for k in KEY_WORDS for c in ("", " ", "-", "_", "."))]:
+        assert anchored_lines(f"a\n{name} = 1\nb") == [(2, 6 + len(name))]
