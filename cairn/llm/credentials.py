@@ -142,6 +142,10 @@ def literal(value: str, quoted: bool) -> bool:
 _ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"^(?:\\[nr]|[\s\"'`+,#/*;>|\\\-{}<!]|\$\{?|rem |dnl )*(?:[A-Za-z\-]+: [^\n]{1,80}?(?:\\n|\n)[\s#/*;>\-\"'`+]*)*([A-Za-z0-9+/=]{16,})")
+_ARMOR_MARKS = r"(?:\\[nr]|[\s\"'`+,#*;>|\\\-]|//|rem |dnl )*"
+_ARMOR_LINE = re.compile(rf"{_ARMOR_MARKS}([A-Za-z0-9+/=]+(?:\\[nr][A-Za-z0-9+/=]+)*){_ARMOR_MARKS}")
+_ARMOR_HEADER = re.compile(rf"{_ARMOR_MARKS}[A-Za-z\-]+: ")
+_ARMOR_TAIL = re.compile(rf"(?:{_ARMOR_MARKS}=[A-Za-z0-9+/]{{4}}(?![\w+/]))?{_ARMOR_MARKS}-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _URL = re.compile(r"(?<![A-Za-z0-9])([A-Za-z][A-Za-z0-9+.\-]*)://([^\s/?#:@\"'`<>]*):([^\s/?#\"'`]+?)@(?=[^\s\"'`@]*[A-Za-z0-9\[$<{])")
 _SIGNED = re.compile(r"(?i)[?&;](?:sig|signature|x-amz-signature|x-goog-signature|x-amz-security-token|token|access_token|auth|api_?key|key|secret|code|password|pwd)=([^\s&\"'`<>;]{8,})")
 _HEADER = re.compile(r"(?i)(?<![a-z])(?:authorization[\"'`]?\s*[:=,]\s*[\"'`]?\s*(?:f?[\"'`])?)?(bearer|basic|token|digest)[\s:]+([A-Za-z0-9._~+/=\-]{8,})(?![A-Za-z0-9(<{*])")
@@ -271,15 +275,38 @@ def _unquoted(raw: str) -> tuple[str, bool, int]:
 
 def _joined(text: str, end: int, value: str) -> tuple[str, int]:
     """value with the string pieces that follow at end, and where the last one ends."""
-    for _ in range(8):
-        m = _CONTINUED.match(text, end)
-        if not m or "\n" not in m[0] and not re.search(r"[+.&]", m[0]):
+    pieces = [value]
+    while m := _CONTINUED.match(text, end):
+        if "\n" not in m[0] and not re.search(r"[+.&]", m[0]):
             break
         close = text.find(m[1], m.end())
         if close < 0 or "\n" in text[m.end() : close]:
             break
-        value, end = value + text[m.end() : close], close + 1
-    return value, end
+        pieces.append(text[m.end() : close])
+        end = close + 1
+    return "".join(pieces), end
+
+
+def _armor_end(text: str, end: int) -> int:
+    """Where the key ends whose first line ends at end: after all lines of headers and body that follow, and the END line."""
+    at, body = end, False
+    while at < len(text):
+        stop = text.find("\n", at + 1)
+        stop = len(text) if stop < 0 else stop
+        line = text[at:stop]
+        if m := _ARMOR_END.search(line):
+            return at + m.end()
+        m = _ARMOR_LINE.fullmatch(line)
+        if m and (body or len(m[1]) >= 16):
+            end, body = at + m.end(1), True
+            if len(m[1]) < 16 and not m[1].startswith("="):
+                # The last line of the body; a checksum or the END line may follow.
+                tail = _ARMOR_TAIL.match(text, stop)
+                return tail.end() if tail else end
+        elif line.strip(" \t\r\n#/*;>\"'`+\\-") and (body or not _ARMOR_HEADER.match(line)):
+            break
+        at = stop
+    return end
 
 
 def _basic(value: str) -> bool:
@@ -299,8 +326,8 @@ def _line_spans(text: str, at: int, end: int) -> list[tuple[int, int]]:
         for m in _ARMOR.finditer(line):
             after = text[at + m.end() : at + m.end() + 4096]
             if _BODY.match(after):
-                stop = _ARMOR_END.search(text, at + m.end())
-                out.append((at + m.start(), stop.end() if stop and stop.start() - at < 1 << 16 else end))
+                stop = _ARMOR_END.search(text, at + m.end(), at + (1 << 16))
+                out.append((at + m.start(), stop.end() if stop else _armor_end(text, end)))
     for m in _TOKEN.finditer(line):
         if "EXAMPLE" not in m[0] and not re.search(r"[xX]{8}|(.)\1{9}", m[0]):
             out.append((at + m.start(), at + m.end()))

@@ -93,3 +93,19 @@ def test_every_grammar_is_reached_through_an_anchor(line, value):
 def test_anchors_cover_words_and_forms():
     for name in [*SECRET_WORDS, *(k + c + "key" for k in KEY_WORDS for c in ("", " ", "-", "_", "."))]:
         assert anchored_lines(f"a\n{name} = 1\nb") == [(2, 6 + len(name))]
+
+
+def test_tokens_of_many_pieces_go_whole():
+    token = "ghp_" + draw(60)
+    text = "token = (\n" + "\n".join(f'    "{token[k : k + 4]}"' for k in range(0, 64, 4)) + "\n)\nx = 1\n"
+    out = redact(text, spans(text))
+    assert not any(token[k : k + 4] in out for k in range(0, 64, 4)) and out.endswith(")\nx = 1\n") and out.count("\n") == text.count("\n")
+
+
+@pytest.mark.parametrize("mark", ["", "# ", "    "])
+@pytest.mark.parametrize("lines, end", [(30, False), (1200, True), (1200, False)])
+def test_keys_that_are_cut_off_or_long_go_whole(mark, lines, end):
+    body = [draw(64) for _ in range(lines)]
+    text = "\n".join(f"{mark}{x}" for x in [ARMOR, *body, *(["-----END RSA PRIVATE " + "KEY-----"] if end else [])]) + "\nThe next line stays."
+    out = redact(text, spans(text))
+    assert not any(b in out for b in body) and out.endswith("\nThe next line stays.") and out.count("\n") == text.count("\n")
