@@ -2,8 +2,8 @@
 
 One Aho-Corasick automaton holds the anchors of all grammars: token prefixes, key armor, URL and header marks and
 the names that credentials are assigned to. It runs once over each chunk of a text; chunks overlap, and the lines
-around its hits go to the grammars, whose spans are absolute and deduplicated. Lines without an anchor are never
-looked at again.
+around its hits go to the grammars, whose spans are absolute and deduplicated. Lines without an anchor aren't looked
+at by the grammars. Values that stand alone have no anchor: a second path, two patterns over the whole text, finds them.
 """
 
 from __future__ import annotations
@@ -441,9 +441,9 @@ def _line_spans(text: str, at: int, end: int) -> list[tuple[int, int]]:
 
 
 # A value that stands alone on its line, but for the marks of a comment or a list.
-_ALONE = re.compile(r"^[^\w\n\"'`$\\]{0,5}([A-Za-z0-9][A-Za-z0-9+/=_\-.!@$%^&*?~]{7,63})[ \t]*(?:-->|#\}|\*/)?\r?$", re.M)
+_ALONE = re.compile(r"^[^\w\n\"'`$\\]{0,5}([A-Za-z0-9][A-Za-z0-9+/=_\-.!@$%^&*?~]{7,})[ \t]*(?:-->|#\}|\*/)?\r?$", re.M)
 _PASSWORD_SHAPES = re.compile(r"[a-z]{3,}(?:-[a-z]{3,}){1,3}-\d{1,3}|[a-z]{3,}_[0-9a-f]{6}|[A-Z][a-z]{2,}\d{2,4}[a-z]{3,}|[A-Z][a-z]{2,}[.!_@][a-z]{3,}\d{2,4}|[a-z]{3}[!$%?*][A-Z]{4}\d{2}[!$%?*]")
-_NOTE = re.compile(r"(?i)[\"']?\b(?:note|comment|remark|memo|hint|info|description)[\"']?\s*[:=]\s*[\"']([^\"'\s]{8,64})[\"']")
+_NOTE = re.compile(r"(?i)[\"']?\b(?:note|comment|remark|memo|hint|info|description)[\"']?\s*[:=]\s*[\"']([^\"'\s]{8,})[\"']")
 _BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.S)
 
 
@@ -464,9 +464,22 @@ def _drawn_alone(v: str) -> bool:
     return changes >= 0.3 * len(v)
 
 
+_DATA = re.compile(r"[^\w\n\"'`$\\]{0,5}[A-Za-z0-9+/=]{60,}[ \t]*\r?")
+
+
+def _in_data(text: str, start: int, end: int) -> bool:
+    """Whether a long line goes on in the line before or after it: encoded data, where no value stands alone."""
+    if end - start < 60:
+        return False
+    before = text[text.rfind("\n", 0, max(0, start - 1)) + 1 : max(0, start - 1)]
+    stop = text.find("\n", end + 1)
+    after = text[end + 1 : len(text) if stop < 0 else stop]
+    return bool(_DATA.fullmatch(before) or _DATA.fullmatch(after))
+
+
 def alone(text: str) -> list[tuple[int, int]]:
     """Spans of values that stand alone on a line outside of key armor and certificates."""
-    found = [m.span(1) for rx in (_ALONE, _NOTE) for m in rx.finditer(text) if _drawn_alone(m[1])]
+    found = [m.span(1) for rx in (_ALONE, _NOTE) for m in rx.finditer(text) if _drawn_alone(m[1]) and not (rx is _ALONE and _in_data(text, *m.span()))]
     if not found or "-----BEGIN" not in text:
         return found
     blocks = [m.span() for m in _BLOCK.finditer(text)]

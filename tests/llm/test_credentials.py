@@ -109,3 +109,10 @@ def test_keys_that_are_cut_off_or_long_go_whole(mark, lines, end):
     text = "\n".join(f"{mark}{x}" for x in [ARMOR, *body, *(["-----END RSA PRIVATE " + "KEY-----"] if end else [])]) + "\nThe next line stays."
     out = redact(text, spans(text))
     assert not any(b in out for b in body) and out.endswith("\nThe next line stays.") and out.count("\n") == text.count("\n")
+
+
+def test_values_of_any_length_that_stand_alone():
+    value = draw(120)
+    assert redact(f"a\n{value}\nb", spans(f"a\n{value}\nb")) == "a\n<REDACTED>\nb"
+    assert redact(f'note: "{value}"', spans(f'note: "{value}"')) == 'note: "<REDACTED>"'
+    assert spans("data\n" + "\n".join(draw(76) for _ in range(5)) + "\nend") == []
