@@ -50,12 +50,14 @@ def explain_verdict(spark: SparkSession, d: str) -> DataFrame:
     return rules.explain(asked, planned, selected).groupBy("verdict").agg(F.count("*").alias("paths"))
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return cut(graph.import_edges(files(spark, d).select("project_id", "rel_path", "text")))
+def import_edges(spark: SparkSession, d: str) -> DataFrame:
+    rows = files(spark, d).select("project_id", "rel_path", "text")
+    modules = manifests.declarations(rows).where("kind = 'module'").select("project", F.col("name").alias("module")).distinct()
+    return graph.import_edges(rows, go_module=modules)
 
 
-def import_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.import_edges(files(spark, d).select("project_id", "rel_path", "text"))
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return cut(import_edges(spark, d))
 
 
 def import_degrees(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,13 @@ def test_store(spark):
 )
 def test_manifests(path, text, want):
     assert manifests.declared(path, text) == want
+
+
+def test_import_edges_of_go_files_are_in_the_query(spark, tmp_path):
+    from cairn.queries import projects
+
+    rows = [(1, 9, "go.mod", "module example/m\n\ngo 1.22\n"), (2, 9, "main.go", 'package main\n\nimport "example/m/pkg"\n'), (3, 9, "pkg/a.go", "package pkg\n")]
+    now = datetime.datetime(2026, 1, 1)
+    full = [(i, t, "go", "s", len(t), p, r, now) for i, p, r, t in rows]
+    spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, project_id long, rel_path string, indexed_at timestamp").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r.source, r.target) for r in projects.import_edges(spark, str(tmp_path)).collect()] == [("main.go", "pkg/a.go")]
