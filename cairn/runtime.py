@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A side is broadcast only after its rows were counted and found to be at most this many.
-BROADCAST_ROWS = 400_000
+#: A side is broadcast only after its bytes were summed up and found to be at most this many.
+BROADCAST_BYTES = 16 << 20
+#: A value is hot if more than one in so many rows has it, so there are at most so many hot values.
+HOT = 10_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -41,31 +45,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if it lies in fewer partitions than there are cores, as a table of one small file does; else df as it is."""
+    """df over all cores if its table lies in fewer files than there are cores, as a small table does; else df as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where none is named (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where none is named, a local one if the master is local, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="cairn-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        plain = tempfile.mkdtemp(prefix="cairn-")
+        atexit.register(shutil.rmtree, plain, True)
+        folder = "file://" + plain
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+_CUT: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read again: later stages survive lost executors and don't recompute it."""
+    """df written once to the shared folder and read again: later stages survive lost executors and don't recompute it.
+
+    The table stays until release(), as lazy results read it.
+    """
     ship(df.sparkSession)
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/cairn/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _CUT.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows (counted, no further than limit), else df as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that cut() wrote; results that still read them can't be used any more."""
+    jvm = spark.sparkContext._jvm
+    for path in _CUT:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _CUT.clear()
+
+
+def _width(df: DataFrame) -> Column:
+    """About how many bytes a row takes: 16 a column, and the length of what isn't of fixed size."""
+    fixed = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp")
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`") if t in ("string", "binary") else F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) for c, t in df.dtypes if t not in fixed]
+    return sum(texts, F.lit(16 * len(df.columns)))
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows take at most limit bytes (summed up), else df as it is."""
+    size = df.agg(F.sum(_width(df))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
+def join_counted(rows: DataFrame, values: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows joined with values on keys (which hold no nulls); count says how many rows have the value.
+
+    A value that a third of all rows share isn't one task: hot values, at most HOT of them, are broadcast, and their
+    rows stay where they are; the others are joined by a shuffle in which no value has more than one in HOT rows.
+    """
+    total = values.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT > total
+    heads = F.broadcast(values.where(hot).drop(count))
+    cold = rows.join(F.broadcast(values.where(hot).select(*keys)), keys, "left_anti").join(values.where(~hot).drop(count), keys)
+    return rows.join(heads, keys).unionByName(cold)
 
 
 def bucketed_positions(df: DataFrame, group: list[str], order: str, width: int, name: str = "pos") -> DataFrame:
