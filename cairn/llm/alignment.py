@@ -11,7 +11,8 @@ import hashlib
 import re
 from difflib import SequenceMatcher
 
-from cairn.llm.residue import STRAY, _kind, is_source, units
+from cairn.llm.anchored import Patterns
+from cairn.llm.residue import _CODE, _LABELLED, STRAY, _kind, is_source, units
 
 #: So many texts with a signature in common are siblings, and so many slots that were never filled make a template.
 SIBLINGS, OPEN_SLOTS = 3, 2
@@ -23,8 +24,14 @@ _MIRROR = str.maketrans("[{<(«‹", "]}>)»›")
 _MARKED = re.compile(r"([^\w\s\"'`“”„.,;:!()*/|=\-]{1,3})\s?([^\W\d]\w{1,40}(?:[ .\-]\w{1,40}){0,3})\s?([^\w\s\"'`“”„.,;:!()*/|=\-]{1,3})")
 _DEFAULT = re.compile(r"(?i)(?:tbd|tba|todo|fixme|unnamed|untitled|change[ _\-]?me|(?:your|insert|enter|add|fill in)[ _\-]\w+(?:[ _\-]\w+){0,2})")
 _BLANK = re.compile(r"[_\-.…?\s]*")
-#: What marked names and defaults show, wherever they stand.
-_OPEN = re.compile(r"[^\w\s\"'`“”„.,;:!()*/|=\-]\s?[^\W\d]\w{1,40}(?:[ .\-]\w{1,40}){0,3}\s?[^\w\s\"'`“”„.,;:!()*/|=\-]|(?i:\b(?:t(?:bd|ba|odo)|fixme|un(?:named|titled)|change[ _\-]?me|your|insert|enter|add|fill in)\b)")
+# Elements of markup, which are marked names too.
+_ELEMENTS = {"html", "head", "body", "div", "p", "span", "title", "a", "b", "i", "em", "br", "hr", "ul", "ol", "li", "tr", "td", "th", "table", "pre", "code", "nav", "main", "strong", "small", "center", "section", "header", "footer", "article", "script", "style", "string", "int", "void", "bool", "str"}
+#: Characters of ASCII that can mark a name.
+_MARKS = frozenset("#$%&+<>?@[\\]^{}~_")
+#: Defaults in the midst of a line, and at the beginning of what follows a label.
+_DEFAULT_WORD = re.compile(r"(?i)\b(?:tbd|tba|todo|fixme|unnamed|untitled|change[ _\-]?me|(?:your|insert|enter) (?:\w+ )?(?:name|title|text|address|company|here))\b")
+_DEFAULT_VALUE = re.compile(r"(?i)\W{0,3}(?:tbd|tba|todo|fixme|unnamed|untitled|change[ _\-]?me|your|insert|enter|add|fill in)\b")
+_DEFAULTS = Patterns({"default": _DEFAULT_WORD.pattern})
 
 
 def lines_of(text: str) -> list[str]:
@@ -32,7 +39,7 @@ def lines_of(text: str) -> list[str]:
 
 
 def _label(line: str) -> str:
-    m = _LABEL.match(line)
+    m = _LABEL.match(line) if ":" in line or "=" in line else None
     return m[1] if m else ""
 
 
@@ -53,39 +60,69 @@ def _digest(kind: str, parts: list[str]) -> int:
     return int.from_bytes(hashlib.blake2b("\n".join([kind, *parts]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+class Frame:
+    """What stays of a text when its template is filled: the signatures of its lines, and the places between them."""
+
+    def __init__(self, text: str):
+        self.lines = lines_of(text)
+        self.labels = [_label(line) for line in self.lines]
+        self.sections = _sections(self.lines, self.labels)
+
+    def signatures(self) -> dict[int, str]:
+        """Signature -> the kind of its places."""
+        if not self.lines:
+            return {}
+        n = 1 if len(self.lines) > 1 else 2
+        begin = [label or " ".join(line.split(None, n)[:n]) for label, line in zip(self.labels, self.lines)]
+        end = [label or " ".join(line.rsplit(None, n)[-n:]) for label, line in zip(self.labels, self.lines)]
+        out = {_digest("begin", begin): "lines", _digest("end", end): "lines"}
+        if len(self.sections) >= 3:
+            out[_digest("heads", [head for head, _ in self.sections])] = "sections"
+        return out
+
+    def places(self, kind: str) -> list[tuple[str, str]]:
+        """Places in order, each a label (or '') and a value."""
+        return self.sections if kind == "sections" else list(zip(self.labels, self.lines))
+
+    def may_be_open(self) -> bool:
+        """Whether enough stands here of what open slots hold; else no alignment can make it a template."""
+        found, defaults = 0, bool(_DEFAULTS.hits("\n".join(self.lines).lower()))
+        for label, line in zip(self.labels, self.lines):
+            signs = _signs(line, defaults)
+            if label:
+                signs += _left_open(label, line[_LABEL.match(line).end() :])
+            if signs and (_LABELLED.match(line) or not _CODE.search(_MARKED.sub("S", line))):
+                found += signs
+                if found >= OPEN_SLOTS:
+                    return True
+        found += sum(_left_open(label, value) for label, value in self.sections)
+        return found >= OPEN_SLOTS
+
+
+def _left_open(label: str, value: str) -> bool:
+    """Whether what follows a label is a blank, a default, or the label again."""
+    if not value or _BLANK.fullmatch(value):
+        return True
+    same = value[0].lower() == label[0].lower() or not value[0].isalnum()
+    return same and _first(value) == _first(label) and _bare(value) == _bare(label) or _DEFAULT_VALUE.match(value) is not None
+
+
+def _signs(line: str, defaults: bool) -> int:
+    """Marked names, but for markup, and words of defaults on a line."""
+    marked = 0
+    if not (line.isascii() and _MARKS.isdisjoint(line)):
+        marked = sum(m[3] == m[1][::-1].translate(_MIRROR) and m[2].lower() not in _ELEMENTS for m in _MARKED.finditer(line))
+    return marked + (1 if defaults and _DEFAULT_WORD.search(line) else 0)
+
+
 def places(text: str) -> dict[int, list[tuple[str, str]]]:
     """Per signature of text: its places in order, each a label (or '') and a value."""
-    lines = lines_of(text)
-    if not lines:
-        return {}
-    n = 1 if len(lines) > 1 else 2
-    labels = [_label(line) for line in lines]
-    by_line = list(zip(labels, lines))
-    out = {
-        _digest("begin", [label or " ".join(line.split()[:n]) for label, line in by_line]): by_line,
-        _digest("end", [label or " ".join(line.split()[-n:]) for label, line in by_line]): by_line,
-    }
-    sections = _sections(lines, labels)
-    if len(sections) >= 3:
-        out[_digest("heads", [head for head, _ in sections])] = sections
-    return out
+    frame = Frame(text)
+    return {signature: frame.places(kind) for signature, kind in frame.signatures().items()}
 
 
 def may_be_open(text: str) -> bool:
-    """Whether text shows enough of what open slots hold; else no alignment can make it a template."""
-    found = 0
-    for _ in _OPEN.finditer(text):
-        found += 1
-        if found >= OPEN_SLOTS:
-            return True
-    lines = lines_of(text)
-    labels = [_label(line) for line in lines]
-    alone = [(label, line[_LABEL.match(line).end() :]) for label, line in zip(labels, lines) if label]
-    for label, value in [*alone, *_sections(lines, labels)]:
-        found += _BLANK.fullmatch(value) is not None or _first(value) == _first(label) and _bare(value) == _bare(label)
-        if found >= OPEN_SLOTS:
-            return True
-    return False
+    return Frame(text).may_be_open()
 
 
 def _bare(text: str) -> str:

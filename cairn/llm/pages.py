@@ -1,4 +1,12 @@
-"""Template residue and error pages over a whole corpus: pages aligned by template, slots judged, verdicts joined back."""
+"""Template residue and error pages over a whole corpus: pages aligned by template, slots judged, verdicts joined back.
+
+1. Each text that has no content of its own is reduced to its template: what shows its kind, with all that varies
+   masked. Pages are counted by template, the template is judged once from what its pages show, and every page has
+   the verdict of its template. Signs that need no language (a status code as a title, scripts named) count only for
+   a template that is repeated.
+2. All other texts are aligned with those that share a signature of their frame: places that vary are slots, and a
+   text whose slots keep names of variables, defaults or blanks was never filled.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.alignment import SIBLINGS, may_be_open, open_template, places
+from cairn.llm.alignment import SIBLINGS, Frame, open_template, places
 from cairn.llm.residue import is_source, page
-from cairn.runtime import arrow_map, cut, small, spread
+from cairn.runtime import arrow_map, cut, join_counted, small, spread
 
-_PAGE = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("slots", pa.int64()), ("words", pa.int64()), ("template", pa.string()), ("open", pa.bool_()), ("signatures", pa.list_(pa.int64()))])
+_PAGE = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("hint", pa.string()), ("slots", pa.int64()), ("words", pa.int64()), ("template", pa.string()), ("open", pa.bool_()), ("signatures", pa.list_(pa.int64()))])
 _PLACE = pa.schema([("signature", pa.int64()), ("place", pa.int64()), ("value", pa.string())])
 _OPEN = pa.schema([("doc_id", pa.int64()), ("slots", pa.int64())])
 
-#: A template needs this many pages before it speaks for those of its pages that show nothing by themselves.
+#: A template that has this many pages is repeated: it speaks for those of its pages that show nothing by themselves.
 TEMPLATE_PAGES = 4
 
 
@@ -29,8 +37,11 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc, text, lang, path in zip(*(batch.column(k).to_pylist() for k in range(4))):
             p = page(text, lang, path)
-            judged = (p.kind, p.slots, p.words, p.template) if p is not None else (None,) * 4
-            rows.append((doc, *judged, may_be_open(text) and not is_source(text, lang, path), list(places(text))))
+            judged = (p.kind, p.hint, p.slots, p.words, p.template) if p is not None else (None,) * 5
+            frame = Frame(text)
+            # A page that shows its kind by itself needs no siblings, but may be one.
+            opened = not (p is not None and p.kind) and not is_source(text, lang, path) and frame.may_be_open()
+            rows.append((doc, *judged, opened, list(frame.signatures())))
         yield _batch(rows, _PAGE)
 
 
@@ -40,17 +51,12 @@ def _rows(documents: DataFrame) -> DataFrame:
 
 
 def scanned(documents: DataFrame) -> DataFrame:
-    """doc_id, kind, slots, words, template, open, signatures of each document; those with content of their own have no kind.
+    """doc_id, kind, hint, slots, words, template, open, signatures of each document; those with content of their own have no kind.
 
     open: whether it shows what slots hold that were never filled. signatures: those of its frame, to find its siblings.
     documents: doc_id, text, and lang and rel_path if there; other columns are ignored. Null ids and texts are left out.
     """
-    return arrow_map(spread(_rows(documents)), _pages, "doc_id bigint, kind string, slots bigint, words bigint, template string, open boolean, signatures array<bigint>")
-
-
-def pages(documents: DataFrame) -> DataFrame:
-    """doc_id, kind, slots, words, template of each document that has at most a stray sentence of content."""
-    return scanned(documents).where("kind IS NOT NULL").drop("open", "signatures")
+    return arrow_map(spread(_rows(documents)), _pages, "doc_id bigint, kind string, hint string, slots bigint, words bigint, template string, open boolean, signatures array<bigint>")
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,27 +98,36 @@ def open_templates(documents: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def templates(found: DataFrame) -> DataFrame:
-    """template, pages, kind, share: the templates of pages, their most frequent kind and its share of their pages."""
-    by_kind = found.groupBy("template", "kind").agg(F.count("*").alias("n"))
-    best = F.max_by(F.struct("kind", "n"), F.struct((F.col("kind") != "").cast("int"), "n", "kind"))
-    out = by_kind.groupBy("template").agg(F.sum("n").alias("pages"), best.alias("b"))
-    return out.select("template", "pages", F.col("b.kind").alias("kind"), (F.col("b.n") / F.col("pages")).alias("share"))
+    """template, pages, kind: each template of pages with the kind that most of its pages show, '' if they show none.
+
+    Most is more than half of them; a template that is repeated may also be known by more than half of its hints.
+    """
+    by_kind = found.groupBy("template", "kind", "hint").agg(F.count("*").alias("n"))
+    most = lambda c: F.max_by(F.struct(c, "n"), F.struct((F.col(c) != "").cast("int"), "n", c))
+    kinds, hints = by_kind.groupBy("template", "kind").agg(F.sum("n").alias("n")), by_kind.groupBy("template", "hint").agg(F.sum("n").alias("n"))
+    by = kinds.groupBy("template").agg(F.sum("n").alias("pages"), most("kind").alias("k"))
+    hinted = hints.groupBy(F.col("template").alias("_t")).agg(most("hint").alias("h"))
+    both = by.join(hinted, F.col("template") == F.col("_t"))
+    verdict = F.when(F.col("k.n") * 2 > F.col("pages"), F.col("k.kind")).otherwise(F.lit(""))
+    by_hint = F.when((F.col("pages") >= TEMPLATE_PAGES) & (F.col("h.n") * 2 > F.col("pages")), F.col("h.hint")).otherwise(F.lit(""))
+    return both.select("template", "pages", F.when(verdict != "", verdict).otherwise(by_hint).alias("kind"))
 
 
 def residue(documents: DataFrame) -> DataFrame:
-    """doc_id, kind of the documents without content of their own: template, filler, error or script.
+    """doc_id, kind, evidence of the documents without content of their own: template, filler, error or script.
 
     Empty and very short texts, template sources, and texts that quote or handle such things aren't among them.
-    Few documents are such pages by themselves; those are counted by template and joined, each once. All others are
-    aligned with the documents that share a signature of their frame, and the slots that this shows are judged.
+    evidence: repeated (its template has TEMPLATE_PAGES pages or more), single (the template of fewer pages shows its
+    kind), slots (held against its siblings it has slots that were never filled). Where the pages of a template
+    disagree, what a page shows by itself counts.
     """
     seen = cut(scanned(documents))
-    found = cut(seen.where("kind IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("kind", "slots", "words", "template")).alias("p")).select("doc_id", "p.*"))
-    known = templates(found).where((F.col("kind") != "") & (F.col("pages") >= TEMPLATE_PAGES) & (F.col("share") > 0.5))
-    judged = found.join(known.select("template", F.col("kind").alias("by_template")), "template", "left")
-    verdict = F.when(F.col("kind") != "", F.col("kind")).otherwise(F.col("by_template"))
-    alone = judged.select("doc_id", verdict.alias("kind")).where(F.col("kind").isNotNull())
-    aligned = open_templates(documents, seen).select("doc_id", F.lit("template").alias("kind"))
-    # What a page shows by itself comes first; alignment adds those that show it only beside their siblings.
+    found = cut(seen.where("kind IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("kind", "hint", "template")).alias("p")).select("doc_id", "p.*"))
+    judged = cut(templates(found)).withColumnsRenamed({"kind": "by_template"})
+    placed = join_counted(found, judged.withColumn("n", F.col("pages")), ["template"], "n")
+    kind = F.when((F.col("pages") < TEMPLATE_PAGES) & (F.col("kind") != ""), F.col("kind")).when(F.col("by_template") != "", F.col("by_template")).otherwise(F.col("kind"))
+    alone = placed.select("doc_id", kind.alias("kind"), F.when(F.col("pages") >= TEMPLATE_PAGES, "repeated").otherwise("single").alias("evidence")).where("kind <> ''")
+    aligned = open_templates(documents, seen).select("doc_id", F.lit("template").alias("kind"), F.lit("slots").alias("evidence"))
+    # What a template shows comes first; alignment adds those that show it only beside their siblings.
     both = alone.withColumn("by", F.lit(0)).unionByName(aligned.withColumn("by", F.lit(1)))
-    return both.groupBy("doc_id").agg(F.min_by("kind", "by").alias("kind"))
+    return both.groupBy("doc_id").agg(F.min_by(F.struct("kind", "evidence"), "by").alias("v")).select("doc_id", "v.*")

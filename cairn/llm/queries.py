@@ -61,8 +61,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents were left out, by kind."""
-    return residue(table(spark, sf_dir, "documents")).groupBy("kind").agg(F.count("*").alias("documents"))
+    """How many documents were left out, by kind and by what showed it."""
+    return residue(table(spark, sf_dir, "documents")).groupBy("kind", "evidence").agg(F.count("*").alias("documents"))
 
 
 def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+
+from cairn.llm.anchored import Patterns
 
 #: Sentences of real content that a page of residue may still have.
 STRAY = 1
@@ -92,12 +95,35 @@ _BODY_SIGN = re.compile(r"(?i)[45]\d\d|denied|forbidden|not found|error|unavaila
 _MENU = re.compile(r"(?i)^(?:skip to (?:main )?content|menu|search|home|docs|sign (?:in|up|out)|log ?(?:in|out)|overview|pricing|files|history|start|help|status|contact|privacy|terms|cookies|imprint|feedback|about|next|previous|back|[|·•\-–/\s,])+$")
 _CODE = re.compile(r"[;{}]\s*$|^\s*[\w.\[\]\"'\-]+\s*(?:=|:=|\+=)\s*\S|^\s*(?:def|class|import|from|package|func|fn|pub|const|let|var|if|for|while|return|match|SELECT|UPDATE|INSERT|FROM|COPY|RUN|ENV|EXPOSE|export|public|private|static|@\w+)\b.*[({:;=]|\w\(.*\)\s*[;{:]?$|^\s*[\"']?[\w.\-]+[\"']?\s*:\s*(?:[\"'\[{\d]|\S+$)|^\s*\[[\w.\-]+\]$|\{%-?\s*(?:if|for|set|block|end)|\|\s*default\(|^\s*-\s+\w+:|^\s*sed\b|^#!")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[\"'(_*`\[<{$#%@A-ZА-ЯÄÖÜÁÉÍÓÚÇ\d])|\s{2,}|\n+")
+_QUOTED = re.compile(r"[\"'`“„«](?:[^\"'`“„«»”\n]{6,})[\"'`”“»]")
+_LABELLED, _SHOWN_ERROR = re.compile(r"^[A-Za-z]+: "), re.compile(r"(?i)traceback|http/")
 _TITLE_WORDS = 7
 _CONTROL = re.compile(r"\{%-?\s*(?:if|for|set|block|macro|end\w+)\b|\{\{[#/]\w+|<%\s*(?:if|for|end)\b|\|\s*default\(")
 _SOURCE_LANG = {"jinja", "jinja2", "j2", "handlebars", "hbs", "erb", "mustache", "liquid", "twig", "ejs", "pug", "velocity", "smarty", "tmpl", "tpl", "gotmpl", "cookiecutter"}
 _SOURCE_PATH = re.compile(r"(?i)\.(?:j2|jinja2?|hbs|erb|mustache|liquid|twig|ejs|pug|vm|tpl|tmpl|gotmpl|in)$|(?:^|[\\/])(?:templates?|cookiecutter[\w\-]*|scaffold(?:ing)?|skeletons?)[\\/]")
 
 
+# Status codes of errors, as titles begin or end with them.
+_STATUS_CODES = {"400", "401", "403", "404", "405", "408", "410", "418", "429", "500", "502", "503", "504"}
+#: A page whose signs are those of no language has at most so many words.
+HINT_WORDS = 60
+_SCRIPTS = re.compile(r"(?i)(?<![\w.])(?:java[ \-]?script|js)(?![\w.])")
+_TITLE = re.compile(r"(?i)<(?:title|h1|noscript)\b")
+
+
+def _hint(kept: list[str], words: int) -> str:
+    """error or script if signs that need no language say so: a status code as a title, or scripts named in prose."""
+    if words > HINT_WORDS or any(_CODE.search(unit) for unit in kept):
+        return ""
+    if any(_SCRIPTS.search(unit) for unit in kept):
+        return "script"
+    for unit in kept:
+        plain = re.findall(r"\w+", unit)
+        if 1 <= len(plain) <= 8 and (plain[0] in _STATUS_CODES or plain[-1] in _STATUS_CODES):
+            return "error"
+    return ""
+
+
 @dataclass
 class Page:
     """A text with at most a stray sentence of content."""
@@ -107,6 +133,7 @@ class Page:
     units: int
     template: str  # digest of the page with all that varies masked
     words: int
+    hint: str = ""  # the kind that signs without words of any language speak for, which counts if the template is repeated
 
 
 def _latin(words: list[str]) -> bool:
@@ -176,6 +203,10 @@ def _untagged(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+def _slot(line: str) -> bool:
+    return _SIGNS.search("slot", line, _SIGNS.hits(line.lower())) is not None
+
+
 def units(text: str) -> Iterator[str]:
     """The units of text, one after the other; lines are cut into sentences unless they are code."""
     for block in (b for piece in (_untagged(text) if "<" in text else (text,)) for b in _blocks(piece)):
@@ -183,32 +214,17 @@ def units(text: str) -> Iterator[str]:
             bare = _TRAIL.sub("", _LEAD.sub("", line.strip().lstrip("\ufeff"))).strip()
             if not bare or _BANNER.match(bare):
                 continue
-            if _CODE.search(bare) and not (has_slot(bare.lower()) and SLOT.search(bare)):
+            if _CODE.search(bare) and not _slot(bare):
                 yield line.strip()
             else:
                 yield from (s.strip() for s in _SENTENCE.split(bare) if s.strip())
 
 
-# What a unit must contain, in lower case, for the patterns above to be tried at all.
-_SLOT_HINTS = tuple("{ < $[ ${ [ % @@ (fill (insert (enter (add (your __ todo( yyyy dd.mm dd/mm mm/dd xxxx tbd tba".split())
-_SCRIPT_HINTS = ("script", "active content", "client-side", "dynamic content")
-_FILLER_HINTS = tuple("placeholder dummy filler sample example text content copy text construction soon describe explain here ... здесь текст ダミー segnaposto prova fittizio relleno platzhalter".split())
-_ERROR_HINTS = tuple(
-    "found loaded available gateway server error requests forbidden unauthorized request timeout time-out too large allowed gone http/ denied required permission blocked banned expired timed limit maintenance back temporarily "
-    "keeps any more in use quota nothing uh oh no bummer argh dang offline service respond reached err_ dns_ connection upstream disconnect database checking verify security captcha unusual wrong broke oops whoops hmm uh-oh sorry ouch yikes find lost nowhere moved removed deleted renamed longer "
-    "exception traceback fatal unable unavailable repository fetch omitted answered such archived private owner seite gefunden verweigert berechtigung erreichbar existiert wartung fehler abgelaufen erreur introuvable accès indisponi réessayer página disponib denegado "
-    "servidor acesso trovata negato gevonden geweigerd ошибк найден недоступ доступ страниц ページ アクセス エラー 找不 无法 拒绝".split()
-) + ("sign in to", "log in to", "log in again", "sign in again")
-
-
-def _holds(low: str, hints: tuple[str, ...]) -> bool:
-    return any(h in low for h in hints)
-
-
-def has_slot(low: str) -> bool:
-    return _holds(low, _SLOT_HINTS) or low.startswith("_")
+#: All that names a kind of residue, behind one automaton of the literals that its patterns can't do without.
+_SIGNS = Patterns({"slot": SLOT.pattern, "script": _NOTICE.pattern, "error": _ERROR.pattern, "filler": _FILLER.pattern}, re.I)
 
 
+@lru_cache(maxsize=1 << 16)
 def _kind(unit: str) -> str:
     """frame, content, tail (what only follows a notice or an error), or the kind of residue."""
     bare = _TRAIL.sub("", _LEAD.sub("", unit)).strip()
@@ -217,30 +233,30 @@ def _kind(unit: str) -> str:
         return "frame"
     if _BLANK.match(bare):
         return "template"
-    low = bare.lower()
-    script, error, filler = _holds(low, _SCRIPT_HINTS), _holds(low, _ERROR_HINTS), _holds(low, _FILLER_HINTS)
+    hits = _SIGNS.hits(bare.lower())
+    groups = {name for name, _ in hits}
     code = bool(_CODE.search(bare))
     told = False
-    if script or error:
-        quoted = re.search(r"[\"'`“„«](?:[^\"'`“„«»”\n]{6,})[\"'`”“»]", bare)
+    if "script" in groups or "error" in groups:
+        quoted = _QUOTED.search(bare)
         told = quoted is not None and bool(_ERROR.search(quoted[0]) or _NOTICE.search(quoted[0]))
-    if not told and (script and len(words) <= 25 and not code and _NOTICE.search(bare) or _NOTICE_TAIL.match(bare)):
+    if not told and ("script" in groups and len(words) <= 25 and not code and _SIGNS.search("script", bare, hits) or _NOTICE_TAIL.match(bare)):
         return "script"
     if len(words) >= 6 and len({w.strip(".,;").lower() for w in words}) <= 2:
         return "filler"
-    if filler and len(words) <= 16 and not code and _FILLER.search(bare) or _STUB.match(bare):
+    if "filler" in groups and len(words) <= 16 and not code and _SIGNS.search("filler", bare, hits) or _STUB.match(bare):
         return "filler"
-    if len(words) <= 24 and has_slot(low) and SLOT.search(bare) and not (_CODE.search(SLOT.sub("S", bare)) and not re.match(r"^[A-Za-z]+: ", bare)):
+    if len(words) <= 24 and "slot" in groups and _SIGNS.search("slot", bare, hits) and not (_CODE.search(SLOT.sub("S", bare)) and not _LABELLED.match(bare)):
         return "template"
-    if error and not told and len(words) <= 26 and not (code and not re.match(r"(?i)traceback|http/", bare)) and _ERROR.search(bare):
+    if "error" in groups and not told and len(words) <= 26 and not (code and not _SHOWN_ERROR.match(bare)) and _SIGNS.search("error", bare, hits):
         return "error"
     if _latin(words):
         return "filler"
     if _ERROR_TAIL.match(bare):
         return "tail"
-    if _CODE.search(unit):
+    if code or _CODE.search(unit):
         return "content"
-    if len(words) <= 3 or len(words) <= _TITLE_WORDS and not re.search(r"[.!?]$", bare):
+    if len(words) <= 3 or len(words) <= _TITLE_WORDS and bare[-1] not in ".!?":
         return "frame"
     return "content"
 
@@ -347,7 +363,7 @@ def page(text: str | None, lang: str | None = None, path: str | None = None) ->
         text = _without_inner_bodies(plain) or text
     counts: dict[str, int] = {}
     told: dict[str, int] = {}
-    content, slots, total, kept, drawn = 0, 0, 0, [], _Drawn()
+    content, slots, total, kept, signs, drawn = 0, 0, 0, [], [], _Drawn()
     trace = False
     for unit in units(text):
         kind = _kind(unit)
@@ -370,7 +386,10 @@ def page(text: str | None, lang: str | None = None, path: str | None = None) ->
                 told[unit] = told.get(unit, 0) + 1
         slots += max(1, len(SLOT.findall(unit))) if kind == "template" else 0
         kept.append(unit)
-    skeleton = [_skeleton(unit) for unit in kept]
+        if kind not in ("frame", "content", "tail"):
+            signs.append(unit)
+    # Titles, menus and a stray sentence differ between pages of one template; what shows its kind doesn't.
+    skeleton = sorted({_skeleton(unit) for unit in signs}) or [_skeleton(unit) for unit in kept]
     source = is_source(stripped, lang, path)
     if content > STRAY:
         if not drawn.holds():
@@ -390,7 +409,11 @@ def page(text: str | None, lang: str | None = None, path: str | None = None) ->
     # The same sentence again and again says nothing.
     if not kind and (_repeated(stripped) or any(n >= 3 and len(u.split()) >= 3 and not _CODE.search(u) for u, n in told.items())):
         kind = "filler"
-    return Page(kind, slots, total, _digest(skeleton), len(stripped.split()))
+    words = len(stripped.split())
+    hint = "" if kind else _hint(kept, words)
+    if hint and _TITLE.search(stripped):
+        kind = hint
+    return Page(kind, slots, total, _digest(skeleton), words, hint)
 
 
 def _repeated(text: str) -> bool:

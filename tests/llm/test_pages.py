@@ -45,14 +45,22 @@ def test_tables(spark):
     notice = "Quelltext der Seite 7 fehlt"
     rows = [(1, STORY, None, 0), (2, "Lorem ipsum dolor sit amet velum.", "text", 1), (2, "Lorem ipsum dolor sit amet velum.", "text", 1), (3, None, None, 2), (None, "blah " * 20, None, 3), (4, "", None, 4), (5, notice, None, 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, template long")
-    assert {tuple(r) for r in residue(df).collect()} == {(2, "filler")}
+    assert {tuple(r) for r in residue(df).collect()} == {(2, "filler", "single")}
     assert residue(df.limit(0)).count() == 0
     assert residue(df.select("doc_id", "text")).count() == 1
 
 
 def test_a_template_speaks_for_its_pages(spark):
-    found = spark.createDataFrame([(k, "error" if k < 4 else "", 0, 5, "t") for k in range(5)] + [(9, "", 0, 5, "u")], "doc_id long, kind string, slots long, words long, template string")
-    assert {(r.template, r.kind, r.pages, r.share) for r in templates(found).collect()} == {("t", "error", 5, 0.8), ("u", "", 1, 1.0)}
+    rows = [(k, "error" if k < 4 else "", "", "t") for k in range(5)] + [(9, "", "error", "u")] + [(20 + k, "", "error", "v") for k in range(4)]
+    found = spark.createDataFrame(rows, "doc_id long, kind string, hint string, template string")
+    assert {(r.template, r.kind, r.pages) for r in templates(found).collect()} == {("t", "error", 5), ("u", "", 1), ("v", "error", 4)}
+
+
+def test_pages_of_any_language_by_their_template(spark):
+    rows = [(k, f"404\n\nSidan /s/{k} hittades inte.\n") for k in range(4)] + [(9, "404\n\nNågonting annat här.\n")]
+    rows += [(20 + k, "Ota JS käyttöön nähdäksesi tämän sivun") for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in residue(df).collect()} == {(k, "error", "repeated") for k in range(4)} | {(20 + k, "script", "repeated") for k in range(4)}
 
 
 def test_slots_in_no_known_style_show_beside_siblings(spark):
@@ -62,7 +70,7 @@ def test_slots_in_no_known_style_show_beside_siblings(spark):
     rows = [(k, t) for k, t in enumerate([*filled, blank, STORY, form.format("Maple KG", "~first name~", "9 Low Street")])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert page(blank) is None
-    assert {tuple(r) for r in residue(df).collect()} == {(3, "template")}
+    assert {tuple(r) for r in residue(df).collect()} == {(3, "template", "slots")}
 
 
 def test_drawn_filler_of_any_length():
