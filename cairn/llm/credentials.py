@@ -141,7 +141,7 @@ def literal(value: str, quoted: bool) -> bool:
 
 _ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_BODY = re.compile(r"^(?:\\[nr]|[\s\"'`+,#/*;>|\\\-{}<!]|\$\{?|rem |dnl )*(?:[A-Za-z\-]+: [^\n]{1,80}?(?:\\n|\n)[\s#/*;>\-\"'`+]*)*([A-Za-z0-9+/=]{16,})")
+_BODY = re.compile(r"(?:\\[nr]|[\s\"'`+,#/*;>|\\\-{}<!]|\$\{?|rem |dnl )*(?:[A-Za-z\-]+: [^\n]{1,80}?(?:\\n|\n)[\s#/*;>\-\"'`+]*)*([A-Za-z0-9+/=]{16,})")
 _ARMOR_MARKS = r"(?:\\[nr]|[\s\"'`+,#*;>|\\\-]|//|rem |dnl )*"
 _ARMOR_LINE = re.compile(rf"{_ARMOR_MARKS}([A-Za-z0-9+/=]+(?:\\[nr][A-Za-z0-9+/=]+)*){_ARMOR_MARKS}")
 _ARMOR_HEADER = re.compile(rf"{_ARMOR_MARKS}[A-Za-z\-]+: ")
@@ -164,7 +164,7 @@ _HTML = re.compile(rf"""(?i)name=["']?(?P<name>{_NAME})["']?[^<>\n]*?value=["'](
 _USE_AS = re.compile(r"(?i)\b(?:use|with|try|nimm|utilise[rz]?|usa)\s+[`\"'](?P<v>[^`\"'\n]+)[`\"']\s+(?:as|for|als|comme|como)\s+(?:the\s+)?(?P<name>(?:[^\W\d]+[ _\-]?){1,5})")
 _PROSE = re.compile(r"(?i)(?<!\w)(?:(?:pass ?(?:word|phrase|code)|passwd|pwd|pin code|api[ _]?key|access token|secret|token|credentials?)\s+(?:is|was|are|=|:|to)(?:\s+now)?|(?:kennwort|passwort|mot de passe|contraseña|senha|clave)(?:\s+(?:ist|lautet|est|es|é))?\s*:?|пароль[^:\n]{0,40}:|login\s+\S+\s*/)\s+[`\"']?(?P<v>[^\s`\"'<>]+)")
 _TUPLE = re.compile(r"""\b(?:auth|credentials|login|basic_auth)\w*\s*[:=(]+\s*\(?\s*["'`]([^"'`\n]+)["'`]\s*,\s*["'`]([^"'`\n]+)["'`]\s*\)?""")
-_CONTINUED = re.compile(r"""\s*(?:\+|\.|\.\.|&|\\)?\s*(?:\r?\n)?[ \t]*(?:\+\s*)?(["'`])""")
+_CONTINUED = re.compile(r"""\s*(?:\+|\.\.?|&)?[ \t]*\\?\s*(?:\+\s*)?[brfuRBFU]{0,2}(["'`])""")
 _KEYED = re.compile(r"(?i)\b(?:accountkey|sharedaccesskey|sharedsecretkey)=([A-Za-z0-9+/=]{16,})")
 
 _LOGIN = re.compile(r"(?i)\b(?:authenticate|log_?in|sign_?in|connect|logon)\(([^()\n]*[\"'`]\s*,\s*)[\"'`]([^\"'`\n]+)[\"'`]\s*\)")
@@ -273,18 +273,42 @@ def _unquoted(raw: str) -> tuple[str, bool, int]:
     return (inner[:-1] if inner.endswith(m[1]) and not inner.endswith("\\" + m[1]) else inner), True, m.end()
 
 
-def _joined(text: str, end: int, value: str) -> tuple[str, int]:
-    """value with the string pieces that follow at end, and where the last one ends."""
-    pieces = [value]
+Pieces = tuple[tuple[int, int], ...]
+
+
+def _joined(text: str, end: int) -> tuple[str, list[tuple[int, int]]]:
+    """The string pieces that follow the one which ends at end, joined, and where each stands between its quotes."""
+    value, pieces = "", []
     while m := _CONTINUED.match(text, end):
         if "\n" not in m[0] and not re.search(r"[+.&]", m[0]):
             break
         close = text.find(m[1], m.end())
         if close < 0 or "\n" in text[m.end() : close]:
             break
-        pieces.append(text[m.end() : close])
+        value += text[m.end() : close]
+        pieces.append((m.end(), close))
         end = close + 1
-    return "".join(pieces), end
+    return value, pieces
+
+
+_KEY_SEGMENT = re.compile(r"[^\"'`\n]+")
+_KEY_LEAD = re.compile(r"\s*(?:(?:#+|//+|\*+(?!/)|;+|>+|--(?!-)|rem\b|dnl\b)\s*)*", re.I)
+
+
+def _key_pieces(text: str, start: int, end: int) -> Pieces:
+    """What of a key stands in text[start:end]: its lines without comment marks, quotes and what joins string pieces."""
+    out = [(start, start)]
+    for m in _KEY_SEGMENT.finditer(text, start, end):
+        s, e = m.span()
+        if s != start:
+            s = min(e, _KEY_LEAD.match(text, s, e).end())
+        while e > s and text[e - 1] in " \t\r":
+            e -= 1
+        if e > s and text[e - 1] == "\\" and text[e : e + 1] in ("\r", "\n", ""):
+            e -= 1  # the line goes on
+        if e > s and re.search(r"\w|-{5}|=", text[s:e]):
+            out.append((s, e))
+    return tuple(out[1:]) if out[1:2] and out[1][0] == start else tuple(out)
 
 
 def _armor_end(text: str, end: int) -> int:
@@ -319,15 +343,21 @@ def _basic(value: str) -> bool:
     return bool(sep and len(password) >= 3 and not placeholder(password))
 
 
-def _line_spans(text: str, at: int, end: int) -> list[tuple[int, int]]:
-    """Absolute spans of the credentials that begin in text[at:end], one line."""
+def _line_spans(text: str, at: int, end: int) -> list[Pieces]:
+    """Absolute spans of the credentials that begin in text[at:end], one line, each with all its pieces."""
+    whole: list[Pieces] = []
+    out = _simple_spans(text, at, end, whole)
+    return [*((span,) for span in out), *whole]
+
+
+def _simple_spans(text: str, at: int, end: int, whole: list[Pieces]) -> list[tuple[int, int]]:
+    """Spans of credentials of one piece; those of several go to whole."""
     line, out = text[at:end], []
     if "-----BEGIN" in line:
         for m in _ARMOR.finditer(line):
-            after = text[at + m.end() : at + m.end() + 4096]
-            if _BODY.match(after):
-                stop = _ARMOR_END.search(text, at + m.end(), at + (1 << 16))
-                out.append((at + m.start(), stop.end() if stop else _armor_end(text, end)))
+            if _BODY.match(text, at + m.end()):
+                stop = _ARMOR_END.search(line, m.end())
+                whole.append(_key_pieces(text, at + m.start(), at + stop.end() if stop else _armor_end(text, end)))
     for m in _TOKEN.finditer(line):
         if "EXAMPLE" not in m[0] and not re.search(r"[xX]{8}|(.)\1{9}", m[0]):
             out.append((at + m.start(), at + m.end()))
@@ -358,15 +388,18 @@ def _line_spans(text: str, at: int, end: int) -> list[tuple[int, int]]:
             value = re.sub(r"(?:-->|#\}|\*/|\"\}?)$", "", value)
         if "://" in line and "&" in value:
             value = value[: value.index("&")]  # the next parameter of a link
-        tail = stop
+        more: list[tuple[int, int]] = []
         if quoted:
-            value, tail = _joined(text, stop, value)
+            first = (start + skip, start + skip + len(value))
             if value.endswith("\\") and text[stop : stop + 1] in ("\n", "\r"):
                 value = value[:-1]
+                first = (first[0], first[1] - 1)
+            rest, more = _joined(text, stop)
+            value += rest
         if (known or secret_name(name)) and literal(value, quoted):
-            out.append((start + skip, tail - 1 if quoted and text[tail - 1 : tail] in "\"'`" else start + skip + len(value)))
-        elif quoted and tail != stop and value.startswith(tuple(TOKEN_STARTS)) and _TOKEN.fullmatch(value):
-            out.append((start + skip, tail - 1))
+            whole.append((first, *more)) if more else out.append((start + skip, start + skip + len(value)))
+        elif more and value.startswith(tuple(TOKEN_STARTS)) and _TOKEN.fullmatch(value):
+            whole.append((first, *more))
 
     for rx in (_ASSIGN, _FALLBACK, _OR):
         pos = 0
@@ -486,41 +519,48 @@ def alone(text: str) -> list[tuple[int, int]]:
     return [(s, e) for s, e in found if not any(a <= s < b for a, b in blocks)]
 
 
-def spans(text: str | None) -> list[tuple[int, int]]:
-    """Spans of the literal credentials in text, in order; of spans that overlap, the first and longest counts.
+def credentials(text: str | None) -> list[Pieces]:
+    """The literal credentials in text, in order, each the spans of its pieces; of those that overlap, the first and longest counts.
 
     Null and empty texts have none. The length of a text isn't limited.
     """
     if not text:
         return []
-    found: set[tuple[int, int]] = set()
+    found: set[Pieces] = set()
     for start, end in anchored_lines(text):
         found.update(_line_spans(text, start, end))
-    found.update(alone(text))
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
-        if e > s and (not out or s >= out[-1][1]):
-            out.append((s, e))
+    found.update((span,) for span in alone(text))
+    out: list[Pieces] = []
+    for pieces in sorted(found, key=lambda x: (x[0][0], -x[-1][1])):
+        if pieces[-1][1] > pieces[0][0] and (not out or pieces[0][0] >= out[-1][-1][1]):
+            out.append(pieces)
     return out
 
 
-def lines_of(text: str, where: list[tuple[int, int]]) -> list[int]:
-    """The 1-based lines on which the spans begin, each once."""
+def spans(text: str | None) -> list[tuple[int, int]]:
+    """From where to where each credential in text reaches, with what stands between its pieces."""
+    return [(pieces[0][0], pieces[-1][1]) for pieces in credentials(text)]
+
+
+def lines_of(text: str, where: list[Pieces]) -> list[int]:
+    """The 1-based lines on which credentials begin, each once."""
     out, line, at = [], 1, 0
-    for s, _ in where:
+    for pieces in where:
+        s = pieces[0][0]
         line, at = line + text.count("\n", at, s), s
         if not out or out[-1] != line:
             out.append(line)
     return out
 
 
-def redact(text: str, where: list[tuple[int, int]], mark: str = "<REDACTED>") -> str:
-    """text with each span replaced; quotes, keys and all that is around a span still stand.
+def redact(text: str, where: list[Pieces], mark: str = "<REDACTED>") -> str:
+    """text with the first piece of each credential replaced and its other pieces emptied.
 
-    Line ends inside of a span are kept, so no later line changes its number.
+    Quotes, keys, line ends, comment marks and what joins the pieces still stand.
     """
     parts, at = [], 0
-    for s, e in where:
-        parts += [text[at:s], mark, "\n" * text.count("\n", s, e)]
-        at = e
+    for pieces in where:
+        for k, (s, e) in enumerate(pieces):
+            parts += [text[at:s], "" if k else mark]
+            at = e
     return "".join([*parts, text[at:]])

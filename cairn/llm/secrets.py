@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.credentials import lines_of, redact, spans
+from cairn.llm.credentials import credentials, lines_of, redact
 from cairn.runtime import arrow_map, spread
 
 #: What replaces a credential.
@@ -19,7 +19,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, lines = [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for line in lines_of(text, spans(text)):
+            for line in lines_of(text, credentials(text)):
                 ids.append(key)
                 lines.append(line)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int64())], names=["record_id", "line"])
@@ -29,7 +29,7 @@ def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            where = spans(text)
+            where = credentials(text)
             if where:
                 out.append((key, redact(text, where, MARK), len(where)))
         columns = list(zip(*out)) or [[]] * 3
@@ -37,14 +37,14 @@ def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    return spread(rows.select(F.col(key).cast("long").alias("record_id"), F.col(text).alias("text")).where(F.col("record_id").isNotNull() & (F.length("text") >= 8)))
+    return spread(rows.select(F.col(key).cast("long").alias("record_id"), F.col(text).alias("text")).where(F.col("record_id").isNotNull() & (F.length("text") > 0)))
 
 
 def credential_lines(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """source_table (name), record_id, line: the lines of text, counted from 1, on which a literal credential begins.
 
     Each row is scanned on its own, whole, where it lies; only lines found are shuffled, to count repeated rows
-    once. Null ids and texts are left out, texts of under 8 characters can't hold any. An empty table gives no rows.
+    once. Null ids and texts are left out. An empty table gives no rows.
     """
     found = arrow_map(_texts(rows, key, text), _lines, "record_id bigint, line bigint")
     return found.distinct().select(F.lit(name).alias("source_table"), "record_id", "line")

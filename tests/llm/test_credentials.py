@@ -1,8 +1,10 @@
+import ast
+import json
 import random
 
 import pytest
 
-from cairn.llm.credentials import CHUNK, KEY_WORDS, SECRET_WORDS, anchored_lines, lines_of, redact, spans
+from cairn.llm.credentials import CHUNK, KEY_WORDS, SECRET_WORDS, anchored_lines, credentials, lines_of, redact, spans
 from cairn.llm.secrets import credential_lines, redacted_texts
 
 rng = random.Random(3)
@@ -24,8 +26,8 @@ ARMOR = "-----BEGIN RSA PRIVATE " + "KEY-----"
 )
 def test_found_and_only_the_value_is_replaced(line, value):
     text = f"first\n{line}\nlast"
-    assert lines_of(text, spans(text)) == [2]
-    assert redact(text, spans(text)) == text.replace(value, "<REDACTED>")
+    assert lines_of(text, credentials(text)) == [2]
+    assert redact(text, credentials(text)) == text.replace(value, "<REDACTED>")
 
 
 @pytest.mark.parametrize(
@@ -43,16 +45,16 @@ def test_look_alikes(line):
 
 def test_key_armor_counts_on_its_first_line_and_goes_whole():
     text = f"a\n# {ARMOR}\n" + "\n".join(f"# {b}" for b in BODY.split("\n")) + "\n# -----END RSA PRIVATE " + "KEY-----\nb"
-    assert lines_of(text, spans(text)) == [2]
-    out = redact(text, spans(text))
+    assert lines_of(text, credentials(text)) == [2]
+    out = redact(text, credentials(text))
     assert out.count("\n") == text.count("\n") and BODY[:20] not in out and out.endswith("\nb")
     assert spans(f"if head == '{ARMOR}':") == []
 
 
 def test_pieces_count_on_the_first_line():
     text = f'x = 1\ntoken := "{GH[:20]}" +\n    "{GH[20:]}"\ny = (\n    "{AWS[:8]}"\n    "{AWS[8:]}"\n)\n'
-    assert lines_of(text, spans(text))[0] == 2
-    assert GH[20:] not in redact(text, spans(text))
+    assert lines_of(text, credentials(text))[0] == 2
+    assert GH[20:] not in redact(text, credentials(text))
 
 
 def test_chunks_null_empty_and_long_texts():
@@ -61,7 +63,7 @@ def test_chunks_null_empty_and_long_texts():
     for shift in range(0, 60, 7):
         head = pad * ((CHUNK - 30 + shift) // len(pad)) + "z" * ((CHUNK - 30 + shift) % len(pad)) + "\n"
         text = head + f"password: {draw(12)}\n" + pad
-        assert lines_of(text, spans(text)) == [head.count("\n") + 1]
+        assert lines_of(text, credentials(text)) == [head.count("\n") + 1]
     assert spans("a" * 3_000_000) == []
 
 
@@ -87,7 +89,7 @@ HEX = draw(31, "abcdef0123456789") + "7"
 )
 def test_every_grammar_is_reached_through_an_anchor(line, value):
     text = f"first\n{line}\nlast"
-    assert redact(text, spans(text)) == text.replace(value, "<REDACTED>")
+    assert redact(text, credentials(text)) == text.replace(value, "<REDACTED>")
 
 
 def test_anchors_cover_words_and_forms():
@@ -98,7 +100,7 @@ def test_anchors_cover_words_and_forms():
 def test_tokens_of_many_pieces_go_whole():
     token = "ghp_" + draw(60)
     text = "token = (\n" + "\n".join(f'    "{token[k : k + 4]}"' for k in range(0, 64, 4)) + "\n)\nx = 1\n"
-    out = redact(text, spans(text))
+    out = redact(text, credentials(text))
     assert not any(token[k : k + 4] in out for k in range(0, 64, 4)) and out.endswith(")\nx = 1\n") and out.count("\n") == text.count("\n")
 
 
@@ -107,12 +109,43 @@ def test_tokens_of_many_pieces_go_whole():
 def test_keys_that_are_cut_off_or_long_go_whole(mark, lines, end):
     body = [draw(64) for _ in range(lines)]
     text = "\n".join(f"{mark}{x}" for x in [ARMOR, *body, *(["-----END RSA PRIVATE " + "KEY-----"] if end else [])]) + "\nThe next line stays."
-    out = redact(text, spans(text))
+    out = redact(text, credentials(text))
     assert not any(b in out for b in body) and out.endswith("\nThe next line stays.") and out.count("\n") == text.count("\n")
 
 
 def test_values_of_any_length_that_stand_alone():
     value = draw(120)
-    assert redact(f"a\n{value}\nb", spans(f"a\n{value}\nb")) == "a\n<REDACTED>\nb"
-    assert redact(f'note: "{value}"', spans(f'note: "{value}"')) == 'note: "<REDACTED>"'
+    assert redact(f"a\n{value}\nb", credentials(f"a\n{value}\nb")) == "a\n<REDACTED>\nb"
+    assert redact(f'note: "{value}"', credentials(f'note: "{value}"')) == 'note: "<REDACTED>"'
     assert spans("data\n" + "\n".join(draw(76) for _ in range(5)) + "\nend") == []
+
+
+@pytest.mark.parametrize(
+    "code",
+    [
+        'password = ("Hunter2xQ" +\n    "abc99Zz!")\nx = 1\n', "token = (\n    'ghp_{a}'\n    '{b}'\n)\n", 'key = "AKIA" + \\\n    "{aws}"\n', 'KEY = """{armor}\n{body}\n{end}\n"""\n', 'KEY = "{armor}\\n" \\\n' + "".join('    "{%s}\\n" \\\n' % k for k in "pqr") + '    "{end}\\n"\n',
+        'KEY = (\n    "{armor}\\n"\n    "{p}\\n"\n    "{q}\\n"\n    "{end}"\n)\n', 'KEY = "{armor}\\n{p}\\n{q}\\n{end}"\n', 'd = dict(password="{a}", other=1)\n', "import os\npw = os.getenv('DB_PASSWORD') or '{a}'\n", '# {armor}\n# {p}\n# {q}\n# {end}\nx = 2\n',
+    ],
+)
+def test_python_still_parses_and_no_piece_survives(code):
+    parts = {"a": draw(18), "b": draw(20), "aws": draw(16, "ABCDEFGHJKLMNPQRSTUVWXYZ2345"), "armor": ARMOR, "end": "-----END RSA PRIVATE " + "KEY-----", "body": BODY} | {k: draw(64) for k in "pqr"}
+    text = code.format(**parts)
+    ast.parse(text)
+    out = redact(text, credentials(text))
+    ast.parse(out)
+    assert "<REDACTED>" in out and out.count("\n") == text.count("\n")
+    assert not any(value in out for k, value in parts.items() if k not in ("armor", "end") for value in value.split("\n")) and "abc99Zz!" not in out
+
+
+def test_other_languages_still_parse():
+    text = json.dumps({"password": draw(14), "key": f"{ARMOR}\n{BODY}\n-----END RSA PRIVATE KEY-----\n", "n": 1}, indent=2)
+    out = json.loads(redact(text, credentials(text)))
+    assert out["password"] == "<REDACTED>" and out["key"].startswith("<REDACTED>") and out["n"] == 1
+    shell = f"export TOKEN='{GH}' # set\ncurl -u app:{draw(12)} https://h.example/x\n"
+    assert redact(shell, credentials(shell)) == "export TOKEN='<REDACTED>' # set\ncurl -u app:<REDACTED> https://h.example/x\n"
+
+
+def test_two_keys_of_which_the_first_has_no_end():
+    text = f"{ARMOR}\n{BODY}\n\nText that stays, with nothing secret.\n{ARMOR}\n{BODY}\n-----END RSA PRIVATE KEY-----\nend"
+    out = redact(text, credentials(text))
+    assert "Text that stays" in out and BODY.split("\n")[0] not in out and out.endswith("\nend")
