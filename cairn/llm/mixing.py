@@ -19,6 +19,8 @@ GOLDEN = 0.6180339887498949
 BLOCK_TOKENS, SLOTS = 65_536, 16_384
 #: Records of a source that are put in order together: those whose draws share the upper bits.
 DRAW_BITS = 12
+#: Rows that a table of targets may have: it is a parameter, held by the driver.
+MOST_TARGETS = 1000
 
 
 def source_key(source: Column) -> Column:
@@ -37,10 +39,11 @@ def _in_order(records: DataFrame, seed: int) -> DataFrame:
     drawn = records.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.expr(f"shiftright(draw, {64 - DRAW_BITS})").cast("int"))
     sums = drawn.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = small(sums.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    starts = sums.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     own = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = drawn.withColumn("inner", F.coalesce(F.sum("tokens").over(own), F.lit(0)))
-    out = placed.join(starts, (placed["source"] == starts["_s"]) & (placed["bucket"] == starts["_b"]))
+    # The records lie by source and bucket already, so they aren't moved again.
+    out = placed.join(starts.hint("merge"), (placed["source"] == starts["_s"]) & (placed["bucket"] == starts["_b"]))
     return out.select("doc_id", "source", "tokens", (F.col("offset") + F.col("inner")).alias("start"))
 
 
@@ -56,10 +59,11 @@ class Mix:
         spark = documents.sparkSession
         self.targets = small(cut(_targets(targets)))
         records = documents.select("doc_id", source_key(F.col("source")).alias("source"), F.col("tokens").cast("long")).where("doc_id IS NOT NULL AND tokens > 0")
-        self.records = cut(records.join(F.broadcast(self.targets.select("source")), "source", "left_semi"))
+        self.records = cut(records.join(small(self.targets.select("source")), "source", "left_semi"))
         sizes = self.records.groupBy("source").agg(F.sum("tokens").alias("n"))
-        # As many rows as there are targets.
-        rows = [r for r in self.targets.join(F.broadcast(sizes), "source").orderBy("source").collect()]
+        rows = self.targets.join(sizes, "source").orderBy("source").limit(MOST_TARGETS + 1).collect()
+        if len(rows) > MOST_TARGETS:
+            raise ValueError("too many targets")
         weight = sum(r["target_share"] for r in rows) or 1.0
         self.weights = {r["source"]: r["target_share"] / weight for r in rows}
         room = {r["source"]: r["n"] * r["max_repeats"] for r in rows}
@@ -83,9 +87,9 @@ class Mix:
     def uses(self) -> DataFrame:
         """slot, source, doc_id, copy, tokens: every use of a record, in the slot that takes its block."""
         sizes = self.placed.groupBy("source").agg(F.sum("tokens").alias("whole"))
-        limits = small(self.targets.select("source", "max_repeats").join(F.broadcast(sizes), "source"))
+        limits = self.targets.select("source", "max_repeats").join(sizes, "source")
         last = self.slots.groupBy("source").agg(F.max("block").alias("last_block"))
-        limits = small(limits.join(F.broadcast(last), "source"))
+        limits = small(cut(limits.join(last, "source")))
         need = (F.col("last_block") + 1) * F.lit(self.block)
         copies = self.placed.join(limits, "source")
         # Copies that start before what the source's slots take; those are the first ones.
@@ -93,7 +97,7 @@ class Mix:
         copies = copies.withColumn("many", many).where("many > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("many"))))
         block = F.floor((F.col("start") + (F.col("copy") - 1) * F.col("whole")) / F.lit(self.block))
         blocks = copies.select("source", "doc_id", "tokens", F.col("copy").cast("int").alias("copy"), block.alias("block"))
-        return blocks.join(small(self.slots), ["source", "block"]).select("slot", "source", "doc_id", "copy", "tokens")
+        return blocks.join(self.slots.hint("shuffle_hash"), ["source", "block"]).select("slot", "source", "doc_id", "copy", "tokens")
 
     def chosen(self) -> DataFrame:
         """doc_id, source, repeats, tokens: the chosen records and how often each is used."""
@@ -102,7 +106,7 @@ class Mix:
     def shares(self) -> DataFrame:
         """source, target_share, reached_share, tokens, records, most_repeats, for every target."""
         by = self.chosen().groupBy("source").agg(F.sum(F.col("repeats") * F.col("tokens")).alias("tokens"), F.count("*").alias("records"), F.max("repeats").alias("most_repeats"))
-        out = self.targets.select("source", "target_share").join(F.broadcast(by), "source", "left")
+        out = self.targets.select("source", "target_share").join(by, "source", "left")
         filled = out.select("source", "target_share", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tokens", "records", "most_repeats")))
         all_ = F.sum("tokens").over(Window.partitionBy())
         return filled.select("source", "target_share", F.round(F.when(all_ > 0, F.col("tokens") / all_).otherwise(0.0), 6).alias("reached_share"), "tokens", "records", "most_repeats")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,11 +17,6 @@ from cairn.runtime import arrow_map, spread
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How a text is cut into words before the pairs of each are merged (fixed value: the vocabulary's own pattern).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A text with a word longer than this is counted in pieces of this length: merging pairs takes time in the square of
-#: a word's length. Only texts with so long a run of letters, digits, marks or blanks are concerned.
-LONGEST_WORD = 4_000
-_LONG_RUN = re.compile(rf"[^\W\d_]{{{LONGEST_WORD}}}|\d{{{LONGEST_WORD}}}|[^\w\s]{{{LONGEST_WORD}}}|\s{{{LONGEST_WORD}}}")
-
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str):
@@ -34,13 +28,10 @@ def encoder(vocabulary: str):
 
 
 def count(text: str | None, vocabulary: str = VOCABULARY) -> int:
-    """Tokens of text; 0 for null and empty texts."""
+    """Tokens of text, whole, whatever its length; 0 for null and empty texts."""
     if not text:
         return 0
-    enc = encoder(vocabulary)
-    if len(text) > LONGEST_WORD and _LONG_RUN.search(text):
-        return sum(len(enc.encode_ordinary(text[k : k + LONGEST_WORD])) for k in range(0, len(text), LONGEST_WORD))
-    return len(enc.encode_ordinary(text))
+    return len(encoder(vocabulary).encode_ordinary(text))
 
 
 def prompt_end(text: str) -> int:
