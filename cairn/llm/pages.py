@@ -83,12 +83,13 @@ def open_templates(documents: DataFrame, seen: DataFrame) -> DataFrame:
 
     seen: scanned(documents), cut. Only families of siblings with an open document are aligned. Of each place the
     least and greatest value are taken, combined before the shuffle, so a template with very many pages isn't one task.
+    Repeated rows change neither; a document's verdicts are counted once.
     """
     member = seen.select("doc_id", "open", F.explode("signatures").alias("signature")).distinct()
     families = member.groupBy("signature").agg(F.count("*").alias("n"), F.max("open").alias("any_open")).where((F.col("n") >= SIBLINGS) & F.col("any_open"))
     member = cut(member.join(small(families.select("signature")), "signature"))
-    texts = _rows(documents).dropDuplicates(["doc_id"])
-    siblings = texts.select("doc_id", "text").join(small(member.groupBy("doc_id").agg(F.collect_set("signature").alias("wanted"))), "doc_id").select("text", "wanted")
+    texts = _rows(documents)
+    siblings = texts.select("doc_id", "text").join(small(cut(member.groupBy("doc_id").agg(F.collect_set("signature").alias("wanted")))), "doc_id").select("text", "wanted")
     at = arrow_map(siblings, _places, "signature bigint, place bigint, value string")
     ends = at.groupBy("signature", "place").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low < high")
     slots = ends.groupBy("signature").agg(F.collect_list(F.struct("place", "low", "high")).alias("varying"))
