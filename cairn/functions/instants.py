@@ -52,15 +52,14 @@ def zone(name: str) -> ZoneInfo | None:
         return None
 
 
-@lru_cache(maxsize=1024)
-def abbreviations(name: str) -> dict[str, timedelta]:
-    """The zone's own abbreviations and what each stands for: its latest meaning from 1990 on."""
-    out, tz = {}, zone(name)
-    if tz is not None:
-        for month in range(12 * 48):
-            at = datetime(1990 + month // 12, month % 12 + 1, 15, 12, tzinfo=tz)
-            out[at.tzname()] = at.utcoffset()
-    return out
+def _at_abbreviation(wall: datetime, abbreviation: str, name: str | None) -> datetime | None:
+    """UTC of a wall-clock time under an abbreviation that the zone used then; of a repeated hour it tells which one is meant."""
+    tz = zone(name) if name else None
+    if tz is None:
+        return None
+    sides = [wall.replace(tzinfo=tz, fold=k) for k in (0, 1)]
+    shifts = {at.utcoffset() for at in sides if at.tzname() == abbreviation}
+    return wall - shifts.pop() if len(shifts) == 1 else None
 
 
 def _offset(text: str) -> timedelta | None:
@@ -146,8 +145,7 @@ def _placed(wall: datetime, z: str, tz_name: str | None) -> datetime | None:
         return None if shift is None else wall - shift
     if "/" in z or z.startswith("["):
         return _at_wall(wall, z.strip("[]"))
-    shift = abbreviations(tz_name).get(z) if tz_name else None
-    return None if shift is None else wall - shift
+    return _at_abbreviation(wall, z, tz_name)
 
 
 def utc_text(us: int) -> str:

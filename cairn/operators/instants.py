@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.instants import instant
-from cairn.runtime import arrow_map, cut
+from cairn.runtime import arrow_map, cut, join_counted
 
 _KEY = ["raw", "tz_name", "locale"]
 _DICTIONARY = "raw string, tz_name string, locale string, utc_us bigint"
@@ -22,24 +23,31 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array([instant(*x) for x in zip(*columns)], pa.int64())], schema=schema)
 
 
+def kept(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table kept at path, empty if there is none yet; any other failure to read it is an error."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def extend_dictionary(values: DataFrame, path: str | None = None) -> DataFrame:
     """The dictionary (raw, tz_name, locale, utc_us) of the distinct values; what doesn't denote an instant has null.
 
-    Every distinct value is parsed once. With path, the dictionary is kept there: only values that it doesn't have
-    yet are parsed, and they are appended in one commit.
+    Every distinct value is parsed once; missing zones and locales are ''. With path, the dictionary is kept there:
+    only values that it doesn't have yet are parsed, and they are appended in one commit. Two runs at once may both
+    append a value, with the same instant; that changes no result.
     """
-    distinct = values.select(*_KEY).where(F.col("raw").isNotNull()).distinct()
+    distinct = values.select("raw", *(F.coalesce(c, F.lit("")).alias(c) for c in _KEY[1:])).where(F.col("raw").isNotNull()).distinct()
     if path is None:
         return cut(arrow_map(distinct, _parse, _DICTIONARY))
-    spark = values.sparkSession
-    try:
-        known = spark.read.schema(_DICTIONARY).parquet(path)
-        known.isEmpty()
-    except Exception:
-        known = spark.createDataFrame([], _DICTIONARY)
-    new = distinct.alias("n").join(known.alias("k"), [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in _KEY], "left_anti")
-    cut(arrow_map(new, _parse, _DICTIONARY)).write.mode("append").parquet(path)
-    return spark.read.schema(_DICTIONARY).parquet(path)
+    known = kept(values.sparkSession, path, _DICTIONARY)
+    new = cut(arrow_map(distinct.join(known.select(*_KEY), _KEY, "left_anti"), _parse, _DICTIONARY))
+    if not new.isEmpty():
+        new.write.mode("append").parquet(path)
+    return kept(values.sparkSession, path, _DICTIONARY)
 
 
 def normalised_instants(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -47,11 +55,12 @@ def normalised_instants(rows: DataFrame, path: str | None = None) -> DataFrame:
 
     rows: source_table, record_id, raw, tz_name, locale; other columns are ignored. Nulls, empty and unreadable
     texts give no row, nor do records whose repeated rows denote different instants. An empty table gives no rows.
-    A value that a third of all rows share is one row of the dictionary; the join back is left to adaptive skew
-    handling, which splits its partition.
+    path: where the dictionary is kept between runs. A value that a third of all rows share is one entry of the
+    dictionary, which goes to its rows; those aren't moved.
     """
-    dictionary = extend_dictionary(rows, path).where(F.col("utc_us").isNotNull())
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in _KEY]
-    placed = rows.select("source_table", "record_id", *_KEY).dropna(subset=["record_id", "raw"]).alias("r").join(dictionary.alias("d"), same)
+    known = rows.select("source_table", "record_id", "raw", *(F.coalesce(c, F.lit("")).alias(c) for c in _KEY[1:])).dropna(subset=["record_id", "raw"])
+    counted = cut(known.groupBy(*_KEY).agg(F.count("*").alias("n")))
+    dictionary = extend_dictionary(counted, path).where(F.col("utc_us").isNotNull()).distinct()
+    placed = join_counted(known, cut(dictionary.join(counted, _KEY)), _KEY, "n")
     one = placed.groupBy("source_table", "record_id").agg(F.min("utc_us").alias("utc_us"), F.max("utc_us").alias("last"))
     return one.where(F.col("utc_us") == F.col("last")).drop("last")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn.operators.instants import normalised_instants
 from cairn.operators.schema_drift import schema_changes, unified_settings
 from cairn.operators.snapshot_changes import snapshot_changes
-from cairn.runtime import small, table
+from cairn.runtime import kept_at, small, table
 
 
 def written_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,8 @@ def written_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalised_instants(written_times(spark, sf_dir))
+    """The dictionary of written times is kept in the shared folder: a later run parses only what is new."""
+    return normalised_instants(written_times(spark, sf_dir), kept_at(spark, "instants-1", sf_dir))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

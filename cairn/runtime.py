@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -63,6 +64,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def kept_at(spark: SparkSession, name: str, *of: str) -> str:
+    """Where the table called name, of the inputs named, is kept between runs: in the shared folder, and not released."""
+    return f"{shared_folder(spark).rstrip('/')}/cairn-kept/{name}-{hashlib.md5(chr(0).join(of).encode()).hexdigest()}"
+
+
 _CUT: list[str] = []
 
 

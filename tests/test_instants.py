@@ -38,6 +38,7 @@ def us(*parts):
         ("2024-07-01 12:00:00 IST", ("Asia/Kolkata", "en_IN"), us(2024, 7, 1, 6, 30)),
         ("2024-07-01 12:00:00 IST", NY, None),
         ("2024-07-01 12:00:00 -03", ("America/Sao_Paulo", "pt_BR"), us(2024, 7, 1, 15)),
+        ("2013-06-01 12:00:00 MSK", ("Europe/Moscow", "ru_RU"), us(2013, 6, 1, 8)), ("2015-06-01 12:00:00 MSK", ("Europe/Moscow", "ru_RU"), us(2015, 6, 1, 9)), ("2024-07-01 12:00:00 EST", NY, None),
         ("2024-02-30 10:00:00", NY, None),
         ("2024-02-03 25:00:00", NY, None),
         ("2024-02-03 10:00:60", NY, None),
@@ -63,3 +64,20 @@ def test_dictionary_is_extended_and_never_parsed_twice(spark):
     assert extend_dictionary(make(["5", "x", "5"]), path).count() == 2
     assert extend_dictionary(make(["5", "7"]), path).count() == 3
     assert {(r.raw, r.utc_us) for r in extend_dictionary(make([]), path).collect()} == {("5", 5_000_000), ("7", 7_000_000), ("x", None)}
+
+
+def test_a_value_of_many_rows_and_a_kept_dictionary(spark):
+    path = tempfile.mkdtemp() + "/dictionary"
+    df = spark.range(60_000).selectExpr("'a' AS source_table", "id AS record_id", "if(id % 3 = 0, '1709632800', cast(1700000000 + id AS string)) AS raw", "cast(null AS string) AS tz_name", "cast(null AS string) AS locale")
+    first = normalised_instants(df, path)
+    assert first.count() == 60_000 and first.where("record_id % 3 = 0 AND utc_us <> 1709632800000000").count() == 0
+    written = extend_dictionary(df.limit(0), path).count()
+    assert normalised_instants(df, path).count() == 60_000 and extend_dictionary(df, path).count() == written == 40_001
+
+
+def test_a_broken_dictionary_is_an_error(spark):
+    path = tempfile.mkdtemp()
+    with open(path + "/part.parquet", "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        extend_dictionary(spark.createDataFrame([("5", None, None)], "raw string, tz_name string, locale string"), path).count()
