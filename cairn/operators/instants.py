@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.instants import instant
-from cairn.runtime import arrow_map, cut, join_counted
+from cairn.runtime import arrow_map, cut, join_counted, kept
 
 _KEY = ["raw", "tz_name", "locale"]
 _DICTIONARY = "raw string, tz_name string, locale string, utc_us bigint"
@@ -23,16 +22,6 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array([instant(*x) for x in zip(*columns)], pa.int64())], schema=schema)
 
 
-def kept(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table kept at path, empty if there is none yet; any other failure to read it is an error."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def extend_dictionary(values: DataFrame, path: str | None = None) -> DataFrame:
     """The dictionary (raw, tz_name, locale, utc_us) of the distinct values; what doesn't denote an instant has null.
 

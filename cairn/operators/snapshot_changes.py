@@ -1,15 +1,15 @@
 """What changed between consecutive full snapshots.
 
-Every file key of a series (one branch of one project) has an ordinal: the order in which the keys of its block
-were first seen, so later snapshots never renumber earlier keys. A snapshot's presence of 64 neighbouring ordinals
-is one word of a bitmap (words without a file aren't stored), and the words of consecutive snapshots are compared
-with AND-NOT: additions are cur & ~prev, removals prev & ~cur. Digest, size and line count are kept as vectors in
-the order of the ordinals; the rank of a bit (the set bits below it) is its place in the vector, which shows the
-changes among the common keys.
-
-One shuffle carries the rows: by series and block of keys. All later steps (removal of repeated rows, ordinals,
-words, the step to the snapshot before) need no other, and no group is larger than a block of keys, so a series that
-holds a third of all rows is spread over its blocks.
+Every file key of a series (one branch of one project) has an ordinal that it keeps for good: keys are numbered in
+the order in which they were first seen, and a table of ordinals that is kept between runs is only ever extended. A
+snapshot's presence is a compressed bitmap over ordinals: 64 neighbouring ones are a word, words without a file
+aren't stored, and neighbouring words share a block. The words of consecutive snapshots are compared with AND-NOT:
+additions are cur & ~prev, removals prev & ~cur. Digest, size and line count are kept as vectors in the order of the
+ordinals; the rank of a bit (the set bits below it) is its place in the vector, which shows the changes among the
+common keys.
+
+A series is spread over blocks of ordinals and stretches of snapshots, so neither many files nor many snapshots of
+one branch are one task: the last snapshot of a stretch is also the first of the next.
 """
 
 from __future__ import annotations
@@ -17,12 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.runtime import bucketed_positions, cut, small
+from cairn.runtime import bucketed_positions, cut, join_counted, kept, only_one, small
 
-#: Keys of a series that share a block, about; the number of blocks follows from the largest file_count of the series.
-BLOCK_KEYS = 512
+#: Ordinals that share a block, and snapshots that share a stretch.
+BLOCK_KEYS, STRETCH = 512, 256
 #: Seconds of created_at that are numbered together (see bucketed_positions).
 ORDER_WIDTH = 30 * 86_400
+#: Buckets over which the keys first seen in one snapshot are spread to be numbered.
+SEEN_BUCKETS = 1024
+
+_ORDINALS = "project_id bigint, branch string, key string, ordinal bigint"
 
 
 def path_key(path: Column) -> Column:
@@ -38,7 +42,7 @@ def digest_value(digest: Column) -> Column:
 
 
 def complete_headers(headers: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per complete snapshot, with its series, its place in it and the id of the next complete one.
+    """One row per complete snapshot, with its series, its place in it, its files and the id of the next complete one.
 
     files: snapshot_id, key. A snapshot is complete if it has at least file_count distinct files. Repeated headers
     count once (the smallest row stands for an id); headers without id, project, branch, time or count are left out.
@@ -50,33 +54,68 @@ def complete_headers(headers: DataFrame, files: DataFrame) -> DataFrame:
     counted = keyed.groupBy("snapshot_id").agg(F.count("*").alias("n"))
     whole = known.join(counted, known["id"] == counted["snapshot_id"], "left").where(F.coalesce("n", F.lit(0)) >= F.col("file_count"))
     series = ["project_id", "branch"]
-    placed = bucketed_positions(whole.select(*series, "created_at", "id", "file_count"), series, "created_at", ORDER_WIDTH)
-    most = placed.groupBy(*series).agg(F.min("id").alias("series"), F.max("file_count").alias("most"))
-    placed = placed.join(most.withColumnsRenamed({c: f"_{c}" for c in series}), [F.col(c) == F.col(f"_{c}") for c in series])
-    cur = placed.select("series", "pos", "id", F.greatest(F.lit(1), F.ceil(F.col("most") / BLOCK_KEYS)).cast("int").alias("blocks"))
+    placed = bucketed_positions(whole.select(*series, "created_at", "id", F.coalesce("n", F.lit(0)).alias("n")), series, "created_at", ORDER_WIDTH)
+    first = placed.groupBy(*series).agg(F.min("id").alias("series"))
+    placed = placed.join(first.withColumnsRenamed({c: f"_{c}" for c in series}), [F.col(c) == F.col(f"_{c}") for c in series])
+    cur = placed.select("series", *series, "pos", "id", "n")
     after = placed.select(F.col("series").alias("_s"), (F.col("pos") - 1).alias("_p"), F.col("id").alias("next_id"))
     return cur.join(after, (cur["series"] == after["_s"]) & (cur["pos"] == after["_p"]), "left").drop("_s", "_p")
 
 
-def snapshot_changes(headers: DataFrame, files: DataFrame) -> DataFrame:
+def extend_ordinals(keys: DataFrame, path: str | None = None) -> DataFrame:
+    """project_id, branch, key, ordinal of the keys of each series. keys: project_id, branch, key, first (when it was first seen).
+
+    Keys that have an ordinal keep it; new ones get those after the largest, in the order of first and, within it,
+    of a hash and the key. Keys are numbered by buckets, so no series is one task. With path the ordinals are kept
+    there and new ones appended in one commit. A run that finds another one at it numbers the keys for itself alone.
+    """
+    if path is None:
+        return _extended(keys, None)
+    with only_one(keys.sparkSession, path) as mine:
+        return _extended(keys, path if mine else None)
+
+
+def _extended(keys: DataFrame, path: str | None) -> DataFrame:
+    series = ["project_id", "branch"]
+    spark = keys.sparkSession
+    known = kept(spark, path, _ORDINALS) if path else None
+    new = keys if known is None else keys.join(known.select(*series, "key"), [*series, "key"], "left_anti")
+    order = F.col("first") * SEEN_BUCKETS + F.pmod(F.xxhash64("key"), F.lit(SEEN_BUCKETS))
+    numbered = bucketed_positions(new.select(*series, "key", order.alias("order")), series, "order", 1)
+    if known is None:
+        return cut(numbered.select(*series, "key", F.col("pos").alias("ordinal")))
+    base = known.groupBy(*series).agg((F.max("ordinal") + 1).alias("base"))
+    added = cut(numbered.join(base, series, "left").select(*series, "key", (F.col("pos") + F.coalesce("base", F.lit(0))).alias("ordinal")))
+    if not added.isEmpty():
+        added.write.mode("append").parquet(path)
+    return kept(spark, path, _ORDINALS)
+
+
+def snapshot_changes(headers: DataFrame, files: DataFrame, path: str | None = None) -> DataFrame:
     """snapshot_id, rel_path, change: files added, removed or changed from each complete snapshot to the next.
 
     headers: id, project_id, branch, created_at, file_count. files: snapshot_id, rel_path, sha256, size_bytes, loc.
     Other columns are ignored. Rows without snapshot or path are left out; an empty digest or a null is unknown and
     differs from nothing; of repeated rows of one file the known values count (the largest where they disagree).
-    Empty tables give no rows. The first complete snapshot of a series has no changes.
+    Empty tables give no rows. The first complete snapshot of a series has no changes. path: where the ordinals of
+    keys are kept between runs.
     """
     rows = files.select(
         "snapshot_id", path_key(F.col("rel_path")).alias("key"), digest_value(F.col("sha256")).alias("digest"), F.col("size_bytes").alias("bytes"), F.col("loc").alias("lines")
     ).where(F.col("snapshot_id").isNotNull() & F.col("key").isNotNull())
-    head = small(cut(complete_headers(headers, rows.select("snapshot_id", "key"))))
-    rows = rows.join(head, rows["snapshot_id"] == head["id"]).withColumn("block", F.expr("pmod(xxhash64(key), blocks)").cast("int"))
-    rows = rows.select("series", "block", "key", "pos", "id", "next_id", "digest", "bytes", "lines").repartition("series", "block")
-
-    block = ["series", "block"]
-    once = rows.groupBy(*block, "key", "pos").agg(*(F.max(c).alias(c) for c in ("id", "next_id", "digest", "bytes", "lines")))
-    seen = once.withColumn("first", F.min("pos").over(Window.partitionBy(*block, "key")))
-    numbered = seen.withColumn("ordinal", F.dense_rank().over(Window.partitionBy(*block).orderBy("first", "key")) - 1)
+    head = cut(complete_headers(headers, rows.select("snapshot_id", "key")))
+    rows = join_counted(rows, head.drop("project_id", "branch").withColumn("snapshot_id", F.col("id")), ["snapshot_id"], "n")
+    once = cut(rows.groupBy("series", "key", "pos").agg(*(F.max(c).alias(c) for c in ("id", "next_id", "digest", "bytes", "lines"))))
+    names = small(head.groupBy("series").agg(F.first("project_id").alias("project_id"), F.first("branch").alias("branch")))
+    keys = once.groupBy("series", "key").agg(F.min("pos").alias("first")).join(names, "series").drop("series")
+    ordinals = extend_ordinals(keys, path).join(names, ["project_id", "branch"]).select("series", "key", "ordinal")
+
+    numbered = once.join(ordinals, ["series", "key"])
+    at = F.floor(F.col("pos") / STRETCH).cast("int")
+    both_ends = F.when((F.col("pos") % STRETCH == 0) & (F.col("pos") > 0), F.array(at - 1, at)).otherwise(F.array(at))
+    numbered = numbered.withColumn("block", F.floor(F.col("ordinal") / BLOCK_KEYS).cast("int")).withColumn("stretch", F.explode(both_ends))
+    block = ["series", "block", "stretch"]
+    numbered = numbered.repartition(*block)
 
     bit = (F.col("ordinal") % 64).cast("int")
     numbered = numbered.withColumn("word", F.floor(F.col("ordinal") / 64).cast("int")).withColumn("bit", bit)
@@ -93,8 +132,8 @@ def snapshot_changes(headers: DataFrame, files: DataFrame) -> DataFrame:
         "next": F.when(F.lead("pos").over(step) == F.col("pos") + 1, F.lead("present").over(step)).otherwise(F.lit(0)),
     })
     both = near.withColumns({
-        "added": F.when(F.col("pos") > 0, F.col("present").bitwiseAND(F.bitwise_not("prev"))).otherwise(F.lit(0)),
-        "removed": F.when(F.col("next_id").isNotNull(), F.col("present").bitwiseAND(F.bitwise_not("next"))).otherwise(F.lit(0)),
+        "added": F.when(F.col("pos") > F.col("stretch") * STRETCH, F.col("present").bitwiseAND(F.bitwise_not("prev"))).otherwise(F.lit(0)),
+        "removed": F.when(F.col("next_id").isNotNull() & (F.col("pos") < (F.col("stretch") + 1) * STRETCH), F.col("present").bitwiseAND(F.bitwise_not("next"))).otherwise(F.lit(0)),
         "common": F.col("present").bitwiseAND(F.col("prev")),
     })
     # A word that is whole in both neighbours and has the same vector needs no look at its bits.

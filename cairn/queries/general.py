@@ -32,7 +32,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot_changes(table(spark, sf_dir, "export_snapshot"), table(spark, sf_dir, "snapshot_file"))
+    """The ordinals of file keys are kept in the shared folder: a later run numbers only what is new."""
+    return snapshot_changes(table(spark, sf_dir, "export_snapshot"), table(spark, sf_dir, "snapshot_file"), kept_at(spark, "ordinals-1", sf_dir))
 
 
 def p4_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

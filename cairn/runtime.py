@@ -8,9 +8,11 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def kept(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table kept at path, empty if there is none yet; any other failure to read it is an error."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def kept_at(spark: SparkSession, name: str, *of: str) -> str:
     """Where the table called name, of the inputs named, is kept between runs: in the shared folder, and not released."""
     return f"{shared_folder(spark).rstrip('/')}/cairn-kept/{name}-{hashlib.md5(chr(0).join(of).encode()).hexdigest()}"
@@ -84,15 +96,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def release(spark: SparkSession) -> None:
     """Deletes the tables that cut() wrote; results that still read them can't be used any more."""
-    jvm = spark.sparkContext._jvm
     for path in _CUT:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        at, system = _file_system(spark, path)
+        system.delete(at, True)
     _CUT.clear()
 
 
+@contextmanager
+def only_one(spark: SparkSession, path: str) -> Iterator[bool]:
+    """Whether this is the one run that may extend the table kept at path: it holds the lock file beside it meanwhile."""
+    at, system = _file_system(spark, path + ".lock")
+    mine = system.createNewFile(at)
+    try:
+        yield mine
+    finally:
+        if mine:
+            system.delete(at, False)
+
+
 def _width(df: DataFrame) -> Column:
     """About how many bytes a row takes: 16 a column, and the length of what isn't of fixed size."""
     fixed = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp")
@@ -109,10 +137,12 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 def join_counted(rows: DataFrame, values: DataFrame, keys: list[str], count: str) -> DataFrame:
     """rows joined with values on keys (which hold no nulls); count says how many rows have the value.
 
-    A value that a third of all rows share isn't one task: hot values, at most HOT of them, are broadcast, and their
+    Values that are small as a whole are broadcast. Else a value that a third of all rows share isn't one task: hot values, at most HOT of them, are broadcast, and their
     rows stay where they are; the others are joined by a shuffle in which no value has more than one in HOT rows.
     """
-    total = values.agg(F.sum(count)).first()[0] or 0
+    size, total = values.agg(F.sum(_width(values)), F.sum(count)).first()
+    if (size or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(values.drop(count)), keys)
     hot = F.col(count) * HOT > total
     heads = F.broadcast(values.where(hot).drop(count))
     cold = rows.join(F.broadcast(values.where(hot).select(*keys)), keys, "left_anti").join(values.where(~hot).drop(count), keys)

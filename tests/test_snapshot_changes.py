@@ -1,15 +1,18 @@
 import random
+import tempfile
 
-from cairn.operators.snapshot_changes import BLOCK_KEYS, snapshot_changes
+from cairn.operators import snapshot_changes as module
+from cairn.operators.snapshot_changes import BLOCK_KEYS, extend_ordinals, snapshot_changes
+from cairn.runtime import only_one
 
 H = "id long, project_id long, branch string, created_at long, file_count long, id2 string, snapshot_id long"
 R = "snapshot_id long, rel_path string, sha256 string, size_bytes long, loc long, id string, pos long"
 
 
-def run(spark, headers, files):
+def run(spark, headers, files, path=None):
     h = spark.createDataFrame([(*x, "extra", 7) for x in headers], H)
     f = spark.createDataFrame([(*x, "clash", 9) for x in files], R)
-    rows = [tuple(r) for r in snapshot_changes(h, f).collect()]
+    rows = [tuple(r) for r in snapshot_changes(h, f, path).collect()]
     assert len(rows) == len(set(rows)) and not any(v is None for r in rows for v in r)
     return set(rows)
 
@@ -64,3 +67,33 @@ def test_one_hot_series_is_spread_over_blocks(spark):
 
 def test_empty_tables(spark):
     assert run(spark, [], []) == set() == run(spark, [(1, 1, "b", 1, 0)], [])
+
+
+def test_long_series_and_kept_ordinals(spark, monkeypatch):
+    monkeypatch.setattr(module, "STRETCH", 4)
+    rng, path = random.Random(6), tempfile.mkdtemp() + "/ordinals"
+    headers = [(s, s % 2, "b", 100 + s, 0) for s in range(30)]
+    files = [(s, f"f{k}", rng.choice(["aa", "bb", None]), 1, 1) for s in range(30) for k in range(20 + s) if rng.random() < 0.8]
+    early = [f for f in files if f[0] < 20]
+    assert run(spark, headers[:20], early, path) == brute(headers[:20], early)
+    first = {(r.project_id, r.branch, r.key): r.ordinal for r in spark.read.parquet(path).collect()}
+    assert run(spark, headers, files, path) == brute(headers, files) == run(spark, headers, files, path)
+    rows = spark.read.parquet(path).collect()
+    last = {(r.project_id, r.branch, r.key): r.ordinal for r in rows}
+    assert len(rows) == len(last) > len(first) and all(last[k] == v for k, v in first.items())
+    assert len({(p, b, o) for (p, b, _), o in last.items()}) == len(last)
+
+
+def test_only_one_run_extends_ordinals(spark):
+    path = tempfile.mkdtemp() + "/ordinals"
+    keys = spark.createDataFrame([(1, "b", "k", 0)], "project_id long, branch string, key string, first long")
+    with only_one(spark, path) as mine, only_one(spark, path) as other:
+        assert mine and not other
+        assert [r.ordinal for r in extend_ordinals(keys, path).collect()] == [0]
+    assert extend_ordinals(keys, path).count() == 1 == spark.read.parquet(path).count()
+
+
+def test_declared_counts_say_nothing_of_blocks(spark):
+    headers = [(1, 1, "b", 1, 0), (2, 1, "b", 2, 0)]
+    files = [(s, f"f{k}", "aa", 1, 1) for s in (1, 2) for k in range(1500) if k % 7 != s]
+    assert run(spark, headers, files) == brute(headers, files)
