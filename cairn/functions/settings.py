@@ -44,6 +44,10 @@ def parse(content: str | None) -> object:
         raise ValueError("too deep") from e
 
 
+def digest(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def fields(value: object, prefix: str = "") -> list[tuple[str, str, str, str]]:
     """(path, type, digest of the value, value as text) of every key, also inside objects; arrays are values."""
     out, stack = [], [(prefix, value)]
@@ -53,7 +57,7 @@ def fields(value: object, prefix: str = "") -> list[tuple[str, str, str, str]]:
             for key, item in v.items():
                 path = f"{at}.{key}" if at else key
                 text = json.dumps(_plain(item), sort_keys=True, ensure_ascii=False)
-                out.append((path, kind(item), hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest(), text))
+                out.append((path, kind(item), digest(text), text))
                 stack.append((path, item))
     return out
 

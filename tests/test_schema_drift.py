@@ -1,7 +1,7 @@
 import json
 
 from cairn.functions.settings import assign, canonical, fields, kind, similarity
-from cairn.operators.schema_drift import schema_changes, unified_settings
+from cairn.operators.schema_drift import name_pairs, paired, profiles, readable_revisions, schema_changes, sketches, synonyms, unified_settings
 
 S = "settings_id long, install_id long, revision long, content string, path string, fields string"
 
@@ -59,9 +59,31 @@ def test_synonyms_are_learnt_from_swaps(spark):
 def test_unified_table(spark):
     rows = [(1, 1, '{"max_text_file_mb": 5, "limits": {"x": 1}}'), (2, 1, '{"max_text_file_mb": 8}'), (1, 2, '{"maxTextFileMb": 7}'), (1, 3, '{"limits": {"max_text_file_mb": 6}}'), (1, 4, "[1, 2]")]
     got = {tuple(r) for r in unified_settings(table(spark, rows)).collect()}
-    assert {(i, r, v) for i, r, s, _, v in got if s == "max_text_file_mb"} == {(1, 1, "5"), (2, 1, "8"), (1, 2, "7"), (1, 3, "6")}
+    assert {(i, r, v) for i, r, s, _, v, _ in got if s == "max_text_file_mb"} == {(1, 1, "5"), (2, 1, "8"), (1, 2, "7"), (1, 3, "6")}
 
 
 def test_empty_tables(spark):
     assert changes(spark, []) == set() == changes(spark, [(1, 1, "null"), (1, 2, "[]")])
     assert unified_settings(table(spark, [])).count() == 0
+
+
+def test_sketches_decide(spark):
+    rows = []
+    for k in range(8):
+        rows += [(k, 1, json.dumps({"root": f"/srv/{k}", "redact": True})), (k, 2, json.dumps({"place": f"/srv/{k}", "watch": True})), (k, 3, json.dumps({"place": f"/srv/{k}"}))]
+        # What every other name holds as well says nothing.
+        rows += [(100 + k, 1, json.dumps({f"name{k}": True})), (100 + k, 2, "{}")]
+    _, diffs = paired(readable_revisions(table(spark, rows)))
+    profiled = profiles(readable_revisions(table(spark, rows)))
+    known = lambda sketched=None: {(r.name, r.base) for r in synonyms(name_pairs(diffs, profiled, sketched), profiled).collect()}
+    assert known() == {("root", "place")}
+    none = sketches(diffs, profiled).limit(0)
+    assert known(none) == set()
+
+
+def test_every_setting_has_one_type(spark):
+    rows = [(1, 1, '{"a": 1, "b": "x", "c": [1], "d": true}'), (1, 2, '{"a": "2", "b": 3, "c": 5, "d": "false"}'), (1, 3, '{"a": "many", "b": true, "c": null, "d": 7}'), (2, 1, '{"a": 4.5, "b": "y", "c": [2], "d": false}'), (3, 1, '{"a": "1.50"}'), (4, 1, '{"a": 8}'), (5, 1, '{"a": 9}')]
+    got = {(i, r, s): (t, v, c) for i, r, s, t, v, c in unified_settings(table(spark, rows)).collect()}
+    assert {s: t for (_, _, s), (t, _, _) in got.items()} == {"a": "number", "b": "string", "c": "array", "d": "boolean"}
+    assert [got[k][1:] for k in ((1, 1, "a"), (1, 2, "a"), (1, 3, "a"), (2, 1, "a"), (3, 1, "a"))] == [("1", ""), ("2", ""), ("", '"many"'), ("4.5", ""), ("", '"1.50"')]
+    assert [got[1, 2, s][1:] for s in "bcd"] == [('"3"', ""), ("[5]", ""), ("false", "")] and [got[1, 3, s][1:] for s in "bcd"] == [('"true"', ""), ("null", ""), ("", "7")]
