@@ -140,9 +140,11 @@ def join_counted(rows: DataFrame, values: DataFrame, keys: list[str], count: str
     Values that are small as a whole are broadcast. Else a value that a third of all rows share isn't one task: hot values, at most HOT of them, are broadcast, and their
     rows stay where they are; the others are joined by a shuffle in which no value has more than one in HOT rows.
     """
-    size, total = values.agg(F.sum(_width(values)), F.sum(count)).first()
+    size, total, most = values.agg(F.sum(_width(values)), F.sum(count), F.max(count)).first()
     if (size or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(values.drop(count)), keys)
+    if most * HOT <= total:  # no value is hot
+        return rows.join(values.drop(count), keys)
     hot = F.col(count) * HOT > total
     heads = F.broadcast(values.where(hot).drop(count))
     cold = rows.join(F.broadcast(values.where(hot).select(*keys)), keys, "left_anti").join(values.where(~hot).drop(count), keys)
