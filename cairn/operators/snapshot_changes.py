@@ -1,15 +1,16 @@
 """What changed between consecutive full snapshots.
 
-Every file key of a series (one branch of one project) has an ordinal that it keeps for good: keys are numbered in
-the order in which they were first seen, and a table of ordinals that is kept between runs is only ever extended. A
-snapshot's presence is a compressed bitmap over ordinals: 64 neighbouring ones are a word, words without a file
-aren't stored, and neighbouring words share a block. The words of consecutive snapshots are compared with AND-NOT:
-additions are cur & ~prev, removals prev & ~cur. Digest, size and line count are kept as vectors in the order of the
-ordinals; the rank of a bit (the set bits below it) is its place in the vector, which shows the changes among the
-common keys.
-
-A series is spread over blocks of ordinals and stretches of snapshots, so neither many files nor many snapshots of
-one branch are one task: the last snapshot of a stretch is also the first of the next.
+Every file key of a series (one branch of one project) has an ordinal that it keeps for good: a block, drawn by a hash
+of the key, and its number there, in the order in which the keys of the block were first seen. A table of ordinals is
+kept between runs and only ever extended. A snapshot's presence is a compressed bitmap over ordinals: 64 neighbouring
+ones are a word, and words without a file aren't stored. The words of consecutive snapshots are compared with
+AND-NOT: additions are cur & ~prev, removals prev & ~cur. Digest, size and line count are kept as vectors in the
+order of the ordinals; the rank of a bit (the set bits below it) is its place in the vector, which shows the changes
+among the common keys.
+
+One shuffle carries the rows: by series and block. All later steps (removal of repeated rows, ordinals, words, the
+step to the snapshot before) need no other, and a series is spread over as many blocks as the rows that were counted
+in its snapshots ask for, so neither many files nor many snapshots of one branch are one task.
 """
 
 from __future__ import annotations
@@ -19,14 +20,11 @@ from pyspark.sql import functions as F
 
 from cairn.runtime import bucketed_positions, cut, join_counted, kept, only_one, small
 
-#: Ordinals that share a block, and snapshots that share a stretch.
-BLOCK_KEYS, STRETCH = 512, 256
+#: Rows of a series that share a block, about, when the series is first seen.
+BLOCK_ROWS = 32_768
 #: Seconds of created_at that are numbered together (see bucketed_positions).
 ORDER_WIDTH = 30 * 86_400
-#: Buckets over which the keys first seen in one snapshot are spread to be numbered.
-SEEN_BUCKETS = 1024
-
-_ORDINALS = "project_id bigint, branch string, key string, ordinal bigint"
+_ORDINALS = "project_id bigint, branch string, blocks int, block int, key string, ordinal bigint"
 
 
 def path_key(path: Column) -> Column:
@@ -55,40 +53,27 @@ def complete_headers(headers: DataFrame, files: DataFrame) -> DataFrame:
     whole = known.join(counted, known["id"] == counted["snapshot_id"], "left").where(F.coalesce("n", F.lit(0)) >= F.col("file_count"))
     series = ["project_id", "branch"]
     placed = bucketed_positions(whole.select(*series, "created_at", "id", F.coalesce("n", F.lit(0)).alias("n")), series, "created_at", ORDER_WIDTH)
-    first = placed.groupBy(*series).agg(F.min("id").alias("series"))
+    first = placed.groupBy(*series).agg(F.min("id").alias("series"), F.sum("n").alias("rows"))
     placed = placed.join(first.withColumnsRenamed({c: f"_{c}" for c in series}), [F.col(c) == F.col(f"_{c}") for c in series])
-    cur = placed.select("series", *series, "pos", "id", "n")
+    cur = placed.select("series", *series, "pos", "id", "n", F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("int").alias("blocks"))
     after = placed.select(F.col("series").alias("_s"), (F.col("pos") - 1).alias("_p"), F.col("id").alias("next_id"))
     return cur.join(after, (cur["series"] == after["_s"]) & (cur["pos"] == after["_p"]), "left").drop("_s", "_p")
 
 
-def extend_ordinals(keys: DataFrame, path: str | None = None) -> DataFrame:
-    """project_id, branch, key, ordinal of the keys of each series. keys: project_id, branch, key, first (when it was first seen).
+def with_ordinals(once: DataFrame, known: DataFrame | None) -> DataFrame:
+    """once with ordinal and new: known keys keep theirs, others get those after the largest of their block, in the order first seen.
 
-    Keys that have an ordinal keep it; new ones get those after the largest, in the order of first and, within it,
-    of a hash and the key. Keys are numbered by buckets, so no series is one task. With path the ordinals are kept
-    there and new ones appended in one commit. A run that finds another one at it numbers the keys for itself alone.
+    once: series, block, key, pos, lying by series and block; known: series, block, key, ordinal.
     """
-    if path is None:
-        return _extended(keys, None)
-    with only_one(keys.sparkSession, path) as mine:
-        return _extended(keys, path if mine else None)
-
-
-def _extended(keys: DataFrame, path: str | None) -> DataFrame:
-    series = ["project_id", "branch"]
-    spark = keys.sparkSession
-    known = kept(spark, path, _ORDINALS) if path else None
-    new = keys if known is None else keys.join(known.select(*series, "key"), [*series, "key"], "left_anti")
-    order = F.col("first") * SEEN_BUCKETS + F.pmod(F.xxhash64("key"), F.lit(SEEN_BUCKETS))
-    numbered = bucketed_positions(new.select(*series, "key", order.alias("order")), series, "order", 1)
+    block = ["series", "block"]
     if known is None:
-        return cut(numbered.select(*series, "key", F.col("pos").alias("ordinal")))
-    base = known.groupBy(*series).agg((F.max("ordinal") + 1).alias("base"))
-    added = cut(numbered.join(base, series, "left").select(*series, "key", (F.col("pos") + F.coalesce("base", F.lit(0))).alias("ordinal")))
-    if not added.isEmpty():
-        added.write.mode("append").parquet(path)
-    return kept(spark, path, _ORDINALS)
+        seen = once.withColumn("first", F.min("pos").over(Window.partitionBy(*block, "key")))
+        return seen.withColumn("ordinal", (F.dense_rank().over(Window.partitionBy(*block).orderBy("first", "key")) - 1).cast("long")).withColumn("new", F.lit(True)).drop("first")
+    rows = once.join(known.withColumnRenamed("ordinal", "had"), [*block, "key"], "left")
+    rows = rows.withColumn("first", F.min("pos").over(Window.partitionBy(*block, "key"))).withColumn("base", F.coalesce(F.max("had").over(Window.partitionBy(*block)) + 1, F.lit(0)))
+    rows = rows.withColumn("new", F.col("had").isNull())
+    rank = F.dense_rank().over(Window.partitionBy(*block, "new").orderBy("first", "key")) - 1
+    return rows.withColumn("ordinal", F.when(F.col("new"), F.col("base") + rank).otherwise(F.col("had")).cast("long")).drop("had", "first", "base")
 
 
 def snapshot_changes(headers: DataFrame, files: DataFrame, path: str | None = None) -> DataFrame:
@@ -104,18 +89,30 @@ def snapshot_changes(headers: DataFrame, files: DataFrame, path: str | None = No
         "snapshot_id", path_key(F.col("rel_path")).alias("key"), digest_value(F.col("sha256")).alias("digest"), F.col("size_bytes").alias("bytes"), F.col("loc").alias("lines")
     ).where(F.col("snapshot_id").isNotNull() & F.col("key").isNotNull())
     head = cut(complete_headers(headers, rows.select("snapshot_id", "key")))
-    rows = join_counted(rows, head.drop("project_id", "branch").withColumn("snapshot_id", F.col("id")), ["snapshot_id"], "n")
-    once = cut(rows.groupBy("series", "key", "pos").agg(*(F.max(c).alias(c) for c in ("id", "next_id", "digest", "bytes", "lines"))))
-    names = small(head.groupBy("series").agg(F.first("project_id").alias("project_id"), F.first("branch").alias("branch")))
-    keys = once.groupBy("series", "key").agg(F.min("pos").alias("first")).join(names, "series").drop("series")
-    ordinals = extend_ordinals(keys, path).join(names, ["project_id", "branch"]).select("series", "key", "ordinal")
-
-    numbered = once.join(ordinals, ["series", "key"])
-    at = F.floor(F.col("pos") / STRETCH).cast("int")
-    both_ends = F.when((F.col("pos") % STRETCH == 0) & (F.col("pos") > 0), F.array(at - 1, at)).otherwise(F.array(at))
-    numbered = numbered.withColumn("block", F.floor(F.col("ordinal") / BLOCK_KEYS).cast("int")).withColumn("stretch", F.explode(both_ends))
-    block = ["series", "block", "stretch"]
-    numbered = numbered.repartition(*block)
+    if path is None:
+        return _changes(rows, head, None)
+    with only_one(files.sparkSession, path) as mine:
+        # A run that finds another one at the ordinals numbers the keys for itself alone.
+        return _changes(rows, head, path if mine else None)
+
+
+def _changes(rows: DataFrame, head: DataFrame, path: str | None) -> DataFrame:
+    spark, block = rows.sparkSession, ["series", "block"]
+    known = kept(spark, path, _ORDINALS) if path else None
+    if known is not None:
+        # A series keeps the number of blocks that it was given when it was first seen.
+        given = known.groupBy("project_id", "branch").agg(F.max("blocks").alias("given"))
+        head = cut(head.join(given, ["project_id", "branch"], "left").withColumn("blocks", F.coalesce("given", "blocks")).drop("given"))
+        names = small(head.groupBy("series").agg(F.first("project_id").alias("project_id"), F.first("branch").alias("branch"), F.max("blocks").alias("blocks")))
+        known = known.drop("blocks").join(names.drop("blocks"), ["project_id", "branch"]).select(*block, "key", "ordinal").repartition(*block)
+    placed = join_counted(rows, head.select("series", "pos", "next_id", "blocks", "n", "id", F.col("id").alias("snapshot_id")), ["snapshot_id"], "n")
+    placed = placed.withColumn("block", F.expr("pmod(xxhash64(key), blocks)").cast("int")).drop("blocks", "snapshot_id").repartition(*block)
+    once = placed.groupBy(*block, "key", "pos").agg(*(F.max(c).alias(c) for c in ("id", "next_id", "digest", "bytes", "lines")))
+    numbered = with_ordinals(once, known)
+    if path:
+        # Only keys go through this job; what is numbered below reads the ordinals as they were before it, and so agrees.
+        added = numbered.where("new").groupBy(*block, "key").agg(F.min("ordinal").alias("ordinal")).join(names, "series")
+        added.select("project_id", "branch", "blocks", "block", "key", "ordinal").write.mode("append").parquet(path)
 
     bit = (F.col("ordinal") % 64).cast("int")
     numbered = numbered.withColumn("word", F.floor(F.col("ordinal") / 64).cast("int")).withColumn("bit", bit)
@@ -132,8 +129,8 @@ def snapshot_changes(headers: DataFrame, files: DataFrame, path: str | None = No
         "next": F.when(F.lead("pos").over(step) == F.col("pos") + 1, F.lead("present").over(step)).otherwise(F.lit(0)),
     })
     both = near.withColumns({
-        "added": F.when(F.col("pos") > F.col("stretch") * STRETCH, F.col("present").bitwiseAND(F.bitwise_not("prev"))).otherwise(F.lit(0)),
-        "removed": F.when(F.col("next_id").isNotNull() & (F.col("pos") < (F.col("stretch") + 1) * STRETCH), F.col("present").bitwiseAND(F.bitwise_not("next"))).otherwise(F.lit(0)),
+        "added": F.when(F.col("pos") > 0, F.col("present").bitwiseAND(F.bitwise_not("prev"))).otherwise(F.lit(0)),
+        "removed": F.when(F.col("next_id").isNotNull(), F.col("present").bitwiseAND(F.bitwise_not("next"))).otherwise(F.lit(0)),
         "common": F.col("present").bitwiseAND(F.col("prev")),
     })
     # A word that is whole in both neighbours and has the same vector needs no look at its bits.

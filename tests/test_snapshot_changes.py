@@ -2,7 +2,7 @@ import random
 import tempfile
 
 from cairn.operators import snapshot_changes as module
-from cairn.operators.snapshot_changes import BLOCK_KEYS, extend_ordinals, snapshot_changes
+from cairn.operators.snapshot_changes import snapshot_changes
 from cairn.runtime import only_one
 
 H = "id long, project_id long, branch string, created_at long, file_count long, id2 string, snapshot_id long"
@@ -58,8 +58,9 @@ def test_random_series_against_brute_force(spark):
     assert run(spark, headers, files) == brute(headers, files)
 
 
-def test_one_hot_series_is_spread_over_blocks(spark):
-    n = 3 * BLOCK_KEYS
+def test_one_hot_series_is_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(module, "BLOCK_ROWS", 100)
+    n = 1500
     headers = [(1, 1, "b", 1, n), (2, 1, "b", 2, n)]
     files = [(1, f"f{k}", "aa", 1, 1) for k in range(n)] + [(2, f"f{k}", "aa" if k % 2 else "bb", 1, 1) for k in range(1, n + 1)]
     assert run(spark, headers, files) == brute(headers, files)
@@ -70,27 +71,27 @@ def test_empty_tables(spark):
 
 
 def test_long_series_and_kept_ordinals(spark, monkeypatch):
-    monkeypatch.setattr(module, "STRETCH", 4)
+    monkeypatch.setattr(module, "BLOCK_ROWS", 40)
     rng, path = random.Random(6), tempfile.mkdtemp() + "/ordinals"
     headers = [(s, s % 2, "b", 100 + s, 0) for s in range(30)]
     files = [(s, f"f{k}", rng.choice(["aa", "bb", None]), 1, 1) for s in range(30) for k in range(20 + s) if rng.random() < 0.8]
     early = [f for f in files if f[0] < 20]
     assert run(spark, headers[:20], early, path) == brute(headers[:20], early)
-    first = {(r.project_id, r.branch, r.key): r.ordinal for r in spark.read.parquet(path).collect()}
+    first = {(r.project_id, r.branch, r.key): (r.block, r.ordinal) for r in spark.read.parquet(path).collect()}
     assert run(spark, headers, files, path) == brute(headers, files) == run(spark, headers, files, path)
     rows = spark.read.parquet(path).collect()
-    last = {(r.project_id, r.branch, r.key): r.ordinal for r in rows}
+    last = {(r.project_id, r.branch, r.key): (r.block, r.ordinal) for r in rows}
     assert len(rows) == len(last) > len(first) and all(last[k] == v for k, v in first.items())
     assert len({(p, b, o) for (p, b, _), o in last.items()}) == len(last)
 
 
 def test_only_one_run_extends_ordinals(spark):
     path = tempfile.mkdtemp() + "/ordinals"
-    keys = spark.createDataFrame([(1, "b", "k", 0)], "project_id long, branch string, key string, first long")
+    headers, files = [(1, 1, "b", 1, 0), (2, 1, "b", 2, 0)], [(1, "k", "aa", 1, 1), (2, "l", "aa", 1, 1)]
     with only_one(spark, path) as mine, only_one(spark, path) as other:
         assert mine and not other
-        assert [r.ordinal for r in extend_ordinals(keys, path).collect()] == [0]
-    assert extend_ordinals(keys, path).count() == 1 == spark.read.parquet(path).count()
+        assert run(spark, headers, files, path) == brute(headers, files)
+    assert run(spark, headers, files, path) == brute(headers, files) and spark.read.parquet(path).count() == 2
 
 
 def test_declared_counts_say_nothing_of_blocks(spark):
