@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from cairn.functions import paths
 
 # Extensions and names that tell text from binary files.
-TEXT_EXTENSIONS = (
-    "adoc ahk asciidoc astro bash bat bib bzl c cc cfg cjs clj cljc cljs cls cmake cmd conf config cpp cs css csv cxx d dart desktop diff dockerfile dockerignore editorconfig edn ejs elm env erl err ex exs "
-    "feature fish fs fsi fsx gemspec gitattributes gitignore go gql gradle graphql groovy h haml hcl hh hpp hrl hs htm html hxx ini ipynb java jl js json json5 jsx kt kts less lhs lock log lua makefile md markdown mjs mk ml mli "
-    "nim npmrc nvmrc odin org out patch php phtml pl pm pod properties proto ps1 psm1 py pyi pyw r rake rb rs rst sass scala scss sh sol sql svelte tex tf tfvars toml ts tsv tsx txt v vb vbs vue xml yaml yml zig zsh "
-    "s asm dts dtsi dtso lds ld ac am m4 in mak make kconfig defconfig cocci awk sed"
-).split()
-BINARY_EXTENSIONS = (
-    "7z a aac accdb ai aiff apk avi bin blend bmp bz2 cab class db dll dmg doc docx dwg dylib ear eot epub exe fbx flac flv gif gz heic ico iso jar jpeg jpg lib m4a m4v max mdb mkv mov mp3 mp4 mpeg mpg o obj odp ods odt "
-    "ogg opus otf pdf png ppt pptx psd pyc pyd pyo rar raw so sqlite sqlite3 tar tif tiff ttf wav war webm webp wmv woff woff2 wma xls xlsx xz zip"
-).split()
-TEXT_NAMES = (
-    ".env .env.example .env.local .env.development .env.production .gitignore .gitattributes .dockerignore .editorconfig .npmrc .nvmrc dockerfile makefile readme license kconfig kbuild gnumakefile maintainers copying authors credits"
-).split()
+TEXT_EXTENSIONS = [
+    "adoc", "ahk", "asciidoc", "astro", "bash", "bat", "bib", "bzl", "c", "cc", "cfg", "cjs", "clj", "cljc", "cljs", "cls", "cmake", "cmd", "conf", "config", "cpp", "cs", "css", "csv", "cxx", "d", "dart",
+    "desktop", "diff", "dockerfile", "dockerignore", "editorconfig", "edn", "ejs", "elm", "env", "erl", "err", "ex", "exs", "feature", "fish", "fs", "fsi", "fsx", "gemspec", "gitattributes", "gitignore", "go",
+    "gql", "gradle", "graphql", "groovy", "h", "haml", "hcl", "hh", "hpp", "hrl", "hs", "htm", "html", "hxx", "ini", "ipynb", "java", "jl", "js", "json", "json5", "jsx", "kt", "kts", "less", "lhs", "lock",
+    "log", "lua", "makefile", "md", "markdown", "mjs", "mk", "ml", "mli", "nim", "npmrc", "nvmrc", "odin", "org", "out", "patch", "php", "phtml", "pl", "pm", "pod", "properties", "proto", "ps1", "psm1", "py",
+    "pyi", "pyw", "r", "rake", "rb", "rs", "rst", "sass", "scala", "scss", "sh", "sol", "sql", "svelte", "tex", "tf", "tfvars", "toml", "ts", "tsv", "tsx", "txt", "v", "vb", "vbs", "vue", "xml", "yaml", "yml",
+    "zig", "zsh", "s", "asm", "dts", "dtsi", "dtso", "lds", "ld", "ac", "am", "m4", "in", "mak", "make", "kconfig", "defconfig", "cocci", "awk", "sed",
+]
+BINARY_EXTENSIONS = [
+    "7z", "a", "aac", "accdb", "ai", "aiff", "apk", "avi", "bin", "blend", "bmp", "bz2", "cab", "class", "db", "dll", "dmg", "doc", "docx", "dwg", "dylib", "ear", "eot", "epub", "exe", "fbx", "flac", "flv",
+    "gif", "gz", "heic", "ico", "iso", "jar", "jpeg", "jpg", "lib", "m4a", "m4v", "max", "mdb", "mkv", "mov", "mp3", "mp4", "mpeg", "mpg", "o", "obj", "odp", "ods", "odt", "ogg", "opus", "otf", "pdf", "png",
+    "ppt", "pptx", "psd", "pyc", "pyd", "pyo", "rar", "raw", "so", "sqlite", "sqlite3", "tar", "tif", "tiff", "ttf", "wav", "war", "webm", "webp", "wmv", "woff", "woff2", "wma", "xls", "xlsx", "xz", "zip",
+]
+TEXT_NAMES = [
+    ".env", ".env.example", ".env.local", ".env.development", ".env.production", ".gitignore", ".gitattributes", ".dockerignore", ".editorconfig", ".npmrc", ".nvmrc", "dockerfile", "makefile", "readme",
+    "license", "kconfig", "kbuild", "gnumakefile", "maintainers", "copying", "authors", "credits",
+]
 
 # Groups of a plan, by extension; names and tests are looked at first.
 PLAN_GROUPS = {
@@ -44,14 +48,17 @@ ARCHIVE_GROUPS = {
 }
 # Languages by extension and by file name.
 LANGUAGES = {
-    "Python": "py pyw pyi", "JavaScript": "js mjs cjs", "JavaScript / React": "jsx", "TypeScript": "ts", "TypeScript / React": "tsx", "CSS": "css", "SCSS": "scss", "Sass": "sass", "Less": "less",
-    "HTML": "html htm", "Vue": "vue", "Svelte": "svelte", "Astro": "astro", "Go": "go", "Rust": "rs", "Java": "java", "Kotlin": "kt kts", "C#": "cs", "C++": "cpp cxx cc", "C": "c", "C/C++ Header": "h", "C++ Header": "hpp",
-    "Ruby": "rb", "PHP": "php", "Swift": "swift", "Dart": "dart", "SQL": "sql", "Shell": "sh bash zsh fish", "PowerShell": "ps1", "Batch": "bat cmd", "JSON": "json", "JSON5": "json5", "YAML": "yaml yml", "TOML": "toml",
-    "XML": "xml", "Markdown": "md markdown", "reStructuredText": "rst", "Dockerfile": "dockerfile", "Assembly": "s asm", "Linker Script": "lds ld", "Device Tree": "dts dtsi dtso", "Makefile": "mk mak make", "CMake": "cmake",
-    "Autoconf": "ac", "Automake": "am", "M4": "m4", "Perl": "pl pm", "Awk": "awk", "Coccinelle": "cocci",
+    "py": "Python", "pyw": "Python", "pyi": "Python", "js": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "jsx": "JavaScript / React", "ts": "TypeScript", "tsx": "TypeScript / React", "css": "CSS",
+    "scss": "SCSS", "sass": "Sass", "less": "Less", "html": "HTML", "htm": "HTML", "vue": "Vue", "svelte": "Svelte", "astro": "Astro", "go": "Go", "rs": "Rust", "java": "Java", "kt": "Kotlin", "kts": "Kotlin",
+    "cs": "C#", "cpp": "C++", "cxx": "C++", "cc": "C++", "c": "C", "h": "C/C++ Header", "hpp": "C++ Header", "rb": "Ruby", "php": "PHP", "swift": "Swift", "dart": "Dart", "sql": "SQL", "sh": "Shell",
+    "bash": "Shell", "zsh": "Shell", "fish": "Shell", "ps1": "PowerShell", "bat": "Batch", "cmd": "Batch", "json": "JSON", "json5": "JSON5", "yaml": "YAML", "yml": "YAML", "toml": "TOML", "xml": "XML",
+    "md": "Markdown", "markdown": "Markdown", "rst": "reStructuredText", "dockerfile": "Dockerfile", "s": "Assembly", "asm": "Assembly", "lds": "Linker Script", "ld": "Linker Script", "dts": "Device Tree",
+    "dtsi": "Device Tree", "dtso": "Device Tree", "mk": "Makefile", "mak": "Makefile", "make": "Makefile", "cmake": "CMake", "ac": "Autoconf", "am": "Automake", "m4": "M4", "pl": "Perl", "pm": "Perl",
+    "awk": "Awk", "cocci": "Coccinelle",
 }
 LANGUAGE_NAMES = {
-    "Makefile": "makefile gnumakefile kbuild", "Kconfig": "kconfig", "Dockerfile": "dockerfile", "Ruby": "vagrantfile rakefile gemfile", "Just": "justfile", "CMake": "cmakelists.txt", "Meson": "meson.build",
+    "makefile": "Makefile", "gnumakefile": "Makefile", "kbuild": "Makefile", "kconfig": "Kconfig", "dockerfile": "Dockerfile", "vagrantfile": "Ruby", "rakefile": "Ruby", "gemfile": "Ruby", "justfile": "Just",
+    "cmakelists.txt": "CMake", "meson.build": "Meson",
 }
 
 
@@ -59,9 +66,14 @@ def by_extension(groups: dict[str, str]) -> dict[str, str]:
     return {e: group for group, extensions in groups.items() for e in extensions.split()}
 
 
+def named(value: Column, names: dict[str, str]) -> Column:
+    """What names has for value, null if nothing; a constant map, so rows stay where they are."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), value)
+
+
 def lookup(value: Column, groups: dict[str, str]) -> Column:
-    """The group that value belongs to, null if none; a constant map, so rows stay where they are."""
-    return F.try_element_at(F.create_map(*(F.lit(x) for pair in by_extension(groups).items() for x in pair)), value)
+    """The group that value belongs to, null if none."""
+    return named(value, by_extension(groups))
 
 
 def is_text(path: Column) -> Column:
@@ -100,8 +112,8 @@ def archive_group(path: Column, project: Column) -> Column:
 def language(path: Column) -> Column:
     """By file name, then extension, then the name before its first dot; null if unknown."""
     n = F.lower(paths.name(path))
-    stem = lookup(F.substring_index(n, ".", 1), LANGUAGE_NAMES)
-    return F.coalesce(lookup(n, LANGUAGE_NAMES), lookup(paths.extension_key(path), LANGUAGES), F.when(n.contains("."), stem))
+    stem = named(F.substring_index(n, ".", 1), LANGUAGE_NAMES)
+    return F.coalesce(named(n, LANGUAGE_NAMES), named(paths.extension_key(path), LANGUAGES), F.when(n.contains("."), stem))
 
 
 def is_binary_sniff(content: Column) -> Column:

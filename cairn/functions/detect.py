@@ -16,9 +16,10 @@ SCAN_ROOTS = r"API[_-]?KEY|SECRET|TOKEN|PASSWORD|PASS|PRIVATE[_-]?KEY"
 ASSIGNMENT_ROOTS = SCAN_ROOTS + r"|DATABASE[_-]?URL|JWT[_-]?SECRET"
 MENTION_ROOTS = ASSIGNMENT_ROOTS + r"|ACCESS[_-]?KEY|CLIENT[_-]?SECRET"
 # A line with one of these is about the detector itself and never a finding.
-SELF_HINTS = (
-    "SECRET_PATTERNS SECRET_KEY_PATTERN redact_secrets REDACT_KEYWORDS SCAN_KEYWORDS ASSIGNMENT_SECRET_RE PRIVATE_KEY_RE PROVIDER_PATTERNS REDACT_ROOTS SCAN_ONLY_ROOTS ASSIGNMENT_ONLY_ROOTS find_keyword_assignments find_secret_spans"
-).split()
+SELF_HINTS = [
+    "SECRET_PATTERNS", "SECRET_KEY_PATTERN", "redact_secrets", "REDACT_KEYWORDS", "SCAN_KEYWORDS", "ASSIGNMENT_SECRET_RE", "PRIVATE_KEY_RE", "PROVIDER_PATTERNS", "REDACT_ROOTS", "SCAN_ONLY_ROOTS", "ASSIGNMENT_ONLY_ROOTS",
+    "find_keyword_assignments", "find_secret_spans",
+]
 
 VALUE = rf"""(?i){_B}(?:{SCAN_ROOTS}){_E}[ \t]*[:=][ \t]*(?:"[^\s"]+"|'[^\s']+'|[^\s"']+)"""
 BEARER = rf"(?i){_B}BEARER{_E}[ \t]+[A-Za-z0-9._+/=\-]{{16,}}"
@@ -29,7 +30,7 @@ TELEGRAM = r"[0-9]{8,10}:[A-Za-z0-9_\-]{35}"
 URL_PASSWORD = r"://[^\s/?#:@]*:[^\s/?#@]+@"
 HTTP_AUTH = rf"(?i){_B}(?:BASIC|DIGEST){_E}[ \t]+[A-Za-z0-9._+/=\-]{{16,}}"
 
-#: rule, pattern, confidence, in the order in which they are tried.
+# Rule, pattern, confidence, in the order in which they are tried.
 PROVIDERS = [
     ("aws-access-key-id", r"AKIA[0-9A-Z]{16}", "critical"),
     ("aws-secret-access-key", r"""(?i)aws[_-]?secret[_-]?access[_-]?key["']?\s*[:=]\s*["']?[A-Za-z0-9/+=]{40,}""", "critical"),
@@ -45,7 +46,7 @@ PROVIDERS = [
     ("pem-private-key", ARMOR, "critical"),
 ]
 
-#: rule, severity, pattern, explanation.
+# Rule, severity, pattern, explanation.
 RISKY = [
     ("python-eval", "critical", rf"{_B}eval\s*\(", "Python eval() runs any code."),
     ("python-exec", "critical", rf"{_B}exec\s*\(", "Python exec() runs any code."),
@@ -114,16 +115,18 @@ def secret(line: Column) -> Column:
     """rule and confidence of the one secret that a line is reported for, null if none."""
     hit = lambda rule, confidence: F.struct(F.lit(rule).alias("rule"), confidence.alias("confidence"))
     k = keyword_confidence(line)
-    return (
-        F.when(self_protected(line), F.lit(None).cast("struct<rule:string,confidence:string>"))
-        .when(k.isin("critical", "high"), hit("secret_like_line", k))
-        .when(provider(line).isNotNull(), provider(line))
-        .when(line.rlike(TELEGRAM), hit("telegram-bot-token", F.lit("critical")))
-        .when(k.isNotNull(), hit("secret_like_line", k))
-        .when(line.rlike(URL_PASSWORD), hit("url-credentials", F.lit("high")))
-        .when(line.rlike(HTTP_AUTH), hit("http-auth-credentials", F.lit("high")))
-        .when(F.size(entropy_tokens(line)) > 0, hit("high-entropy-token", F.get(entropy_tokens(line), F.lit(0))["confidence"]))
+    drawn = F.get(F.transform(entropy_tokens(line), lambda t: hit("high-entropy-token", t["confidence"])), F.lit(0))
+    # Each is looked at only where those before it find nothing.
+    first = F.coalesce(
+        F.when(k.isin("critical", "high"), hit("secret_like_line", k)),
+        provider(line),
+        F.when(line.rlike(TELEGRAM), hit("telegram-bot-token", F.lit("critical"))),
+        F.when(k.isNotNull(), hit("secret_like_line", k)),
+        F.when(line.rlike(URL_PASSWORD), hit("url-credentials", F.lit("high"))),
+        F.when(line.rlike(HTTP_AUTH), hit("http-auth-credentials", F.lit("high"))),
+        drawn,
     )
+    return F.when(~self_protected(line), first)
 
 
 def risky(line: Column) -> Column:

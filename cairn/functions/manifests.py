@@ -14,7 +14,7 @@ def package_json(text: str) -> list[tuple[str, str, str]]:
     except ValueError:
         return []
     out = []
-    for key, kind in (("dependencies", "dependency"), ("devDependencies", "dev_dependency"), ("peerDependencies", "peer_dependency"), ("scripts", "script")):
+    for key, kind in (("dependencies", "dependency"), ("devDependencies", "dev_dependency"), ("peerDependencies", "peer_dependency"), ("optionalDependencies", "optional_dependency"), ("scripts", "script")):
         block = data.get(key) if isinstance(data, dict) else None
         out += [(kind, name, str(value)) for name, value in block.items()] if isinstance(block, dict) else []
     return out
@@ -81,7 +81,8 @@ def declared(path: str | None, text: str | None) -> list[tuple[str, str, str]]:
     if name == "go.mod":
         return go_mod(text)
     if re.fullmatch(r"requirements.*\.txt", name):
-        return requirements(text)
+        # Those of other folders are of what lies there.
+        return requirements(text) if not re.search(r"[\\/]", path) else []
     if name in ("makefile", "gnumakefile"):
         return makefile(text)
     return compose(text) if re.fullmatch(r"(?:docker-)?compose(?:\..+)?\.ya?ml", name) else []

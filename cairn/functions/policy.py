@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from cairn.functions import paths
 
 # Fixed values.
-SENSITIVE_NAMES = ".env .env.local .env.development .env.production .env.test id_rsa id_dsa id_ecdsa id_ed25519 credentials.json service-account.json service_account.json firebase-adminsdk.json".split()
-SENSITIVE_SUFFIXES = "key pem p12 pfx crt cer keystore jks".split()
-HIGH_RISK_NAMES = ".env .env.local .env.development .env.production .env.test .npmrc .pypirc credentials.json secrets.json secret.json service-account.json service_account.json firebase-adminsdk.json id_rsa id_dsa id_ecdsa id_ed25519".split()
-SAFE_SUFFIXES = "key pem p12 pfx crt cer keystore jks db sqlite sqlite3 bak dump backup 7z rar tar gz xz zip".split()
-BALANCED_SUFFIXES = "key pem p12 pfx crt cer keystore jks bak dump backup".split()
+SENSITIVE_NAMES = [".env", ".env.local", ".env.development", ".env.production", ".env.test", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "credentials.json", "service-account.json", "service_account.json", "firebase-adminsdk.json"]
+SENSITIVE_SUFFIXES = ["key", "pem", "p12", "pfx", "crt", "cer", "keystore", "jks"]
+HIGH_RISK_NAMES = [".env", ".env.local", ".env.development", ".env.production", ".env.test", ".npmrc", ".pypirc", "credentials.json", "secrets.json", "secret.json", "service-account.json", "service_account.json", "firebase-adminsdk.json", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519"]
+SAFE_SUFFIXES = ["key", "pem", "p12", "pfx", "crt", "cer", "keystore", "jks", "db", "sqlite", "sqlite3", "bak", "dump", "backup", "7z", "rar", "tar", "gz", "xz", "zip"]
+BALANCED_SUFFIXES = ["key", "pem", "p12", "pfx", "crt", "cer", "keystore", "jks", "bak", "dump", "backup"]
 
 _SKIP = "struct<reason:string,severity:string>"
 

@@ -69,17 +69,30 @@ def _bits(token: str) -> float:
     return -sum(token.count(c) / n * math.log2(token.count(c) / n) for c in set(token))
 
 
+_MASKED = [(_python(p), 0) for _, p, _ in detect.PROVIDERS] + [(re.compile(detect.TELEGRAM), 0)]
+
+
+def _masked(line: str) -> str:
+    """line without what is secret by its form or looks drawn; of spans that overlap, all they reach is masked once."""
+    found = [m.span() for rx, _ in _MASKED for m in rx.finditer(line)]
+    found += [m.span() for m in _TOKEN.finditer(line) if _bits(m[0]) >= 4.0 or len(m[0]) >= 32 and _bits(m[0]) >= 3.0]
+    out, at = [], 0
+    for s, e in sorted(found):
+        if s >= at:
+            out += [line[at:s], KEY_MASK]
+        at = max(at, e)
+    return "".join([*out, line[at:]])
+
+
 def message(line: str | None) -> str | None:
-    """A finding's message: the redacted line; if it still mentions a secret, only its key; drawn tokens are masked."""
+    """A finding's message: the redacted line; if it still mentions a secret, only its key; tokens and what looks drawn are masked."""
     if line is None:
         return None
     text = redact_line(line).strip()
-    if text != line.strip() and not _MENTION.search(re.sub(r"<REDACTED[^>]*>", "", text)):
-        pass
-    elif _MENTION.search(text) and "<REDACTED" not in text:
+    if "<REDACTED" not in text and _MENTION.search(text):
         key, eq, _ = text.partition("=")
         text = f"{_key(key.rstrip())}={KEY_MASK}" if eq else LINE_MASK
-    return _TOKEN.sub(lambda m: MASK if (_bits(m[0]) >= 4.0 or len(m[0]) >= 32 and _bits(m[0]) >= 3.0) else m[0], text)
+    return _masked(text)
 
 
 def redact_message(line: str) -> Column:
@@ -93,3 +106,8 @@ def redact_column(line: str) -> Column:
 def secret_column(line: str) -> Column:
     """The normalised secrets of each line, in order."""
     return F.pandas_udf(lambda s: pd.Series([[normal(x[a:b]) for a, b in spans(x)] if x else [] for x in s]), "array<string>")(line)
+
+
+def label_column(line: str, labels: str) -> Column:
+    """The redacted lines, each secret under its own label (a map of normalised secrets)."""
+    return F.pandas_udf(lambda s, m: pd.Series([redact_line(x, dict(y) if y is not None else None) for x, y in zip(s, m)], dtype="object"), "string")(line, labels)

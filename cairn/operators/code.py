@@ -102,7 +102,8 @@ SYMBOLS = [
 def symbols(files: DataFrame) -> DataFrame:
     """doc_id, kind, name of the classes, functions, components and hooks that files define, each once."""
     e = paths.extension(F.col("rel_path"))
-    found = [F.when(e.isin(ends), F.transform(F.filter(F.concat(*(_all(p, g) for g in groups)), lambda n: n != ""), lambda n, kind=kind: F.struct(F.lit(kind).alias("kind"), n.alias("name")))) for kind, ends, p, groups in SYMBOLS]
+    named = lambda kind: lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name"))
+    found = [F.when(e.isin(ends), F.transform(F.filter(F.concat(*(_all(p, g) for g in groups)), lambda n: n != ""), named(kind))) for kind, ends, p, groups in SYMBOLS]
     none = F.array().cast("array<struct<kind:string,name:string>>")
     rows = files.where(F.col("text").isNotNull()).select("doc_id", F.explode(F.concat(*(F.coalesce(x, none) for x in found))).alias("s"))
     return rows.select("doc_id", "s.kind", "s.name").distinct()
@@ -123,9 +124,10 @@ CALL = r"""(?:fetch|(?:axios|client)\.(?:get|post|put|patch|delete))\([ \t\r\n]*
 def routes(files: DataFrame) -> DataFrame:
     """doc_id, method, route of the routes that files of servers declare, each once."""
     e, found = paths.extension(F.col("rel_path")), []
+    same = lambda method: lambda _: F.lit(method)
     for ends, pattern, method, route, default in ROUTES:
         names = _all(pattern, route)
-        verbs = F.transform(_all(pattern, method), F.upper) if method else F.transform(names, lambda _, d=default: F.lit(d))
+        verbs = F.transform(_all(pattern, method), F.upper) if method else F.transform(names, same(default))
         found.append(F.when(e.isin(ends), F.arrays_zip(verbs.alias("method"), names.alias("route"))))
     none = F.array().cast("array<struct<method:string,route:string>>")
     rows = files.where(F.col("text").isNotNull()).select("doc_id", F.explode(F.concat(*(F.coalesce(x, none) for x in found))).alias("r"))

@@ -9,22 +9,24 @@ from cairn.functions import classify, detect, paths, policy
 from cairn.functions.redact import redact_message
 from cairn.operators.lines import numbered_lines
 
-#: What a line must hold for any rule but entropy to match; most lines have none of it.
-PREFILTER = (
-    r"(?i)key|secret|token|pass|database|bearer|basic|digest|private|akia|gh[pous]_|github_pat_|aiza|xox[baprs]-|_live_|sk-|eyj|://|[0-9]{8}:|eval|exec|subprocess|pickle|yaml|innerhtml|document\.write|localstorage|[a-z0-9+/=_\-]{20}"
-)
+#: What a line must hold for a rule whose value can be cut out to match; most lines have none of it.
+ANCHORS = r"(?i)key|secret|token|pass|database|bearer|basic|digest|private|akia|gh[pous]_|github_pat_|aiza|xox[baprs]-|_live_|sk-|eyj|://|[0-9]{8}:"
+#: The same for any rule.
+PREFILTER = ANCHORS + r"|eval|exec|subprocess|pickle|yaml|innerhtml|document\.write|localstorage|[a-z0-9+/=_\-]{20}"
 
 
 def line_findings(files: DataFrame) -> DataFrame:
-    """files' key columns, type, severity, confidence, line, rule, content of secrets and risky code. files: rel_path, text."""
+    """files' key columns, type, severity, confidence, line, rule, content of secrets and risky code. files: rel_path, text.
+
+    Lines are made once: what is found on a line is an array, which is taken apart.
+    """
     lines = numbered_lines(files).where(F.col("content").rlike(PREFILTER))
     keys = [c for c in files.columns if c != "text"]
-    content = F.col("content")
-    secret = lines.withColumn("s", detect.secret(content)).where(F.col("s").isNotNull())
-    confidence = F.col("s.confidence")
-    secrets = secret.select(*keys, F.lit("potential_secret").alias("type"), confidence.alias("severity"), confidence.alias("confidence"), "line", F.col("s.rule").alias("rule"), "content")
-    risky = lines.select(*keys, "line", "content", F.explode(detect.risky(content)).alias("r"))
-    return secrets.unionByName(risky.select(*keys, F.lit("risky_code").alias("type"), F.col("r.severity").alias("severity"), F.lit("medium").alias("confidence"), "line", F.col("r.rule").alias("rule"), "content"))
+    hit = lambda kind, severity, confidence, rule: F.struct(F.lit(kind).alias("type"), severity.alias("severity"), confidence.alias("confidence"), rule.alias("rule"))
+    secret = F.transform(F.array(detect.secret(F.col("content"))), lambda s: F.when(s.isNotNull(), hit("potential_secret", s["confidence"], s["confidence"], s["rule"])))
+    risky = F.transform(detect.risky(F.col("content")), lambda r: hit("risky_code", r["severity"], F.lit("medium"), r["rule"]))
+    found = lines.withColumn("h", F.explode(F.array_compact(F.concat(secret, risky))))
+    return found.select(*keys, "h.type", "h.severity", "h.confidence", "line", "h.rule", "content")
 
 
 def sensitive_files(files: DataFrame) -> DataFrame:
@@ -59,6 +61,24 @@ def summary(findings: DataFrame) -> DataFrame:
     return findings.agg(*kinds, F.count_if(F.col("severity") == "critical").alias("critical"))
 
 
+# How a run of the scan ends.
+EXIT_CODES = {"success": 0, "failure": 1, "bad_arguments": 2, "critical_secrets": 3}
+
+
+def exit_code(gating: int, failed: bool = False, arguments: bool = True) -> int:
+    """The code a run ends with: failures come before findings."""
+    return EXIT_CODES["bad_arguments" if not arguments else "failure" if failed else "critical_secrets" if gating else "success"]
+
+
+def gates(findings: DataFrame) -> DataFrame:
+    """fail_on, gating, exit_code for each severity that a run may fail on, in one pass."""
+    ranks = {"critical": 0, "high": 1, "medium": 2, "low": 3}
+    rank = policy.severity_rank(F.lower("severity"))
+    wide = findings.agg(*(F.count_if(rank <= r).alias(name) for name, r in ranks.items()))
+    rows = wide.select(F.explode(F.array(*(F.struct(F.lit(n).alias("fail_on"), F.col(n).alias("gating")) for n in ranks))).alias("g")).select("g.*")
+    return rows.withColumn("exit_code", F.when(F.col("gating") > 0, EXIT_CODES["critical_secrets"]).otherwise(EXIT_CODES["success"]))
+
+
 def gate(findings: DataFrame, fail_on: str) -> DataFrame:
     """One row: how many findings are at least as severe as fail_on, and whether that fails a run."""
     limit = F.lit({"critical": 0, "high": 1, "medium": 2, "low": 3}.get(fail_on, 9))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions import paths
 
 # Markers of open work.
-TODO_WORDS = "TODO FIXME HACK XXX BUG TEMP REFACTOR DEPRECATED".split()
+TODO_WORDS = ["TODO", "FIXME", "HACK", "XXX", "BUG", "TEMP", "REFACTOR", "DEPRECATED"]
 TODO = r"(?i)(?<![\p{L}\p{N}_])(" + "|".join(TODO_WORDS) + r")(?![\p{L}\p{N}_])"
 _COMMENT = r"^(//|/\*|\*|#|<!--|--)"
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions import sizes
+
 MIB = 1024 * 1024
 PART_TARGET, PART_RESERVE = 500 * MIB, 8 * MIB
 
@@ -40,6 +42,39 @@ def budget_fit(candidates: DataFrame, budget: int) -> DataFrame:
     return folded.unionByName(out).unionByName(free.drop("possible").withColumn("included", F.lit(True))).drop("rank")
 
 
+#: What the fit puts into the plan for a file that it leaves out, and the importance of a file of which nothing is known.
+UNFIT, UNKNOWN_IMPORTANCE = "does not fit the configured token budget", 1.0
+
+
+def fit_plan(planned: DataFrame, importance: DataFrame, budget: int, pinned: Column) -> DataFrame:
+    """planned with the included files that don't fit the budget excluded (severity info); pinned ones stay whatever they cost.
+
+    planned: project_id, doc_id, rel_path, size, status, reason, severity; importance: doc_id, importance; a file that
+    it doesn't hold has UNKNOWN_IMPORTANCE. Pinned files take part in the fit like all others.
+    """
+    included = planned.where("status = 'included'").join(importance.select("doc_id", F.col("importance").cast("double")), "doc_id", "left")
+    candidates = included.select(F.col("project_id").alias("group"), F.col("doc_id").alias("id"), F.coalesce("importance", F.lit(UNKNOWN_IMPORTANCE)).alias("importance"), sizes.token_estimate(F.col("size")).alias("tokens"))
+    unfit = budget_fit(candidates, budget).where("NOT included").select(F.col("id").alias("doc_id"), F.lit(True).alias("_unfit"))
+    rows = planned.join(unfit, "doc_id", "left")
+    out = F.coalesce("_unfit", F.lit(False)) & ~pinned
+    return rows.select(*(F.when(out, F.lit(v)).otherwise(F.col(c)).alias(c) if (v := {"status": "excluded", "reason": UNFIT, "severity": "info"}.get(c)) else F.col(c) for c in planned.columns))
+
+
+def oversized(entries: DataFrame, written: DataFrame, limit: int) -> DataFrame:
+    """archive, part, bytes, entries, largest, replan: parts whose written file is larger than limit. A part of several entries is planned anew; one entry can't be helped.
+
+    entries: archive, part, size of what was packed; written: archive, part, bytes.
+    """
+    held = entries.groupBy("archive", "part").agg(F.count("*").alias("entries"), F.max("size").alias("largest"))
+    late = written.where(F.col("bytes") > limit).join(held, ["archive", "part"])
+    return late.select("archive", "part", "bytes", "entries", "largest", (F.col("entries") > 1).alias("replan"))
+
+
+def replanned_target(target: int, limit: int, bytes_: int) -> int:
+    """A smaller target for parts that came out larger than limit: less by what they were too large."""
+    return max(1, int(target * limit / bytes_ * 0.95)) if bytes_ > limit else target
+
+
 def part_target(limit: int) -> int:
     return min(PART_TARGET, max(1, max(1, limit) - PART_RESERVE))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cairn.functions import paths, policy
 
 # Directories that are never looked into.
-BASE_IGNORED = ".git node_modules __pycache__ .pytest_cache .mypy_cache .ruff_cache .tox .venv venv env dist build coverage .coverage .next .nuxt .turbo .parcel-cache".split()
+BASE_IGNORED = [".git", "node_modules", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".venv", "venv", "env", "dist", "build", "coverage", ".coverage", ".next", ".nuxt", ".turbo", ".parcel-cache"]
 LARGE = 100 * 1024 * 1024
 
 
@@ -75,6 +75,15 @@ class Rules:
             out = out | (parent == d) | parent.startswith(f"{d}/") | F.array_contains(paths.parts(parent), d)
         return out
 
+    def skips(self, directory: Column) -> Column:
+        """The rule for which a directory (lower case, with `/`) isn't looked into, null if it is: kept directories are, and those above a kept file."""
+        kept = F.lit(False)
+        for d in self.keep_dirs:
+            kept = kept | (directory == d) | directory.startswith(f"{d}/") | F.array_contains(F.split(directory, "/"), d)
+        for f in self.keep_files:
+            kept = kept | (directory == f) | F.lit(f).startswith(F.concat(directory, F.lit("/")))
+        return F.when(~kept, self._dir_rule(directory))
+
     def _dir_rule(self, ancestor: Column) -> Column:
         name, out = F.substring_index(ancestor, "/", -1), None
         for d in self.dirs:
@@ -95,15 +104,60 @@ class Rules:
         return out.otherwise(F.when(first.isNotNull(), F.concat(F.lit("directory rule: "), first)))
 
 
-def not_looked_into(path: Column, rules: Rules | None = None) -> Column:
-    """Whether a directory above path is ignored as a whole, so path isn't planned at all."""
-    return F.exists(paths.ancestors(F.lower(path)), lambda a: F.substring_index(a, "/", -1).isin(BASE_IGNORED))
+@dataclass
+class IgnoredDirs:
+    """Directories that are never looked into: BASE_IGNORED and extra names, globs of names, and paths of several parts."""
+
+    extra: list[str] = field(default_factory=list)
+
+    def _plain(self) -> list[str]:
+        return sorted({x.strip().lower().replace("\\", "/").strip("/") for x in self.extra} - {""})
+
+    def names(self) -> list[str]:
+        """All of them, each once, sorted."""
+        return sorted({*BASE_IGNORED, *self._plain()})
+
+    def added(self) -> list[str]:
+        """Those that aren't ignored anyway."""
+        return sorted(set(self._plain()) - set(BASE_IGNORED))
+
+    def hit(self, directory: Column) -> Column:
+        """Whether a directory (lower case, with `/`) is one of them or lies in a path that is."""
+        name = F.substring_index(directory, "/", -1)
+        plain = self._plain()
+        out = name.isin([*BASE_IGNORED, *(x for x in plain if "/" not in x and not re.search(r"[*?\[]", x))])
+        for x in plain:
+            if "/" in x:
+                out = out | (directory == x) | directory.startswith(f"{x}/")
+            elif re.search(r"[*?\[]", x):
+                out = out | name.rlike(glob_regex(x))
+        return out
+
+
+def with_overrides(rules: Rules, include: list[str], exclude: list[str]) -> Rules:
+    """rules with what a user put in or out by hand: an included path is pinned, an excluded one is a file rule of its own."""
+    plain = lambda xs: [x.replace("\\", "/").lower() for x in xs]
+    return Rules(rules.dirs, [*plain(exclude), *rules.files], rules.extensions, [*rules.keep_files, *plain(include)], rules.keep_dirs)
+
+
+def override_selection(selected: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
+    """The paths of a diff (rel_path) with those put in by hand and without those put out."""
+    spark = selected.sparkSession
+    one = lambda xs: spark.createDataFrame([(x,) for x in xs], "rel_path string")
+    return selected.select("rel_path").unionByName(one(include)).distinct().join(F.broadcast(one(exclude)), "rel_path", "left_anti")  # as many as a user names
+
+
+def not_looked_into(path: Column, rules: Rules | None = None, ignored: IgnoredDirs | None = None) -> Column:
+    """Whether a directory above path isn't looked into, as ignored or by a rule, so path isn't planned at all."""
+    ignored = ignored or IgnoredDirs()
+    hit = lambda a: ignored.hit(a) | rules.skips(a).isNotNull() if rules else ignored.hit(a)
+    return F.exists(paths.ancestors(F.lower(path)), hit)
 
 
-def plan(files: DataFrame, rules: Rules, mode: str = "safe") -> DataFrame:
+def plan(files: DataFrame, rules: Rules, mode: str = "safe", ignored: IgnoredDirs | None = None) -> DataFrame:
     """files with status, reason, severity: rules decide first, then safety; what is left is included. files: rel_path, size."""
     path = F.col("rel_path")
-    out = files.withColumns({"_rule": rules.reason(path), "_safety": policy.safety(path, mode), "_pinned": rules.pinned(path), "_dir": not_looked_into(path)})
+    out = files.withColumns({"_rule": rules.reason(path), "_safety": policy.safety(path, mode), "_pinned": rules.pinned(path), "_dir": not_looked_into(path, rules, ignored)})
     status = F.when(F.col("_dir"), "not_planned").when(F.col("_rule").isNotNull() | (F.col("_safety").isNotNull()), "excluded").otherwise("included")
     reason = F.when(F.col("_dir"), "inside an ignored directory").when(F.col("_rule").isNotNull(), F.col("_rule")).otherwise(F.coalesce("_safety.reason", F.lit("included")))
     severity = F.when(F.col("_dir"), "info").when(F.col("_rule").isNotNull(), "medium").otherwise(F.coalesce("_safety.severity", F.lit("info")))

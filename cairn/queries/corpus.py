@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import classify, detect, paths, policy, sizes
@@ -245,7 +245,13 @@ def _case(value: str, groups: dict[str, str], default: str = "NULL") -> str:
 
 
 _STEM = "split_part(n, '.', 1)"
-_LANG = f"coalesce({_case('n', classify.LANGUAGE_NAMES)}, {_case('ek', classify.LANGUAGES)}, CASE WHEN contains(n, '.') THEN {_case(_STEM, classify.LANGUAGE_NAMES)} END, 'unknown')"
+
+
+def _named(value: str, names: dict[str, str]) -> str:
+    return f"CASE {value} {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in names.items())} END"
+
+
+_LANG = f"coalesce({_named('n', classify.LANGUAGE_NAMES)}, {_named('ek', classify.LANGUAGES)}, CASE WHEN contains(n, '.') THEN {_named(_STEM, classify.LANGUAGE_NAMES)} END, 'unknown')"
 _PLAN = f"""CASE WHEN len(list_filter(lparts, lambda x: x IN ('test', 'tests', '__tests__'))) > 0 OR starts_with(n, 'test_') THEN 'tests'
   WHEN starts_with(n, 'dockerfile') AND e NOT IN {_in([x for g in ("python_source", "frontend_source", "backend_or_system_source", "docs") for x in classify.PLAN_GROUPS[g].split()])} THEN 'config_and_locks'
   WHEN n IN ('readme.md', 'license') THEN 'docs' ELSE {_case("e", classify.PLAN_GROUPS, "'other'")} END"""
