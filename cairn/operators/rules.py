@@ -104,6 +104,13 @@ class Rules:
         return out.otherwise(F.when(first.isNotNull(), F.concat(F.lit("directory rule: "), first)))
 
 
+def skipped_dirs(files: DataFrame, rules: Rules, ignored: IgnoredDirs | None = None, project: str = "project_id") -> DataFrame:
+    """project, directory (lower case): the topmost directories above files that aren't looked into, each once."""
+    ignored = ignored or IgnoredDirs()
+    first = F.get(F.filter(paths.ancestors(F.lower(F.col("rel_path"))), lambda a: ignored.hit(a) | rules.skips(a).isNotNull()), F.lit(0))
+    return files.select(F.col(project).alias("project"), first.alias("directory")).where("directory IS NOT NULL").distinct()
+
+
 @dataclass
 class IgnoredDirs:
     """Directories that are never looked into: BASE_IGNORED and extra names, globs of names, and paths of several parts."""

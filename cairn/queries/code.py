@@ -204,6 +204,13 @@ _SCORES = (
     + CASE WHEN read AND len(regexp_extract_all(text, '\\b(?:import|from|include|using)\\b|\\brequire[ \\t]*\\(')) >= 8 THEN 10 ELSE 0 END + CASE WHEN read AND len(regexp_extract_all(text, '\\b(?:{'|'.join(graph.DECLARATION_WORDS)})\\b')) >= 10 THEN 10 ELSE 0 END
     + CASE WHEN e IN {_in(graph.SCORED_EXTENSIONS)} THEN 5 ELSE 0 END AS score FROM sc) SELECT project, doc_id, rel_path, CAST(score AS BIGINT) AS score FROM pt WHERE score > 0"""
 )
+_TODO = f"(?i){corpus._WB}({'|'.join(corpus.lines.TODO_WORDS)}){corpus._WE}"
+_REFACTORING = (
+    _DEGREES
+    + f""", rf AS (SELECT h.project_id AS project, h.doc_id, h.rel_path, {_NL} AS lines, coalesce(imported_by, 0) AS ib, coalesce(imports, 0) AS im, text FROM h LEFT JOIN dg ON dg.project = h.project_id AND dg.path = h.p WHERE text IS NOT NULL AND e IN {_in(graph.SCORED_EXTENSIONS)}),
+  rs AS (SELECT project, doc_id, rel_path, CASE WHEN lines >= 500 THEN 40 WHEN lines >= 300 THEN 25 ELSE 0 END + CASE WHEN ib >= 5 THEN least(35, ib * 5) ELSE 0 END + CASE WHEN im >= 10 THEN 20 ELSE 0 END + CASE WHEN regexp_matches(text, '{_TODO}') THEN 8 ELSE 0 END
+    + CASE WHEN contains(lower(rel_path), 'ui') AND ({_INFRA}) THEN 25 ELSE 0 END AS score FROM rf) SELECT project, doc_id, rel_path, CAST(score AS BIGINT) AS score FROM rs WHERE score > 0"""
+)
 _DECLARED = (
     _FILES
     + r""", pk AS (SELECT project_id AS project, rel_path, CAST(text AS JSON) AS j FROM h WHERE n = 'package.json'),
@@ -257,4 +264,6 @@ ORACLE = {
 }
 #: Imports of the whole corpus and what rests on them.
 ORACLE_PROJECTS = {"import_edges": _IMPORTS + "SELECT project, source, target FROM edges", "import_degrees": _DEGREES + "SELECT project, path, imported_by, imports FROM dg", "key_file_scores": _SCORES, "build_declarations": _DECLARED}
+ORACLE_PROJECTS["import_candidates"] = _IMPORTS + "SELECT project, p AS source, count(DISTINCT base) AS bases, count(DISTINCT target) AS targets FROM tried GROUP BY 1, 2"
+ORACLE_PROJECTS["refactoring_scores"] = _REFACTORING
 ORACLE |= ORACLE_PROJECTS

@@ -317,7 +317,32 @@ def _policy_sql(mode: str) -> str:
     return _FILES + f", r AS (SELECT {reason} AS reason FROM h) SELECT reason, CASE WHEN reason = 'included' THEN 'info' WHEN starts_with(reason, 'high-risk') THEN 'critical' ELSE 'high' END AS severity, count(*) AS files FROM r GROUP BY 1, 2"
 
 
+_BITS = "list_sum(list_transform(list_distinct(string_split(x, '')), lambda c: -((length(x) - length(replace(x, c, ''))) / length(x)) * log2((length(x) - length(replace(x, c, ''))) / length(x))))"
+_SELF = " OR ".join(f"contains(content, '{h}')" for h in detect.SELF_HINTS)
+_PREFIX = "substr(content, 1, strpos(content, tok) - 1)"
+#: rule and confidence of the one secret that each line is reported for.
+_CASCADE = (
+    _LINES
+    + f""", k0 AS (SELECT *, {_CONF} AS k, {_PROVIDER} AS p, list_filter(regexp_extract_all(content, '[A-Za-z0-9+/=_\\-]+'), lambda x: length(x) >= 20 AND ({_BITS} >= 4.0 OR (length(x) >= 32 AND {_BITS} >= 3.0)))[1] AS tok FROM l WHERE NOT ({_SELF})),
+  k1 AS (SELECT *, CASE WHEN tok IS NOT NULL THEN (SELECT {_BITS} FROM (SELECT tok AS x)) END AS bits FROM k0),
+  cs AS (SELECT doc_id, rel_path, line, CASE WHEN k IN ('critical', 'high') THEN {{'rule': 'secret_like_line', 'confidence': k}} WHEN p IS NOT NULL THEN p WHEN regexp_matches(content, '{_RE["telegram"]}') THEN {{'rule': 'telegram-bot-token', 'confidence': 'critical'}}
+    WHEN k IS NOT NULL THEN {{'rule': 'secret_like_line', 'confidence': k}} WHEN regexp_matches(content, '{_RE["url"]}') THEN {{'rule': 'url-credentials', 'confidence': 'high'}} WHEN regexp_matches(content, '{_RE["http"]}') THEN {{'rule': 'http-auth-credentials', 'confidence': 'high'}}
+    WHEN tok IS NOT NULL THEN {{'rule': 'high-entropy-token', 'confidence': ['low', 'medium', 'high'][1 + CASE WHEN (length(tok) >= 40 AND bits >= 4.8) OR (length(tok) >= 48 AND bits >= 3.6) THEN 1 ELSE 0 END
+      + CASE WHEN regexp_matches(rtrim({_PREFIX}), '[=:]$') OR regexp_matches({_PREFIX}, '{_RE["assignment"]}') THEN 1 ELSE 0 END]}} END AS s FROM k1) """
+)
+_RISKY_ROWS = " UNION ALL ".join(f"SELECT doc_id, rel_path, line, '{r}' AS rule, '{_SEVERITY[r]}' AS severity FROM l WHERE {c}" for r, c in _RISKY.items())
+#: Every finding of the scan, but for its message.
+_SCANNED = (
+    _CASCADE
+    + f""", nm AS (SELECT doc_id, string_split(lower(replace(rel_path, '\\', '/')), '/')[-1] AS n FROM documents), ne AS (SELECT doc_id, n, regexp_extract(n, '^.+\\.([^.]*)$', 1) AS e FROM nm), tx AS (SELECT doc_id FROM ne WHERE {_TEXT}),
+  al AS (SELECT 'sensitive_file' AS type, CASE WHEN starts_with(n, '.env') OR e IN ('key', 'pem', 'p12', 'pfx') THEN 'critical' ELSE 'high' END AS severity FROM ne WHERE n IN {_in(policy.SENSITIVE_NAMES)} OR e IN {_in(policy.SENSITIVE_SUFFIXES)} OR (starts_with(n, '.env') AND NOT (ends_with(n, '.example') OR ends_with(n, '.sample')))
+    UNION ALL SELECT 'potential_secret', s.confidence FROM cs SEMI JOIN tx ON tx.doc_id = cs.doc_id WHERE s IS NOT NULL UNION ALL SELECT 'risky_code', severity FROM ({_RISKY_ROWS}) r SEMI JOIN tx ON tx.doc_id = r.doc_id) """
+)
+
 ORACLE = {
+    "secret_cascade": _CASCADE + "SELECT s.rule AS rule, s.confidence AS confidence, count(*) AS lines FROM cs WHERE s IS NOT NULL GROUP BY 1, 2",
+    "scan_summary": _SCANNED + "SELECT count(*) FILTER (type = 'sensitive_file') AS sensitive_file, count(*) FILTER (type = 'potential_secret') AS potential_secret, count(*) FILTER (type = 'risky_code') AS risky_code, count(*) FILTER (severity = 'critical') AS critical FROM al",
+    "fail_on_gate": _SCANNED + "SELECT count(*) FILTER (severity IN ('critical', 'high')) AS gating, count(*) FILTER (severity IN ('critical', 'high')) > 0 AS failed FROM al",
     "inv_by_extension": _FILES + _BY.format(key="ek", name="extension"),
     "inv_by_language": _FILES + _BY.format(key=_LANG, name="language"),
     "inv_totals": _FILES + "SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, max(size) AS largest, count(DISTINCT parent) AS directories FROM h",

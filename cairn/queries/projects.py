@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from cairn.functions import paths, sizes
 from cairn.operators import findings, graph, manifests, parts, rules, sarif, store
+from cairn.queries import corpus
 from cairn.queries.corpus import _FILES, files
-from cairn.runtime import cut, shared_folder, table
+from cairn.operators.snapshot_changes import digest_value, path_key
+from cairn.runtime import cut, shared_folder, small, table
 from cairn.streaming import scan as stream
 
 RULES = rules.Rules.parse(
@@ -43,10 +45,10 @@ def pinned_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def explain_verdict(spark: SparkSession, d: str) -> DataFrame:
-    """What the plan says of the files that earlier findings name."""
+    """What the plan says of the files that earlier findings name; the diff is all that a snapshot ever held."""
     planned = rules.plan(files(spark, d).select("rel_path", "size"), RULES, "safe")
     asked = table(spark, d, "finding").select(F.regexp_replace("file", r"^\.[\\/]", "").alias("rel_path")).where("rel_path IS NOT NULL").distinct()
-    selected = table(spark, d, "snapshot_file").select("rel_path").where("rel_path IS NOT NULL").unionByName(files(spark, d).where("doc_id % 2 = 0").select("rel_path")).distinct()
+    selected = table(spark, d, "snapshot_file").select("rel_path").where("rel_path IS NOT NULL")
     return rules.explain(asked, planned, selected).groupBy("verdict").agg(F.count("*").alias("paths"))
 
 
@@ -119,15 +121,29 @@ def running_bytes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def last_export_diff(spark: SparkSession, d: str) -> DataFrame:
-    """The files of even documents against those of which the earlier content is missing or shorter."""
-    rows = files(spark, d).where("text IS NOT NULL").select(F.concat_ws("/", "project_id", paths.key(F.col("rel_path")), "doc_id").alias("rel_path"), "text", "doc_id")
-    now = rows.select("rel_path", F.sha2("text", 256).alias("sha256"), "doc_id")
-    then = rows.select("rel_path", F.sha2(F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"), "doc_id")
-    return store.last_export_diff(now.where("doc_id % 10 <> 1"), then.where("doc_id % 10 <> 2"))
+    """Per branch: the files of its newest snapshot against those of the one before, by digest."""
+    heads = table(spark, d, "export_snapshot").select("id", "project_id", "branch", "created_at").dropna().distinct()
+    newest = heads.groupBy("project_id", "branch").agg(F.sort_array(F.collect_list(F.struct("created_at", "id")), False).alias("all"))
+    pairs = newest.where(F.size("all") > 1).select(F.col("all")[0]["id"].alias("now_id"), F.col("all")[1]["id"].alias("then_id"))
+    rows = table(spark, d, "snapshot_file").where("rel_path IS NOT NULL").select("snapshot_id", path_key(F.col("rel_path")).alias("p"), F.hex(digest_value(F.col("sha256"))).alias("sha256"))
+    rows = rows.groupBy("snapshot_id", "p").agg(F.coalesce(F.max("sha256"), F.lit("")).alias("sha256"))
+    keyed = lambda side: rows.join(small(pairs), rows["snapshot_id"] == F.col(side)).select(F.concat_ws(":", "now_id", "p").alias("rel_path"), "sha256")
+    return store.last_export_diff(keyed("now_id"), keyed("then_id")).select(F.split_part("rel_path", F.lit(":"), F.lit(1)).cast("long").alias("snapshot_id"), F.expr("substr(rel_path, locate(':', rel_path) + 1)").alias("rel_path"), "status")
 
 
-def sarif_documents(spark: SparkSession, d: str) -> DataFrame:
-    return sarif.sarif_documents(findings.scan(files(spark, d)).distinct())
+def _project_findings(spark: SparkSession, d: str) -> DataFrame:
+    found = findings.scan(files(spark, d).where("project_id IS NOT NULL").select(F.concat_ws("\\", "project_id", "rel_path").alias("rel_path"), "text")).distinct()
+    return found.withColumn("project_id", F.regexp_extract("file", r"^\.\\(\d+)\\", 1).cast("long")).withColumn("file", F.regexp_replace("file", r"^\.\\\d+\\", ".\\\\"))
+
+
+def sarif_scans(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of one SARIF document per project."""
+    return sarif.sarif_lines(_project_findings(spark, d).distinct(), "project_id").select("scan", F.to_json("place").alias("place"), "text")
+
+
+def json_scans(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of one JSON report per project."""
+    return sarif.json_lines(_project_findings(spark, d).distinct(), "project_id", "1970-01-01 00:00:00").select("scan", F.to_json("place").alias("place"), "text")
 
 
 def build_declarations(spark: SparkSession, d: str) -> DataFrame:
@@ -155,26 +171,48 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "plan_files": plan_files, "plan_summary": plan_summary, "pinned_files": pinned_files, "explain_verdict": explain_verdict, "import_edges": import_edges, "import_degrees": import_degrees, "import_candidates": import_candidates,
     "key_file_scores": key_file_scores, "refactoring_scores": refactoring_scores, "layers_of_files": layers_of_files, "budget_fit": budget_fit, "archive_parts": archive_parts, "latest_snapshot": latest_snapshot,
-    "retention_keep_5": retention_keep_5, "run_history": run_history, "runs_per_day": runs_per_day, "running_bytes": running_bytes, "last_export_diff": last_export_diff, "sarif_documents": sarif_documents,
+    "retention_keep_5": retention_keep_5, "run_history": run_history, "runs_per_day": runs_per_day, "running_bytes": running_bytes, "last_export_diff": last_export_diff, "sarif_scans": sarif_scans, "json_scans": json_scans,
     "build_declarations": build_declarations, "stream_scan": stream_scan, "batch_scan": batch_scan, "event_windows": event_windows,
 }
 
 _RUNS = "r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY finished_at DESC NULLS LAST) AS k FROM export_run) WHERE k = 1)"
 _PINNED = "(parent = 'src/core' OR starts_with(parent, 'src/core/') OR list_contains(string_split(parent, '/'), 'src/core') OR n GLOB 'summary_*.md' OR lp GLOB 'summary_*.md')"
 _DIRS = "'.git', 'node_modules', '__pycache__', '.pytest_cache', '.mypy_cache', '.ruff_cache', '.tox', '.venv', 'venv', 'env', 'dist', 'build', 'coverage', '.coverage', '.next', '.nuxt', '.turbo', '.parcel-cache'"
-_PLANNED = (
-    _FILES.replace("array_to_string(parts[:-2], '/') AS parent", "array_to_string(lparts[:-2], '/') AS parent")
-    + f""", q AS (SELECT *, CASE WHEN {_PINNED} THEN NULL WHEN e IN ('ini', 'tf') THEN 'custom extension rule: .' || e
+_KEPT_DIR = lambda a: f"({a} = 'src/core' OR starts_with({a}, 'src/core/') OR list_contains(string_split({a}, '/'), 'src/core'))"
+_HIT_DIR = lambda a: f"(string_split({a}, '/')[-1] IN ({_DIRS}) OR ((string_split({a}, '/')[-1] = 'reports' OR starts_with({a}, 'reports/')) AND NOT {_KEPT_DIR(a)}))"
+
+
+def planned_sql(pinned: str = "false", rules_first: str = "") -> str:
+    """The plan in SQL; pinned and rules_first: what a user put in or out by hand."""
+    return (
+        _FILES.replace("array_to_string(parts[:-2], '/') AS parent", "array_to_string(lparts[:-2], '/') AS parent")
+        + f""", q0 AS (SELECT *, list_transform(range(1, len(lparts)), lambda k: array_to_string(lparts[1:k], '/')) AS ups, ({_PINNED} OR {pinned}) AS pin FROM h),
+      q AS (SELECT *, CASE WHEN pin THEN NULL WHEN e IN ('ini', 'tf') THEN 'custom extension rule: .' || e {rules_first}
       WHEN regexp_matches(lp, '^.*/legacy/.*$') THEN 'file rule: */legacy/*' WHEN regexp_matches(n, '^.*_drift.*\\.md$') OR regexp_matches(lp, '^.*_drift.*\\.md$') THEN 'file rule: *_drift*.md'
       WHEN regexp_matches(lp, '^lib/.*.*/secret.\\.txt$') THEN 'file rule: lib/**/secret?.txt' WHEN regexp_matches(n, '^.*\\.lock$') THEN 'file rule: *.lock'
-      WHEN list_contains(lparts[:-2], 'reports') OR starts_with(lp, 'reports/') THEN 'directory rule: reports' END AS rule,
+      WHEN list_contains(lparts[:-2], 'reports') THEN 'directory rule: reports' END AS rule,
       CASE WHEN n IN ('.npmrc', '.pypirc', 'credentials.json', 'secrets.json', 'secret.json', 'service-account.json', 'service_account.json', 'firebase-adminsdk.json', 'id_rsa', 'id_dsa', 'id_ecdsa', 'id_ed25519') OR (starts_with(n, '.env') AND NOT (ends_with(n, '.example') OR ends_with(n, '.sample'))) THEN 'high-risk credential filename'
       WHEN contains(n, 'secret') OR contains(n, 'credential') OR contains(n, 'private') THEN 'secret-like filename'
       WHEN e IN ('key', 'pem', 'p12', 'pfx', 'crt', 'cer', 'keystore', 'jks', 'db', 'sqlite', 'sqlite3', 'bak', 'dump', 'backup', '7z', 'rar', 'tar', 'gz', 'xz', 'zip') THEN 'sensitive/binary suffix .' || e END AS safe,
-      list_has_any(lparts[:-2], [{_DIRS}]) AS ignored FROM h),
+      list_filter(ups, lambda a: {_HIT_DIR('a')}) AS skipped, len(list_filter(ups, lambda a: {_HIT_DIR('a')})) > 0 AS ignored FROM q0),
     pl AS (SELECT *, CASE WHEN ignored THEN 'not_planned' WHEN rule IS NOT NULL OR safe IS NOT NULL THEN 'excluded' ELSE 'included' END AS status,
       CASE WHEN ignored THEN 'inside an ignored directory' ELSE coalesce(rule, safe, 'included') END AS reason,
       CASE WHEN ignored THEN 'info' WHEN rule IS NOT NULL THEN 'medium' WHEN safe IS NULL THEN 'info' WHEN starts_with(safe, 'high-risk') THEN 'critical' ELSE 'high' END AS severity FROM q) """
+    )
+
+
+_PLANNED = planned_sql()
+
+_PARTS = (
+    _FILES
+    + f""", ent AS (SELECT project_id AS archive, {corpus._ARCHIVE} AS grp, lp || '#' || doc_id AS path, size FROM h WHERE project_id IS NOT NULL),
+  xs AS (SELECT archive, grp, list({{'s': size, 'p': path, 'part': CAST(0 AS BIGINT), 'held': CAST(0 AS BIGINT), 'cut': false, 'log': CAST([] AS BIGINT[])}} ORDER BY path) AS xs FROM ent GROUP BY 1, 2),
+  fold AS (SELECT archive, grp, xs, list_reduce(list_prepend({{'s': CAST(0 AS BIGINT), 'p': '', 'part': CAST(0 AS BIGINT), 'held': CAST(0 AS BIGINT), 'cut': true, 'log': CAST([] AS BIGINT[])}}, xs), lambda a, x:
+    {{'s': x.s, 'p': x.p, 'part': CASE WHEN a.cut OR a.held + x.s > {PART_BYTES} THEN a.part + 1 ELSE a.part END, 'held': CASE WHEN a.cut OR a.held + x.s > {PART_BYTES} THEN x.s ELSE a.held + x.s END, 'cut': x.s >= {PART_BYTES},
+      'log': list_append(a.log, CASE WHEN a.cut OR a.held + x.s > {PART_BYTES} THEN a.part + 1 ELSE a.part END)}}).log AS log FROM xs),
+  placed0 AS (SELECT archive, grp, unnest(list_transform(xs, lambda x: x.s)) AS s, unnest(log) AS gp FROM fold),
+  off AS (SELECT archive, grp, coalesce(sum(n) OVER (PARTITION BY archive ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM (SELECT archive, grp, max(gp) AS n FROM placed0 GROUP BY 1, 2)),
+  placed AS (SELECT p.archive, p.grp, p.s, gp + o AS part FROM placed0 p JOIN off ON off.archive = p.archive AND off.grp = p.grp) """
 )
 
 ORACLE = {
@@ -198,7 +236,16 @@ ORACLE = {
     "run_history": f"WITH {_RUNS} SELECT r.id, r.project_id, p.name, r.id IN (SELECT run_id FROM export_snapshot WHERE run_id IS NOT NULL) AS successful FROM r JOIN project p ON p.id = r.project_id",
     "runs_per_day": f"WITH {_RUNS} SELECT strftime(to_timestamp(finished_at) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS runs, count(*) FILTER (coalesce(cancelled, false)) AS cancelled, CAST(sum(coalesce(bytes_total, 0)) AS BIGINT) AS bytes FROM r WHERE finished_at IS NOT NULL GROUP BY 1",
     "running_bytes": f"WITH {_RUNS}, y AS (SELECT strftime(to_timestamp(finished_at) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, CAST(sum(coalesce(bytes_total, 0)) AS BIGINT) AS bytes FROM r WHERE finished_at IS NOT NULL GROUP BY 1) SELECT day, bytes, CAST(sum(bytes) OVER (ORDER BY day) AS BIGINT) AS bytes_so_far FROM y",
-    "last_export_diff": r"""WITH f AS (SELECT project_id || '/' || lower(replace(rel_path, '\', '/')) || '/' || doc_id AS rel_path, doc_id FROM documents WHERE text IS NOT NULL)
-      SELECT rel_path, CASE WHEN doc_id % 10 = 2 THEN 'added' WHEN doc_id % 10 = 1 THEN 'deleted' ELSE 'modified' END AS status FROM f WHERE doc_id % 10 IN (1, 2, 3)""",
+    "last_export_diff": r"""WITH hd AS (SELECT id, lead(id) OVER w AS prev, row_number() OVER w AS k FROM (SELECT DISTINCT id, project_id, branch, created_at FROM export_snapshot WHERE id IS NOT NULL AND project_id IS NOT NULL AND branch IS NOT NULL AND created_at IS NOT NULL) WINDOW w AS (PARTITION BY project_id, branch ORDER BY created_at DESC, id DESC)),
+      f AS (SELECT snapshot_id, regexp_replace(replace(lower(rel_path), '\', '/'), '^\./', '') AS p, coalesce(max(nullif(lower(trim(regexp_replace(sha256, '^.*:', ''))), '')), '') AS s FROM snapshot_file WHERE rel_path IS NOT NULL GROUP BY 1, 2),
+      c AS (SELECT hd.id, f.p, f.s FROM hd JOIN f ON f.snapshot_id = hd.id WHERE k = 1 AND prev IS NOT NULL), o AS (SELECT hd.id, f.p, f.s FROM hd JOIN f ON f.snapshot_id = hd.prev WHERE k = 1)
+      SELECT coalesce(c.id, o.id) AS snapshot_id, coalesce(c.p, o.p) AS rel_path, CASE WHEN o.p IS NULL THEN 'added' WHEN c.p IS NULL THEN 'deleted' ELSE 'modified' END AS status FROM c FULL JOIN o ON o.id = c.id AND o.p = c.p WHERE o.p IS NULL OR c.p IS NULL OR c.s <> o.s""",
+    "explain_verdict": _PLANNED
+    + r""", k AS (SELECT lp, min({'s': status, 'r': reason}) AS m FROM pl GROUP BY 1), a AS (SELECT DISTINCT regexp_replace(file, '^\.[\\/]', '') AS f FROM finding WHERE file IS NOT NULL),
+      s AS (SELECT DISTINCT lower(replace(rel_path, '\', '/')) AS p FROM snapshot_file WHERE rel_path IS NOT NULL),
+      v AS (SELECT CASE WHEN k.lp IS NULL THEN 'not_planned' WHEN m.s = 'included' AND s.p IS NULL THEN 'not_in_diff' ELSE m.s END AS verdict FROM a LEFT JOIN k ON k.lp = lower(replace(f, '\', '/')) LEFT JOIN s ON s.p = lower(replace(f, '\', '/')))
+      SELECT verdict, count(*) AS paths FROM v GROUP BY 1""",
+    "archive_parts": _PARTS + "SELECT archive, CAST(part AS BIGINT) AS part, min(grp) AS group, count(*) AS files, CAST(sum(s) AS BIGINT) AS bytes FROM placed GROUP BY 1, 2",
+    "batch_scan": corpus._CASCADE + "SELECT doc_id, line, s.rule AS rule, s.confidence AS confidence FROM cs WHERE s IS NOT NULL", "stream_scan": corpus._CASCADE + "SELECT doc_id, line, s.rule AS rule, s.confidence AS confidence FROM cs WHERE s IS NOT NULL",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY 1, 2",
 }
