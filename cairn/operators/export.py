@@ -64,7 +64,7 @@ def file_banner(path: Column, size: Column, modified: Column, text: Column) -> C
     """A file's text under its path, name, size and time, as it stands in a text dump."""
     rule = F.lit("-" * 100)
     head = [rule, F.concat(F.lit("File: "), paths.display(path)), F.concat(F.lit("Name: "), paths.name(path)), F.concat(F.lit("Size: "), sizes.thousands(size), F.lit(" bytes")), F.concat(F.lit("Modified: "), modified), rule]
-    return F.concat_ws("\n", F.lit(""), *head, F.lit(""), F.regexp_replace(text, r"\n?\z", "\n"))
+    return F.concat_ws("\n", F.lit(""), *head, F.lit(""), F.regexp_replace(text, r"(?<!\n)\z", "\n"))
 
 
 def is_generated(path: Column) -> Column:

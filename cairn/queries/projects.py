@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import paths, sizes
+from cairn.functions.classify import archive_group
 from cairn.operators import findings, graph, manifests, parts, rules, sarif, store
 from cairn.queries import corpus
 from cairn.queries.corpus import _FILES, files
@@ -90,12 +91,14 @@ def budget_fit(spark: SparkSession, d: str) -> DataFrame:
     return parts.budget_fit(rows, BUDGET).select(F.col("group").alias("project_id"), F.col("id").alias("doc_id"), "tokens", "included")
 
 
+def archive_entries(spark: SparkSession, d: str) -> DataFrame:
+    rows = files(spark, d).where("project_id IS NOT NULL")
+    return rows.select(F.col("project_id").alias("archive"), archive_group(F.col("rel_path"), F.lit("core")).alias("group"), F.concat_ws("#", paths.key(F.col("rel_path")), "doc_id").alias("path"), "size")
+
+
 def archive_parts(spark: SparkSession, d: str) -> DataFrame:
     """Per project: the parts of its archive, by group and path, of PART_BYTES each."""
-    from cairn.functions.classify import archive_group
-
-    rows = files(spark, d).where("project_id IS NOT NULL").select(F.col("project_id").alias("archive"), archive_group(F.col("rel_path"), F.lit("core")).alias("group"), F.concat_ws("#", paths.key(F.col("rel_path")), "doc_id").alias("path"), "size")
-    placed = parts.archive_parts(rows, PART_BYTES)
+    placed = parts.archive_parts(archive_entries(spark, d), PART_BYTES)
     return placed.groupBy("archive", "part").agg(F.min("group").alias("group"), F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
