@@ -94,12 +94,12 @@ def required(pattern: str) -> set[str]:
 class Patterns:
     """Groups of patterns, searched together.
 
-    groups: name -> pattern, whose branches are tried one by one. hits() runs the automaton once over a text in lower
-    case; search() then tries the branches that its literals allow, in the order in which they are written.
+    groups: name -> pattern, whose branches are tried one by one (required_only: as a whole). hits() runs the automaton once over a text in lower
+    case; names() tells which groups they allow, and search() tries the branches that its literals allow, in the order in which they are written.
     """
 
-    def __init__(self, groups: dict[str, str], flags: int = 0):
-        self.branches = {name: [re.compile(b, flags) for b in alternatives(p)] for name, p in groups.items()}
+    def __init__(self, groups: dict[str, str], flags: int = 0, required_only: bool = False):
+        self.branches = {name: [re.compile(b, flags) for b in (alternatives(p) if not required_only else [p])] for name, p in groups.items()}
         self.free = {name: [k for k, rx in enumerate(b) if not required(rx.pattern)] for name, b in self.branches.items()}
         words: dict[str, list[tuple[str, int]]] = {}
         for name, branches in self.branches.items():
@@ -114,6 +114,10 @@ class Patterns:
             found.update(branches)
         return found
 
+    def names(self, low: str) -> set[str]:
+        """The groups that may match a text, given in lower case."""
+        return {name for name, _ in self.hits(low)} | {name for name, free in self.free.items() if free}
+
     def search(self, name: str, text: str, hits: set[tuple[str, int]]) -> re.Match | None:
         for k in sorted({*self.free[name], *(k for n, k in hits if n == name)}):
             if m := self.branches[name][k].search(text):

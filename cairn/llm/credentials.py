@@ -1,9 +1,9 @@
 """Literal credentials in text: where they are, and the text without them.
 
-One Aho-Corasick automaton holds the anchors of all grammars: token prefixes, key armor, URL and header marks and
-the names that credentials are assigned to. It runs once over each chunk of a text; chunks overlap, and the lines
-around its hits go to the grammars, whose spans are absolute and deduplicated. Lines without an anchor aren't looked
-at by the grammars. Values that stand alone have no anchor: a second path, two patterns over the whole text, finds them.
+One deterministic automaton holds token formats, key armor, connection strings, headers, the names that credentials
+are assigned to, and values that stand alone. It goes over overlapping chunks of all texts of a batch once (see dfa).
+The lines on which it may have matched go to the exact grammars of what was hit; their spans are absolute and
+deduplicated, and each is replaced on its own.
 """
 
 from __future__ import annotations
@@ -13,12 +13,8 @@ import binascii
 import re
 from functools import lru_cache
 
-try:
-    import ahocorasick
-except ImportError:  # the anchors are then one alternation
-    ahocorasick = None
-
-CHUNK, OVERLAP = 1 << 16, 1 << 8
+from cairn.llm.anchored import Patterns
+from cairn.llm.dfa import Automaton
 
 # What literal credentials look like that can be known by their form alone.
 TOKEN_FORMS = [
@@ -196,72 +192,53 @@ _SPACED = re.compile(rf"(?i)^\W*(?:env|arg|export|set|setx|setenv|define|#define
 _FOR_IS = re.compile(r"(?i)(?<!\w)(?P<name>(?:[^\W\d]+[ _\-]){0,4}?(?:[^\W\d]+))(?:\s+(?:for|of|on|to|in|at|von|für|de|para)\s+(?:the\s+)?[\w.\-/]+)?\s+(?:is|was|ist|lautet|est|es)(?:\s+now|\s+still)?\s+[`\"']?(?P<v>[^\s`\"'<>]+)")
 _LOOSE = re.compile(r"(?i)(?<!\w)(?:token|password|passwd|secret|api[ _]?key|passphrase|credentials?)\s+[`\"']?(?P<v>[^\s`\"'<>]{6,})[`\"']?\s+(?:works|is valid|expires|still|until|lets|opens|gilt|funktioniert)")
 
-# What a line must contain, in lower case, to hold any of the above: the least that each grammar can't do without.
-#: Word ends that count only where no letter follows, as in a name's last word; other words begin or hold them too often.
-_LAST_WORDS = ("pass", "pw", "sid")
-#: Token starts that count only where no word, path or number goes before them.
-_FIRST = ("sk-", "sg.")
-ANCHORS = [
-    *(s.lower() for s in TOKEN_STARTS),
-    *(f"{a}k_{b}_" for a in "srp" for b in ("live", "test")),
-    *"ya29. dop_v1_ shpat_ shpss_ shpca_ shppa_ age-secret-key- hooks. -----begin".split(),
-    *sorted(SECRET_WORDS), "passw", "passp", "passc", "passe", "cred", "contrase", "auth", "pincode", "pin code",
-    *(k + c + "key" for k in sorted(KEY_WORDS) for c in ("", " ")), *(c + "key" for c in ("-", "_", ".", "['", '["')),
-    "://", "sig=", "signature=", "bearer", "basic", "-u", ":*:", "identified",
-    *"mysql mariadb mongo redis-cli plink pscp sqlplus smbclient rpcclient htpasswd masterauth chpasswd add_user /user:".split(),
-    "rman ", "rman\t", "exp ", "exp\t", "imp ", "imp\t", "expdp", "impdp", "zip ", "zip\t", "7z ", "7z\t", "7za", "rar ", "rar\t", "requirepass",
-    "login", "log in", "log_in", "logon", "log on", "signin", "sign in", "sign_in", "connect(", "connect ", "connect\t", "anmelden", "zugang",
+# What the automaton looks for. A hit is necessary for what follows it, never sufficient.
+_SPACES = r"[ \t]+"
+#: Names: words as they may stand in any name, and last words of names, which no letter lengthens.
+NAMES = sorted({*SECRET_WORDS, "passw", "passp", "passc", "passe", "cred", "contrase", "pincode", "pin code", *(k + c + "key" for k in KEY_WORDS for c in ("", " ")), *(c + "key" for c in ("-", "_", ".", "['", '["'))} - {"pass", "pw", "sid"})
+LAST_NAMES = ["pass", "pw", "sid"]
+#: Places: what goes before or around a value that no name tells of.
+PLACES = [
+    "://", ":*:", "sig=", "signature=", "bearer", "basic", "-u", "identified", "mysql", "mariadb", "mongo", "redis-cli", "plink", "pscp", "sqlplus", "smbclient", "rpcclient", "htpasswd", "masterauth", "chpasswd", "add_user", "/user:", "expdp", "impdp", "7za", "requirepass",
+    "login", "log in", "log_in", "logon", "log on", "signin", "sign in", "sign_in", "connect(", "anmelden", "zugang",
 ]
-_TELEGRAM = re.compile(r":(?:[A-Za-z0-9_\-]{35}|\d{2,5}:)")
+COMMANDS = ["rman", "exp", "imp", "zip", "7z", "rar", "connect"]
 
 
-@lru_cache(maxsize=1)
-def automaton():
-    if ahocorasick is None:
-        scan = re.compile("|".join(map(re.escape, sorted(set(ANCHORS), key=len, reverse=True))))
-        return lambda text: (m.end() - 1 for m in scan.finditer(text))
-    a = ahocorasick.Automaton()
-    for anchor in set(ANCHORS):
-        a.add_word(anchor, len(anchor))
-    a.make_automaton()
-    return lambda text: (end for end, _ in a.iter(text))
+def _either(words: list[str]) -> str:
+    return "(?i)(?:" + "|".join(re.escape(w) for w in words) + ")"
+
 
+RULES = {
+    "token": [r"(?<![0-9A-Za-z_\-/+])" + form for form in TOKEN_FORMS],
+    "piece": [r"[\"'`](?:" + "|".join(map(re.escape, TOKEN_STARTS)) + ")"],
+    "armor": ["-----BEGIN"],
+    "name": [_either(NAMES), _either(LAST_NAMES) + r"[^A-Za-zÀ-ÿ]", r"(?i)auth(?:[^o]|o[^r]|ori)"],
+    "place": [_either(PLACES), _either(COMMANDS) + r"[ \t]", r"[0-9A-Za-z]:[0-9]{2,5}:"],
+    "alone": [r"^[^\w\n\"'`$\\]{0,5}[A-Za-z0-9][A-Za-z0-9+/=_\-.!@$%^&*?~]{7,}[ \t]*(?:-->|#\}|\*/)?\r?$"],
+    "note": [r"(?i)(?:note|comment|remark|memo|hint|info|description)[\"']?\s*[:=]\s*[\"'][^\"'\s]{8}"],
+}
 
-def _lower(text: str) -> str:
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+@lru_cache(maxsize=1)
+def automaton() -> Automaton:
+    """The automaton, once per process: its states are those that texts have needed so far."""
+    return Automaton(RULES)
 
 
-def _counts(low: str, end: int) -> bool:
-    """Whether the anchor that ends at end stands as it must."""
-    if low.endswith(_LAST_WORDS, 0, end + 1):
-        return not low[end + 1 : end + 2].isalpha()
-    if low.endswith("auth", 0, end + 1):
-        return not (low.startswith("or", end + 1) and low[end + 3 : end + 4] != "i")  # an author
-    return not (low.endswith(_FIRST, 0, end + 1) and end >= 3 and (low[end - 3].isalnum() and low[end - 3].isascii() or low[end - 3] in "_-/+"))
+def candidates(texts: list[str]) -> list[dict[int, set[str]]]:
+    """Per text: where the lines begin on which something was hit, and what."""
+    return automaton().lines(texts)
 
 
 def anchored_lines(text: str) -> list[tuple[int, int]]:
-    """Start and end of each line with an anchor. Chunks overlap by more than any anchor, so none is cut in two."""
-    hits, scan = set(), automaton()
-    for at in range(0, max(1, len(text)), CHUNK):
-        low = _lower(text[at : at + CHUNK + OVERLAP])
-        until = -1
-        for end in scan(low):
-            if end >= until and _counts(low, end):
-                until = low.find("\n", end)
-                until = len(low) if until < 0 else until
-                hits.add(at + end - (low[end] == "\n"))
-        for m in _TELEGRAM.finditer(low):
-            if low[m.start() - 1 : m.start()].isalnum():
-                hits.add(at + m.start())
-    out: dict[int, int] = {}
-    for hit in sorted(hits):
-        start = text.rfind("\n", 0, hit + 1) + 1
-        if start not in out:
+    """Start and end of each line that grammars are tried on."""
+    out = []
+    for start, rules in sorted(candidates([text])[0].items()):
+        if rules - {"alone", "note"}:
             end = text.find("\n", start)
-            out[start] = len(text) if end < 0 else end
-    return list(out.items())
+            out.append((start, len(text) if end < 0 else end))
+    return out
 
 
 def _unquoted(raw: str) -> tuple[str, bool, int]:
@@ -343,40 +320,49 @@ def _basic(value: str) -> bool:
     return bool(sep and len(password) >= 3 and not placeholder(password))
 
 
-def _line_spans(text: str, at: int, end: int) -> list[Pieces]:
+def _line_spans(text: str, at: int, end: int, rules: set[str]) -> list[Pieces]:
     """Absolute spans of the credentials that begin in text[at:end], one line, each with all its pieces."""
     whole: list[Pieces] = []
-    out = _simple_spans(text, at, end, whole)
+    out = _simple_spans(text, at, end, rules, whole)
     return [*((span,) for span in out), *whole]
 
 
-def _simple_spans(text: str, at: int, end: int, whole: list[Pieces]) -> list[tuple[int, int]]:
+#: The grammars of values in places of their own, tried only where a line holds what they can't do without.
+_GRAMMARS = Patterns({
+    "url": _URL.pattern, "signed": _SIGNED.pattern, "header": _HEADER.pattern, "curl": _CURL.pattern, "option": _OPTION.pattern, "cookie": _COOKIE.pattern, "keyed": _KEYED.pattern, "tuple": _TUPLE.pattern, "login": _LOGIN.pattern,
+    "netrc": _NETRC.pattern, "loose": _LOOSE.pattern, "sql": _SQL.pattern, "docker": _DOCKER.pattern, "log_in": _LOG_IN.pattern, "pgpass": _PGPASS.pattern, "fallback": _FALLBACK.pattern, "or": _OR.pattern, "builder": _BUILDER.pattern, "property": _PROPERTY.pattern,
+    "spaced": _SPACED.pattern, "for_is": _FOR_IS.pattern, "html": _HTML.pattern, "use_as": _USE_AS.pattern, "prose": _PROSE.pattern, **{f"place{k}": rx.pattern for k, rx in enumerate(_PLACES)},
+}, required_only=True)
+
+
+def _simple_spans(text: str, at: int, end: int, rules: set[str], whole: list[Pieces]) -> list[tuple[int, int]]:
     """Spans of credentials of one piece; those of several go to whole."""
     line, out = text[at:end], []
+    may = _GRAMMARS.names(line.lower())
     if "-----BEGIN" in line:
         for m in _ARMOR.finditer(line):
             if _BODY.match(text, at + m.end()):
                 stop = _ARMOR_END.search(line, m.end())
                 whole.append(_key_pieces(text, at + m.start(), at + stop.end() if stop else _armor_end(text, end)))
-    for m in _TOKEN.finditer(line):
+    for m in _TOKEN.finditer(line) if "token" in rules else ():
         if "EXAMPLE" not in m[0] and not re.search(r"[xX]{8}|(.)\1{9}", m[0]):
             out.append((at + m.start(), at + m.end()))
     if "://" in line:
-        for m in _URL.finditer(line):
+        for m in _URL.finditer(line) if "url" in may else ():
             if not placeholder(m[3]) and (len(m[3]) > 2):
                 out.append((at + m.start(3), at + m.end(3)))
-        for m in _SIGNED.finditer(line):
+        for m in _SIGNED.finditer(line) if "signed" in may else ():
             if not placeholder(m[1]) and (len(m[1]) >= 16 or _mixed(m[1])) and re.search(r"\d", m[1]):
                 out.append((at + m.start(1), at + m.end(1)))
-    for m in _HEADER.finditer(line):
+    for m in _HEADER.finditer(line) if "header" in may else ():
         v = m[2]
         named = m[0].lower().startswith("authorization")
         if placeholder(v) or m[1].lower() != "basic" and not re.search(r"\d", v) and not _random(v):
             continue
         if m[1].lower() == "basic" and (_basic(v) or named and len(v) >= 16 and re.search(r"\d", v)) or m[1].lower() != "basic" and (named or m[1].lower() == "bearer") and (len(v) >= 16 or named and _mixed(v)):
             out.append((at + m.start(2), at + m.end(2)))
-    for rx, g in ((_CURL, 2), (_OPTION, 1), (_COOKIE, 1), (_KEYED, 1), (_TUPLE, 2), (_LOGIN, 2)):
-        for m in rx.finditer(line):
+    for name, rx, g in (("curl", _CURL, 2), ("option", _OPTION, 1), ("cookie", _COOKIE, 1), ("keyed", _KEYED, 1), ("tuple", _TUPLE, 2), ("login", _LOGIN, 2)):
+        for m in rx.finditer(line) if name in may else ():
             if not placeholder(m[g]) and len(m[g]) >= 4 and (rx is not _LOGIN and g == 2 or re.search(r"\d", m[g]) or _random(m[g])) and not re.search(r"[(){}<>$]", m[g]):
                 out.append((at + m.start(g), at + m.end(g)))
 
@@ -401,7 +387,10 @@ def _simple_spans(text: str, at: int, end: int, whole: list[Pieces]) -> list[tup
         elif more and value.startswith(tuple(TOKEN_STARTS)) and _TOKEN.fullmatch(value):
             whole.append((first, *more))
 
-    for rx in (_ASSIGN, _FALLBACK, _OR):
+    named = "name" in rules or "piece" in rules
+    for grammar, rx in (("", _ASSIGN), ("fallback", _FALLBACK), ("or", _OR)) if named else ():
+        if grammar and grammar not in may:
+            continue
         pos = 0
         while m := rx.search(line, pos):
             pos = max(m.start("v"), m.start() + 1)
@@ -409,8 +398,8 @@ def _simple_spans(text: str, at: int, end: int, whole: list[Pieces]) -> list[tup
             if rx is _ASSIGN and m[0][m.end("c") - m.start() :].lstrip().startswith(",") and not (m["c"].strip("])") and m["v"][:1] in "\"'`"):
                 continue  # the next argument of a call, not a value
             named_value(name, at + m.start("v"), at + m.end("v"))
-    for rx in (_BUILDER, _PROPERTY, _SPACED, _FOR_IS):
-        for m in rx.finditer(line):
+    for grammar, rx in (("builder", _BUILDER), ("property", _PROPERTY), ("spaced", _SPACED), ("for_is", _FOR_IS)) if named else ():
+        for m in rx.finditer(line) if grammar in may else ():
             if rx is _PROPERTY:
                 if secret_name(m["name"]) and literal(m["v"], True):
                     out.append((at + m.start("v"), at + m.end("v")))
@@ -420,33 +409,33 @@ def _simple_spans(text: str, at: int, end: int, whole: list[Pieces]) -> list[tup
                     out.append((at + m.start("v"), at + m.start("v") + len(v)))
             else:
                 named_value(m["name"], at + m.start("v"), at + m.end("v"))
-    for rx in (_NETRC, _LOOSE, _SQL, _DOCKER, _LOG_IN, _PGPASS):
-        for m in rx.finditer(line):
+    for grammar, rx in (("netrc", _NETRC), ("loose", _LOOSE), ("sql", _SQL), ("docker", _DOCKER), ("log_in", _LOG_IN), ("pgpass", _PGPASS)):
+        for m in rx.finditer(line) if grammar in may else ():
             v = m[1]
             if literal(v, False) or re.search(r"\d", v) and literal(v, True):
                 out.append((at + m.start(1), at + m.end(1)))
-    for rx in _PLACES:
-        for m in rx.finditer(line):
+    for k, rx in enumerate(_PLACES):
+        for m in rx.finditer(line) if f"place{k}" in may else ():
             v = m[1]
             if literal(v, False) or re.search(r"\d", v) and literal(v, True) and not re.search(r"[(){}<>]", v):
                 if rx is not _PLACES[-1] or re.search(r"\d", v) and re.search(r"[A-Z]", v) and re.search(r"[a-z]", v):
                     out.append((at + m.start(1), at + m.end(1)))
-    m = re.search(r"[\"']auth[\"']\s*:\s*[\"']([A-Za-z0-9+/=]{8,})[\"']", line)
+    m = "auth" in line and re.search(r"[\"']auth[\"']\s*:\s*[\"']([A-Za-z0-9+/=]{8,})[\"']", line)
     if m and _basic(m[1]):
         out.append((at + m.start(1), at + m.end(1)))
-    for m in _HTML.finditer(line):
+    for m in _HTML.finditer(line) if "html" in may else ():
         for n, v in (("name", "v"), ("t", "w"), ("n2", "u")):
             if m[n] and m[v] and secret_name(m[n]) and literal(m[v], True):
                 out.append((at + m.start(v), at + m.end(v)))
-    for m in _USE_AS.finditer(line):
+    for m in _USE_AS.finditer(line) if "use_as" in may else ():
         name = re.sub(r"\s+(?:until|till|bis|for|while|when|in)\b.*", "", m["name"], flags=re.I).strip()
         if secret_name(name) and literal(m["v"], True):
             out.append((at + m.start("v"), at + m.end("v")))
-    for m in _PROSE.finditer(line):
+    for m in _PROSE.finditer(line) if "prose" in may else ():
         v = m["v"].rstrip(".,;:)")
         if literal(v, False) or len(v) >= 6 and re.search(r"\d", v) and literal(v, True):
             out.append((at + m.start("v"), at + m.start("v") + len(v)))
-    for m in _FLAG.finditer(line):
+    for m in _FLAG.finditer(line) if named and "-" in line else ():
         if secret_name(m[1]) and literal(m[2], False):
             out.append((at + m.start(2), at + m.end(2)))
     # A list of name and value pairs, each on its line: the value stands on the next.
@@ -510,26 +499,40 @@ def _in_data(text: str, start: int, end: int) -> bool:
     return bool(_DATA.fullmatch(before) or _DATA.fullmatch(after))
 
 
-def alone(text: str) -> list[tuple[int, int]]:
-    """Spans of values that stand alone on a line outside of key armor and certificates."""
-    found = [m.span(1) for rx in (_ALONE, _NOTE) for m in rx.finditer(text) if _drawn_alone(m[1]) and not (rx is _ALONE and _in_data(text, *m.span()))]
+def _alone(text: str, lines: dict[int, set[str]]) -> list[tuple[int, int]]:
+    """Spans of values that stand alone on a line, or are all that a note says, outside of key armor and certificates."""
+    found = []
+    for start, rules in lines.items():
+        if "alone" in rules:
+            m = _ALONE.match(text, start)
+            if m and _drawn_alone(m[1]) and not _in_data(text, *m.span()):
+                found.append(m.span(1))
+        if "note" in rules:
+            # The name may stand on the line before.
+            end = text.find("\n", start)
+            before = text.rfind("\n", 0, max(0, start - 1)) + 1
+            found += [m.span(1) for m in _NOTE.finditer(text, before, len(text) if end < 0 else end) if m.start(1) >= start and _drawn_alone(m[1])]
     if not found or "-----BEGIN" not in text:
         return found
     blocks = [m.span() for m in _BLOCK.finditer(text)]
     return [(s, e) for s, e in found if not any(a <= s < b for a, b in blocks)]
 
 
-def credentials(text: str | None) -> list[Pieces]:
+def credentials(text: str | None, lines: dict[int, set[str]] | None = None) -> list[Pieces]:
     """The literal credentials in text, in order, each the spans of its pieces; of those that overlap, the first and longest counts.
 
-    Null and empty texts have none. The length of a text isn't limited.
+    lines: what the automaton hit, where it went over many texts at once. Null and empty texts have none. The length
+    of a text isn't limited.
     """
     if not text:
         return []
     found: set[Pieces] = set()
-    for start, end in anchored_lines(text):
-        found.update(_line_spans(text, start, end))
-    found.update((span,) for span in alone(text))
+    lines = candidates([text])[0] if lines is None else lines
+    for start, rules in lines.items():
+        if rules - {"alone", "note"}:
+            end = text.find("\n", start)
+            found.update(_line_spans(text, start, len(text) if end < 0 else end, rules))
+    found.update((span,) for span in _alone(text, lines))
     out: list[Pieces] = []
     for pieces in sorted(found, key=lambda x: (x[0][0], -x[-1][1])):
         if pieces[-1][1] > pieces[0][0] and (not out or pieces[0][0] >= out[-1][-1][1]):

@@ -8,18 +8,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.credentials import credentials, lines_of, redact
+from cairn.llm.credentials import candidates, credentials, lines_of, redact
 from cairn.runtime import arrow_map, spread
 
 #: What replaces a credential.
 MARK = "<REDACTED>"
 
 
+#: Characters of texts that the automaton goes over together.
+TOGETHER = 1 << 22
+
+
+def _scanned(batch: pa.RecordBatch) -> Iterator[tuple[int, str, list]]:
+    """Key, text and credentials of each row, the automaton going over many texts at once."""
+    rows, size = [], 0
+    for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        rows.append((key, text))
+        size += len(text)
+        if size >= TOGETHER:
+            yield from _together(rows)
+            rows, size = [], 0
+    yield from _together(rows)
+
+
+def _together(rows: list[tuple[int, str]]) -> Iterator[tuple[int, str, list]]:
+    for (key, text), lines in zip(rows, candidates([text for _, text in rows])):
+        yield key, text, credentials(text, lines)
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, lines = [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for line in lines_of(text, credentials(text)):
+        for key, text, where in _scanned(batch):
+            for line in lines_of(text, where):
                 ids.append(key)
                 lines.append(line)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int64())], names=["record_id", "line"])
@@ -28,8 +49,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            where = credentials(text)
+        for key, text, where in _scanned(batch):
             if where:
                 out.append((key, redact(text, where, MARK), len(where)))
         columns = list(zip(*out)) or [[]] * 3

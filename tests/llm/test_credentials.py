@@ -4,10 +4,11 @@ import random
 
 import pytest
 
-from cairn.llm.credentials import CHUNK, KEY_WORDS, SECRET_WORDS, anchored_lines, credentials, lines_of, redact, spans
+from cairn.llm.credentials import KEY_WORDS, SECRET_WORDS, anchored_lines, credentials, lines_of, redact, spans
 from cairn.llm.secrets import credential_lines, redacted_texts
 
 rng = random.Random(3)
+CHUNK = 1 << 16
 draw = lambda n, a="ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789": "".join(rng.choice(a) for _ in range(n - 1)) + "7"
 AWS, GH, SLACK = "AKIA" + draw(16, "ABCDEFGHJKLMNPQRSTUVWXYZ2345"), "ghp_" + draw(36), "xoxb-" + draw(12, "123456789") + "-" + draw(20)
 BODY = "\n".join(draw(64) for _ in range(4))
