@@ -7,11 +7,16 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from cairn.functions import classify, sizes
+from cairn.functions import classify
+from cairn.functions.redact import redact_line
+from cairn.operators.export import file_banner
+from cairn.operators.rules import IgnoredDirs, Rules, not_looked_into
+from cairn.operators.structure import walk_key
+from cairn.runtime import arrow_map, ship
 
 # Encodings in the order in which they are tried; the last reads anything.
 ENCODINGS = ["utf-8", "utf-8-sig", "cp1251", "cp866", "utf-16", "latin-1"]
@@ -39,6 +44,11 @@ def directory(spark: SparkSession, root: str, glob: str = "*", largest: int | No
     return rows.withColumn("base", base).select(rel.alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
 
 
+def walked(files: DataFrame, rules: Rules | None = None, ignored: IgnoredDirs | None = None) -> DataFrame:
+    """files without those in directories that aren't looked into, with walk: what puts them in the order of a walk."""
+    return files.where(~not_looked_into(F.col("rel_path"), rules, ignored)).withColumn("walk", walk_key(F.col("rel_path")))
+
+
 def texts(files: DataFrame) -> DataFrame:
     """files with text: decoded content of text files; null where the name or the first bytes say binary."""
     read = F.pandas_udf(lambda s: s.map(lambda b: decode(bytes(b)) if b is not None else None), "string")
@@ -53,45 +63,50 @@ def snapshot(files: DataFrame) -> DataFrame:
     return files.select("rel_path", F.sha2("content", 256).alias("sha256"), F.col("size").alias("size_bytes"), F.coalesce(non_empty_lines(F.col("text")), F.lit(0)).cast("long").alias("loc"))
 
 
-class _Zip(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: Archives are read in one piece each; larger ones are told as an error rather than read.
+LARGEST_ARCHIVE = 1 << 30
 
 
-class _ZipReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = [p for p in options.get("path", "").split(",") if p]
+def stays_inside(name: str) -> bool:
+    """Whether a member of an archive stays in the folder it is put into: only plain parts, none of them up or a drive."""
+    parts = name.replace("\\", "/").split("/")
+    return not name.startswith(("/", "\\")) and ".." not in parts and ":" not in parts[0]
 
-    def partitions(self) -> list[InputPartition]:
-        return [_Zip(p) for p in self.paths]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with zipfile.ZipFile(partition.path.removeprefix("file://")) as z:
-            for info in z.infolist():
-                parts = info.filename.replace("\\", "/").split("/")
-                if info.is_dir() or info.filename.startswith("/") or ".." in parts or ":" in parts[0]:
-                    continue  # a member may not leave the folder it is put into
-                yield partition.path, info.filename, info.file_size, z.read(info)
+def zip_members(spark: SparkSession, root: str, glob: str = "*.zip") -> DataFrame:
+    """archive, rel_path, size, content of the members of all archives below root that stay inside.
 
+    Archives are read by Spark, so root may be in any file system that it knows; a set of archives is a folder. An
+    archive is one task's row. What isn't an archive has no members.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    rows = rows.where(F.col("length") <= LARGEST_ARCHIVE).select("path", "content")
 
-class ZipSource(DataSource):
-    """spark.read.format("zipmembers").load("a.zip,b.zip"): one row per member that stays inside; an archive is one partition."""
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if not zipfile.is_zipfile(io.BytesIO(content.as_py())):
+                    continue
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    for info in z.infolist():
+                        if not info.is_dir() and stays_inside(info.filename):
+                            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([info.filename]), pa.array([info.file_size], pa.int64()), pa.array([z.read(info)], pa.binary())], names=["archive", "rel_path", "size", "content"])
 
-    @classmethod
-    def name(cls) -> str:
-        return "zipmembers"
+    return arrow_map(rows, members, "archive string, rel_path string, size bigint, content binary")
 
-    def schema(self) -> str:
-        return "archive string, rel_path string, size bigint, content binary"
 
-    def reader(self, schema) -> DataSourceReader:
-        return _ZipReader(self.options)
+def report_text(files: DataFrame, largest: int | None = None) -> DataFrame:
+    """files with text for reports: null over largest bytes or where the first bytes say binary, else as UTF-8 with what can't be read replaced."""
+    fits = F.lit(True) if largest is None else F.length("content") <= largest
+    lossy = F.pandas_udf(lambda s: s.map(lambda b: bytes(b).decode("utf-8", "replace") if b is not None else None), "string")
+    return files.withColumn("text", F.when(fits & ~classify.is_binary_sniff(F.col("content")), lossy("content")))
 
 
 def zip_parts(entries: DataFrame, folder: str) -> DataFrame:
     """archive, part, bytes of the zip files that entries (archive, part, path, content) are written to, one per part.
 
-    A part is bounded by its target size, so it fits a task; a part is written under another name, then renamed.
+    A part is bounded by its target size, so it fits a task; a part is written under another name, then renamed. The
+    folder must be one that all executors have mounted, as the shared folder is.
     """
 
     def write(frame: pd.DataFrame) -> pd.DataFrame:
@@ -111,12 +126,20 @@ def zip_parts(entries: DataFrame, folder: str) -> DataFrame:
     return entries.groupBy("archive", "part").applyInPandas(write, "archive string, part int, bytes bigint")
 
 
-def banner(path: F.Column, size: F.Column, text: F.Column) -> F.Column:
-    """A file's text under a heading with its path and size, as it stands in a text dump."""
-    return F.concat(F.lit("===== "), path, F.lit(" ("), sizes.format_bytes(size), F.lit(") =====\n"), text, F.lit("\n"))
-
+def text_dump(files: DataFrame, folder: str, redact: bool = True) -> None:
+    """Writes rel_path, size, modified, text as files of banners and texts, in path order over all files: a range per file written.
 
-def text_dump(files: DataFrame, folder: str) -> None:
-    """Writes rel_path, size, text as files of banners, in path order over all files: a range per file written."""
-    rows = files.where(F.col("text").isNotNull()).select(F.lower("rel_path").alias("key"), banner(F.col("rel_path"), F.col("size"), F.col("text")).alias("value"))
-    rows.repartitionByRange("key").sortWithinPartitions("key").select("value").write.mode("overwrite").text(folder)
+    Secrets are replaced line by line unless redact is false.
+    """
+    rows = files.where(F.col("text").isNotNull())
+    if redact:
+        ship(files.sparkSession)
+        rows = rows.withColumn("text", F.pandas_udf(lambda s: s.map(lambda t: "\n".join(redact_line(line) for line in t.split("\n"))), "string")("text"))
+    shown = rows.select(F.lower("rel_path").alias("key"), file_banner(F.col("rel_path"), F.col("size"), F.coalesce(F.col("modified"), F.lit("")), F.col("text")).alias("value"))
+    shown.repartitionByRange("key").sortWithinPartitions("key").select("value").write.mode("overwrite").text(folder)
+
+
+def copied(files: DataFrame, outcomes: DataFrame, folder: str) -> None:
+    """Writes the content of the files that are copied (outcomes of export.copy_outcomes) as a table by project: rel_path, content."""
+    chosen = outcomes.where("outcome = 'copied'").select("project_id", "rel_path")
+    files.join(chosen, ["project_id", "rel_path"], "left_semi").write.mode("overwrite").partitionBy("project_id").parquet(folder)
