@@ -33,7 +33,9 @@ SLOT = re.compile(
     rf"\{{\{{-?\s*{_VAR}\s*-?\}}\}}|\{{%-?\s*(?!(?:end)?(?:if|for|set|block|raw|macro|filter|call|with)\b|else|elif|include|extends|import|from){_VAR}\s*-?%\}}|<%=?\s*{_VAR}\s*%>|\$\{{{_VAR}\}}|\$\[{_VAR}\]|#\{{{_VAR}\}}|@@{_VAR}@@|%%{_VAR}%%|%[A-Za-z][A-Za-z_]+%"
     rf"|<<\s*{_VAR}\s*>>|\[\[\s*{_VAR}\s*\]\]|\b__[A-Za-z][A-Za-z_]*?__(?!\w)|\[(?:insert|enter|your|add|fill|put)\b[^\]\n]{{0,40}}\]|<(?:insert|enter|your|add|fill)\b[^>\n]{{0,40}}>|<!--\s*(?:write|insert|add|enter|fill|put|describe|todo)\b[^>]{{0,60}}-->"
     rf"|\((?:fill in|insert|enter|add|your)\b[^)\n]{{0,40}}\)|\bTODO\({_VAR}\)|\bYYYY-MM-DD\b|\bDD[./]MM[./]YYYY\b|\bMM/DD/YYYY\b|_{{5,}}|\bX{{4,}}\b|\btb[da]\b(?!\.\w)|<[A-Z][A-Z_]+>|\[(?:name|title|author|owner|year|version|date|license|contact|description|usage|team|email|company|project|ticket|repo)[a-z_ ]*\]"
-    rf"|(?<![\w$#{{%]|\")\{{{_VAR}\}}(?!\"|\}})|_[A-Z][^_\n]{{3,60}} here\._",
+    rf"|(?<![\w$#{{%]|\")\{{{_VAR}\}}(?!\"|\}})|_[A-Z][^_\n]{{3,60}} here\._"
+    # Names of what is to be filled in, in capitals, in the midst of a sentence.
+    r"|(?-i:(?<![\w.\-$(])(?<![A-Z] )(?:FIRST ?|LAST ?|FULL ?|YOUR ?)?(?:NAME|COMPANY|PRODUCT|CUSTOMER|RECIPIENT|SENDER|ADDRESS|CITY|COUNTRY|AMOUNT|ORGANI[SZ]ATION|DEPARTMENT|POSITION)(?![\w=:(\-.]{2}|[ \t]*[=:(]| [A-Z]{2}))",
     re.I,
 )
 _SLOT_STRICT = re.compile(r"[A-Z]{4,}|^_|tb[da]$", re.I)
@@ -55,7 +57,7 @@ _FILLER = re.compile(
 _BLANK = re.compile(r"^[\w ]{2,30}:\s*(?:\.\.\.|…|-{1,3}|\?+|n/a)$")
 _STUB = re.compile(r"(?i)^(?:[\s,;|/]*\b(?:(?:caption|section|card|page|main|sub)[ -]?(?:text|title|heading)|(?:heading|title|headline|subheading|subtitle|paragraph|body text|lorem|label|link|image|item|button)(?: (?:\d+|one|two|three|four|label|text|caption))?|\w+ label|button \w+|text|content|test|blah|asdf|qwerty|foo(?: bar)?(?: baz)?|xxx+|item (?:\d+|one|two|three))\b)+[.,;]?$")
 
-_SCRIPT = r"(?:java ?script|ecmascript|scripts?(?:ing)?|active content|client-side rendering|dynamic content)"
+_SCRIPT = r"(?:java ?script|js|ecmascript|scripts?(?:ing)?|active content|client-side rendering|dynamic content)"
 _NOTICE = re.compile(
     rf"(?i)\b(?:enable|activate|turn(?:ing)? on|switch on|allow|permit|need|needs|require[sd]?|without|unblock)\b[^.!?\n]{{0,60}}\b{_SCRIPT}\b"
     rf"|\b{_SCRIPT}\b[^.!?\n]{{0,60}}\b(?:enabled?|required?|needed|necessary|disabled|blocked|blocking|allowed|not available|unavailable|turned (?:on|off)|switched (?:on|off)|supported)\b|\bblocks? scripts?\b|\bscript blocking\b"
@@ -72,7 +74,7 @@ _ERROR = re.compile(
     r"|\b(?:scheduled|planned|undergoing) maintenance\b|\bdown for (?:scheduled )?maintenance\b|\bwe'll be (?:right )?back\b|\bbe right back\b|\btemporarily (?:unavailable|down|offline|not available)\b|\bis (?:currently )?(?:unavailable|offline)\b|\bout of service\b"
     r"|\btook too long to respond\b|\bcan'?t be reached\b|\bERR_[A-Z_]{4,}\b|\bDNS_PROBE\w*|\bconnection (?:refused|reset|timed out|failure)\b|\bupstream connect error\b|\bdisconnect before headers\b|\berror establishing a database connection\b|\bdatabase error\b"
     r"|\bchecking your (?:connection|browser)\b|\bverify (?:that )?you are (?:a )?human\b|\breview the security of your connection\b|\bcaptcha\b|\bunusual traffic\b"
-    r"|\b(?:something|that) (?:went wrong|broke)\b|\b(?:oops|whoops|hmm|uh-oh|sorry|ouch|yikes|uh oh|oh no|bummer|argh|dang)\b[!,. ]|\b(?:is )?(?:not|no longer) in use\b|\bif (?:it|this) keeps happening\b|\bquota (?:used up|exceeded)\b|\bnothing (?:lives |is )?(?:to see )?here\b|\bwe (?:can't|cannot|couldn't) find (?:that|the|this)\b|\bwe lost that\b|\bleads nowhere\b|\bhas (?:been )?(?:moved|removed|deleted)\b|\bmay have been (?:moved|renamed|deleted|removed)\b|\bno longer (?:exists|available)\b"
+    r"|\b(?:something|that) (?:went wrong|broke)\b|\b(?:enable|allow|accept|activate|turn on|switch on) (?:\w+ ){0,2}cookies\b|\bcookies (?:are|must be|seem to be) (?:\w+ )?(?:disabled|blocked|required|enabled|turned off)\b|\b(?:oops|whoops|hmm|uh-oh|sorry|ouch|yikes|uh oh|oh no|bummer|argh|dang)\b[!,. ]|\b(?:is )?(?:not|no longer) in use\b|\bif (?:it|this) keeps happening\b|\bquota (?:used up|exceeded)\b|\bnothing (?:lives |is )?(?:to see )?here\b|\bwe (?:can't|cannot|couldn't) find (?:that|the|this)\b|\bwe lost that\b|\bleads nowhere\b|\bhas (?:been )?(?:moved|removed|deleted)\b|\bmay have been (?:moved|renamed|deleted|removed)\b|\bno longer (?:exists|available)\b"
     r"|\bapplication error\b|\b(?:client|server)-side exception\b|\bunhandled exception\b|\btraceback \(most recent call last\)|\bfatal: unable to\b|\bunable to (?:read|load|connect|fetch)\b|\brepository unavailable\b|\bfetch failed\b|\bbody omitted\b|\bthe remote answered\b|\bno such (?:blob|key|object|bucket|file)\b|\bobject is archived\b|<code>accessdenied"
     r"|\bseite (?:nicht|konnte nicht)\b|\bnicht gefunden\b|\bzugriff verweigert\b|\bkeine berechtigung\b|\bnicht erreichbar\b|\bexistiert nicht\b|\bwartungsarbeiten\b|\bfehler [45]?\d\d\b|\bsitzung (?:ist )?abgelaufen\b"
     r"|\berreur [45]?\d\d\b|\bintrouvable\b|\baccès (?:refusé|interdit)\b|\bindisponible\b|\bréessayer plus tard\b|\bpágina no (?:encontrada|existe|disponible)\b|\bya no está disponible\b|\bacceso denegado\b|\berror del servidor\b|\bpágina não (?:encontrada|existe)\b|\bacesso negado\b|\bindisponível\b|\bpagina non trovata\b|\baccesso negato\b|\bnon (?:è )?(?:più )?disponibile\b|\bniet gevonden\b|\btoegang geweigerd\b"
@@ -117,11 +119,13 @@ def _hint(kept: list[str], words: int) -> str:
         return ""
     if any(_SCRIPTS.search(unit) for unit in kept):
         return "script"
-    for unit in kept:
-        plain = re.findall(r"\w+", unit)
-        if 1 <= len(plain) <= 8 and (plain[0] in _STATUS_CODES or plain[-1] in _STATUS_CODES):
-            return "error"
-    return ""
+    return "error" if any(_status_title(unit) for unit in kept) else ""
+
+
+def _status_title(unit: str) -> bool:
+    """Whether a short line begins or ends with the status code of an error."""
+    plain = re.findall(r"\w+", unit)
+    return 1 <= len(plain) <= 8 and (plain[0] in _STATUS_CODES or plain[-1] in _STATUS_CODES)
 
 
 @dataclass
@@ -411,7 +415,8 @@ def page(text: str | None, lang: str | None = None, path: str | None = None) ->
         kind = "filler"
     words = len(stripped.split())
     hint = "" if kind else _hint(kept, words)
-    if hint and _TITLE.search(stripped):
+    # A title in markup, or a status code as the first line of several, needs no other page beside it.
+    if hint and (_TITLE.search(stripped) or hint == "error" and len(kept) > 1 and _status_title(kept[0])):
         kind = hint
     return Page(kind, slots, total, _digest(skeleton), words, hint)
 

@@ -21,6 +21,8 @@ STORY = "The exporter keeps every file that the plan names. It was slow until th
         ("Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.", "script"), ("Для просмотра включите JavaScript.", "script"),
         ("<html><head><title>502 Bad Gateway</title></head><body><center><h1>502 Bad Gateway</h1></center></body></html>", "error"),
         ('{"message": "Not Found", "status": 404, "request_id": "fbff9cae0c536097"}', "error"), ("Erreur 404\n\nLa page demandée est introuvable. Merci de réessayer plus tard.", "error"),
+        ("404\n\n페이지를 찾을 수 없습니다. 주소를 확인해 주세요.", "error"), ("Fel 404\n\nSidan kunde inte hittas.\n", "error"), ("Switch on JS in Firefox to see this application.", "script"), ("Please enable cookies to continue.\n", "error"),
+        ("Dear NAME,\n\nthank you for contacting COMPANY about PRODUCT.\n\nRegards", "template"), ("YOUR ADDRESS WAS BLOCKED BY THE FIREWALL OF THE COMPANY. QUOTE INCIDENT 2BFC.\n", "error"),
         ("Page not found\n\nOne stray sentence about the cache that outlived its folder last spring.\n", "error"),
     ],
 )
@@ -57,7 +59,7 @@ def test_a_template_speaks_for_its_pages(spark):
 
 
 def test_pages_of_any_language_by_their_template(spark):
-    rows = [(k, f"404\n\nSidan /s/{k} hittades inte.\n") for k in range(4)] + [(9, "404\n\nNågonting annat här.\n")]
+    rows = [(k, f"404\n\nSidan /s/{k} hittades inte.\n") for k in range(4)] + [(9, "Rapport\n\nNågonting annat här 404\n")]
     rows += [(20 + k, "Ota JS käyttöön nähdäksesi tämän sivun") for k in range(4)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(r) for r in residue(df).collect()} == {(k, "error", "repeated") for k in range(4)} | {(20 + k, "script", "repeated") for k in range(4)}
