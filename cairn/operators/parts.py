@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import sizes
+from cairn.runtime import cut as cut_table
 
 MIB = 1024 * 1024
 PART_TARGET, PART_RESERVE = 500 * MIB, 8 * MIB
@@ -60,6 +61,14 @@ def fit_plan(planned: DataFrame, importance: DataFrame, budget: int, pinned: Col
     return rows.select(*(F.when(out, F.lit(v)).otherwise(F.col(c)).alias(c) if (v := {"status": "excluded", "reason": UNFIT, "severity": "info"}.get(c)) else F.col(c) for c in planned.columns))
 
 
+def planned_parts(entries: DataFrame, target: int, hooks: Sequence[Callable[[DataFrame], None]] = ()) -> DataFrame:
+    """archive_parts, cut, with each of hooks told of the plan (archive, part, group, files, bytes) before anything is written."""
+    placed = cut_table(archive_parts(entries, target))
+    for hook in hooks:
+        hook(placed.groupBy("archive", "part").agg(F.min("group").alias("group"), F.count("*").alias("files"), F.sum("size").alias("bytes")))
+    return placed
+
+
 def oversized(entries: DataFrame, written: DataFrame, limit: int) -> DataFrame:
     """archive, part, bytes, entries, largest, replan: parts whose written file is larger than limit. A part of several entries is planned anew; one entry can't be helped.
 

@@ -185,12 +185,13 @@ def allowlist_screen(spark: SparkSession, d: str) -> DataFrame:
 def source_risk_summary(spark: SparkSession, d: str) -> DataFrame:
     """Per source: files, bytes, tokens, lines, and lines with secrets by confidence. The flagship query."""
     rows = _texts(spark, d, "source", "text", "size").withColumn("source", F.coalesce("source", F.lit("")))
-    per_file = rows.select("source", "size", sizes.token_estimate(F.col("size")).alias("tokens"), F.size(lines.split_lines(F.col("text"))).alias("lines"))
-    base = per_file.groupBy("source").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.sum("lines").alias("lines"))
-    hit = lines.numbered_lines(rows.select("source", "text")).where(F.col("content").rlike(findings.PREFILTER)).withColumn("k", detect.keyword_confidence(F.col("content")))
-    counts = hit.groupBy("source").agg(*(F.count_if(F.col("k") == c).alias(c) for c in ("critical", "high", "medium", "low")))
-    out = base.join(counts, "source", "left")
-    return out.select("source", "files", "bytes", "tokens", "lines", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("critical", "high", "medium", "low")))
+    # One pass: a file's own figures go with its first line, or with the row of a file without lines.
+    each = rows.select("source", "size", F.posexplode_outer(lines.split_lines(F.col("text"))).alias("at", "content"))
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    level = F.when(F.col("content").rlike(findings.PREFILTER), detect.keyword_confidence(F.col("content")))
+    each = each.select("source", "content", level.alias("k"), *(F.when(first, c).alias(n) for n, c in (("size", F.col("size")), ("tokens", sizes.token_estimate(F.col("size"))), ("file", F.lit(1)))))
+    sums = [F.count("file").alias("files"), F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("content").alias("lines")]
+    return each.groupBy("source").agg(*sums, *(F.count_if(F.col("k") == c).alias(c) for c in ("critical", "high", "medium", "low")))
 
 
 def redact_lines(spark: SparkSession, d: str) -> DataFrame:

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cairn.functions import classify
 from cairn.functions.redact import redact_line
 from cairn.operators.export import file_banner
-from cairn.operators.rules import IgnoredDirs, Rules, not_looked_into
+from cairn.operators.rules import IgnoredDirs, Rules, glob_regex, not_looked_into
 from cairn.operators.structure import walk_key
 from cairn.runtime import arrow_map, ship
 
@@ -35,8 +38,78 @@ def decode(content: bytes | None) -> str | None:
     return None
 
 
-def directory(spark: SparkSession, root: str, glob: str = "*", largest: int | None = None) -> DataFrame:
-    """rel_path, size, mtime, content of every file below root; with largest, only files of at most so many bytes are opened."""
+#: Files of a tree that one task reads: until they hold so many bytes or are so many.
+TASK_BYTES, TASK_FILES = 64 << 20, 4096
+
+
+class _Chunk(InputPartition):
+    def __init__(self, names: list[str]):
+        self.names = names
+
+
+class _TreeReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.root = options["path"].removeprefix("file://")
+        self.ignored = set(filter(None, options.get("ignored", "").split("/")))
+        self.largest = int(options.get("largest", "0"))
+
+    def partitions(self) -> list[InputPartition]:
+        """Files in the order of a walk, those of a directory before its directories; links aren't followed, ignored directories not entered."""
+        out: list[list[str]] = [[]]
+        held = 0
+        if not os.path.isdir(self.root):
+            raise FileNotFoundError(self.root)
+        for folder, dirs, names in os.walk(self.root):
+            dirs[:] = sorted((d for d in dirs if d.lower() not in self.ignored), key=str.upper)
+            for name in sorted(names, key=str.upper):
+                at = os.path.join(folder, name)
+                if not os.path.islink(at):
+                    out[-1].append(os.path.relpath(at, self.root))
+                    held += os.path.getsize(at)
+                    if held >= TASK_BYTES or len(out[-1]) >= TASK_FILES:
+                        out.append([])
+                        held = 0
+        return [_Chunk(names) for names in out]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for name in partition.names:
+            at = os.path.join(self.root, name)
+            stat = os.stat(at)
+            content = None
+            if not self.largest or stat.st_size <= self.largest:
+                with open(at, "rb") as f:
+                    content = f.read()
+            yield name.replace(os.sep, "/"), stat.st_size, datetime.fromtimestamp(stat.st_mtime, timezone.utc), content
+
+
+class TreeSource(DataSource):
+    """spark.read.format("filetree").load(folder): every file below a folder that all executors have mounted, hidden ones too.
+
+    Options: ignored (names of directories, with `/` between them), largest (bytes; larger files have no content).
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "filetree"
+
+    def schema(self) -> str:
+        return "rel_path string, size bigint, mtime timestamp, content binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _TreeReader(self.options)
+
+
+def directory(spark: SparkSession, root: str, glob: str = "*", largest: int | None = None, ignored: IgnoredDirs | None = None) -> DataFrame:
+    """rel_path, size, mtime, content of every file below root; with largest, the content of larger files is null.
+
+    A folder without a scheme (or file://) is walked, ignored directories left out. Elsewhere Spark lists the files,
+    which leaves out names that begin with `.` or `_`, and files over largest.
+    """
+    if "://" not in root or root.startswith("file://"):
+        ship(spark)
+        spark.dataSource.register(TreeSource)
+        rows = spark.read.format("filetree").option("ignored", "/".join(x for x in (ignored or IgnoredDirs()).names() if "/" not in x)).option("largest", str(largest or 0)).load(root)
+        return rows if glob == "*" else rows.where(F.substring_index("rel_path", "/", -1).rlike(glob_regex(glob)))
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     rows = rows.where(F.col("length") <= largest) if largest else rows
     base = F.lit(root.rstrip("/").split(":", 1)[-1].lstrip("/"))

@@ -16,7 +16,12 @@ def test_directory_texts_and_snapshot(spark, tmp_path):
     got = {r.rel_path: r for r in rows.collect()}
     assert set(got) == {"a/x.py", "y.txt", "z.png"} and got["a/x.py"].text.startswith("print") and got["y.txt"].text == "\u043f\u0440\u0438\u0432\u0435\u0442" and got["z.png"].text is None
     assert {r.rel_path: r["loc"] for r in source.snapshot(rows).collect()} == {"a/x.py": 1, "y.txt": 1, "z.png": 0}
-    assert source.decode(None) is None and source.decode(b"\xef\xbb\xbfa") == "a"
+    (tmp_path / ".env").write_text("A=1")
+    (tmp_path / "Node_Modules").mkdir()
+    (tmp_path / "Node_Modules" / "m.js").write_text("m")
+    (tmp_path / "link.txt").symlink_to(tmp_path / "y.txt")
+    assert {r.rel_path: r.content is None for r in source.directory(spark, "file://" + str(tmp_path), largest=5).collect()} == {".env": False, "a/x.py": True, "y.txt": True, "z.png": False}
+    assert [r.rel_path for r in source.directory(spark, str(tmp_path), "*.py").collect()] == ["a/x.py"] and source.directory(spark, str(tmp_path / "a")).count() == 1
 
 
 def test_zip_members_stay_inside(spark, tmp_path):
