@@ -60,20 +60,14 @@ def complete_headers(headers: DataFrame, files: DataFrame) -> DataFrame:
     return cur.join(after, (cur["series"] == after["_s"]) & (cur["pos"] == after["_p"]), "left").drop("_s", "_p")
 
 
-def with_ordinals(once: DataFrame, known: DataFrame | None) -> DataFrame:
-    """once with ordinal and new: known keys keep theirs, others get those after the largest of their block, in the order first seen.
+_BLOCK = ["series", "block"]
 
-    once: series, block, key, pos, lying by series and block; known: series, block, key, ordinal.
-    """
-    block = ["series", "block"]
-    if known is None:
-        seen = once.withColumn("first", F.min("pos").over(Window.partitionBy(*block, "key")))
-        return seen.withColumn("ordinal", (F.dense_rank().over(Window.partitionBy(*block).orderBy("first", "key")) - 1).cast("long")).withColumn("new", F.lit(True)).drop("first")
-    rows = once.join(known.withColumnRenamed("ordinal", "had"), [*block, "key"], "left")
-    rows = rows.withColumn("first", F.min("pos").over(Window.partitionBy(*block, "key"))).withColumn("base", F.coalesce(F.max("had").over(Window.partitionBy(*block)) + 1, F.lit(0)))
-    rows = rows.withColumn("new", F.col("had").isNull())
-    rank = F.dense_rank().over(Window.partitionBy(*block, "new").orderBy("first", "key")) - 1
-    return rows.withColumn("ordinal", F.when(F.col("new"), F.col("base") + rank).otherwise(F.col("had")).cast("long")).drop("had", "first", "base")
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (series, block, key, first, had) with ordinal: had where a key has one, else the next of its block, in the order of first and key."""
+    rank = F.dense_rank().over(Window.partitionBy(*_BLOCK, F.col("had").isNull()).orderBy("first", "key")) - 1
+    base = F.coalesce(F.max("had").over(Window.partitionBy(*_BLOCK)) + 1, F.lit(0))
+    return rows.withColumn("ordinal", F.coalesce("had", base + rank).cast("long"))
 
 
 def snapshot_changes(headers: DataFrame, files: DataFrame, path: str | None = None) -> DataFrame:
@@ -97,22 +91,27 @@ def snapshot_changes(headers: DataFrame, files: DataFrame, path: str | None = No
 
 
 def _changes(rows: DataFrame, head: DataFrame, path: str | None) -> DataFrame:
-    spark, block = rows.sparkSession, ["series", "block"]
-    known = kept(spark, path, _ORDINALS) if path else None
+    block = _BLOCK
+    known = kept(rows.sparkSession, path, _ORDINALS) if path else None
     if known is not None:
         # A series keeps the number of blocks that it was given when it was first seen.
         given = known.groupBy("project_id", "branch").agg(F.max("blocks").alias("given"))
         head = cut(head.join(given, ["project_id", "branch"], "left").withColumn("blocks", F.coalesce("given", "blocks")).drop("given"))
         names = small(head.groupBy("series").agg(F.first("project_id").alias("project_id"), F.first("branch").alias("branch"), F.max("blocks").alias("blocks")))
-        known = known.drop("blocks").join(names.drop("blocks"), ["project_id", "branch"]).select(*block, "key", "ordinal").repartition(*block)
+        known = known.drop("blocks").join(names.drop("blocks"), ["project_id", "branch"]).select(*_BLOCK, "key", F.col("ordinal").alias("had"))
     placed = join_counted(rows, head.select("series", "pos", "next_id", "blocks", "n", "id", F.col("id").alias("snapshot_id")), ["snapshot_id"], "n")
-    placed = placed.withColumn("block", F.expr("pmod(xxhash64(key), blocks)").cast("int")).drop("blocks", "snapshot_id").repartition(*block)
-    once = placed.groupBy(*block, "key", "pos").agg(*(F.max(c).alias(c) for c in ("id", "next_id", "digest", "bytes", "lines")))
-    numbered = with_ordinals(once, known)
-    if path:
-        # Only keys go through this job; what is numbered below reads the ordinals as they were before it, and so agrees.
-        added = numbered.where("new").groupBy(*block, "key").agg(F.min("ordinal").alias("ordinal")).join(names, "series")
+    placed = placed.withColumn("block", F.expr("pmod(xxhash64(key), blocks)").cast("int")).drop("blocks", "snapshot_id").withColumn("had", F.lit(None).cast("long"))
+    if known is not None:
+        # Keys that are known come along as rows without a place, so no join is needed to find their ordinals.
+        placed = placed.unionByName(known, allowMissingColumns=True)
+        ever = placed.groupBy(*_BLOCK, "key").agg(F.min("pos").alias("first"), F.max("had").alias("had"))
+        added = _numbered(ever).where("had IS NULL").join(names, "series")
+        # What is numbered below reads the ordinals as they were before this, and so agrees.
         added.select("project_id", "branch", "blocks", "block", "key", "ordinal").write.mode("append").parquet(path)
+    once = placed.repartition(*_BLOCK).groupBy(*_BLOCK, "key", "pos").agg(*(F.max(c).alias(c) for c in ("id", "next_id", "digest", "bytes", "lines", "had")))
+    by_key = Window.partitionBy(*_BLOCK, "key")
+    seen = once.withColumns({"first": F.min("pos").over(by_key), "had": F.max("had").over(by_key)})
+    numbered = _numbered(seen).where("pos IS NOT NULL").drop("first", "had")
 
     bit = (F.col("ordinal") % 64).cast("int")
     numbered = numbered.withColumn("word", F.floor(F.col("ordinal") / 64).cast("int")).withColumn("bit", bit)
