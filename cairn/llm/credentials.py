@@ -38,6 +38,8 @@ TOKEN_FORMS = [
     r"dop_v1_[0-9a-f]{64}",
     r"shp(?:at|ss|ca|pa)_[0-9a-fA-F]{32}",
     r"AGE-SECRET-KEY-1[0-9A-Z]{50,}",
+    r"sq0(?:csp|atp)-[0-9A-Za-z_\-]{22,}",
+    r"key-[0-9a-f]{32}(?![0-9A-Za-z])",
     r"https://hooks\.[0-9a-z.\-]+/services/T[0-9A-Z]{6,}/B[0-9A-Z]{6,}/[0-9A-Za-z]{16,}",
     r"\d{8,10}:[0-9A-Za-z_\-]{35}(?![0-9A-Za-z_\-])",
 ]
@@ -51,7 +53,7 @@ SECRET_WORDS = set(
     "accesstoken authkey kennwort kennung motdepasse clave contraseña contrasena senha palavrapasse пароль hmac jwt cookie sessionid sid psk wachtwoord hasło heslo lösenord salasana".split()
 )
 # Words before "key" that make it one that lets in or signs.
-KEY_WORDS = set("api access auth private signing sign master encryption storage license account shared secret service client app admin deploy ssh tls host hmac webhook session root bot registry server".split())
+KEY_WORDS = set("api access auth private signing sign master encryption storage license account shared secret service client app admin deploy ssh tls host hmac webhook session root bot registry server fernet cipher aes jwt cookie vault".split())
 # Last words that make a name tell of a credential instead of holding it.
 _HARMLESS = set(
     "path file filename dir name names id ids hash hashes digest pub public field fields length len count counts budget limit limits max min days ttl hours seconds "
@@ -95,6 +97,8 @@ def secret_name(name: str) -> bool:
         return False
     if last in SECRET_WORDS or last == "auth" and len(words) > 1:
         return True
+    if last == "base" and words[-3:-1] == ["secret", "key"]:
+        return True
     if last == "key" and len(words) > 1 and words[-2] in KEY_WORDS:
         return True
     if words[-3:] == ["mot", "de", "passe"] or last in ("passe",) and "mot" in words:
@@ -156,7 +160,7 @@ _ASSIGN = re.compile(
 )
 _FALLBACK = re.compile(rf"""(?:getenv|environ\.get|env\.get|ENV\.fetch|getProperty|get|getOrDefault|process\.env|setenv|Setenv|putenv|env|put|set|define|setProperty|config)[(\[]\s*["'`](?P<name>{_NAME})["'`]\s*[,\]]\s*(?:\|\|\s*|\)\s*\|\|\s*)?(?P<v>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)""")
 _OR = re.compile(rf"""(?P<name>{_NAME})["'`\])]*\s*(?:\|\||\?\?|\bor\b|:-|:=)\s*(?P<v>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`,;)}}]+)""")
-_HTML = re.compile(rf"""(?i)name=["']?(?P<name>{_NAME})["']?[^<>\n]*?value=["'](?P<v>[^"'\n]+)["']|<(?P<t>{_NAME})>(?P<w>[^<>\s]+)</(?P=t)>|value=["'](?P<u>[^"'\n]+)["'][^<>\n]*?name=["']?(?P<n2>{_NAME})""")
+_HTML = re.compile(rf"""(?i)\b(?:name|key)=["']?(?P<name>{_NAME})["']?[^<>\n]*?value=["'](?P<v>[^"'\n]+)["']|<(?P<t>{_NAME})>(?P<w>[^<>\s]+)</(?P=t)>|value=["'](?P<u>[^"'\n]+)["'][^<>\n]*?name=["']?(?P<n2>{_NAME})""")
 _USE_AS = re.compile(r"(?i)\b(?:use|with|try|nimm|utilise[rz]?|usa)\s+[`\"'](?P<v>[^`\"'\n]+)[`\"']\s+(?:as|for|als|comme|como)\s+(?:the\s+)?(?P<name>(?:[^\W\d]+[ _\-]?){1,5})")
 _PROSE = re.compile(r"(?i)(?<!\w)(?:(?:pass ?(?:word|phrase|code)|passwd|pwd|pin code|api[ _]?key|access token|secret|token|credentials?)\s+(?:is|was|are|=|:|to)(?:\s+now)?|(?:kennwort|passwort|mot de passe|contraseña|senha|clave)(?:\s+(?:ist|lautet|est|es|é))?\s*:?|пароль[^:\n]{0,40}:|login\s+\S+\s*/)\s+[`\"']?(?P<v>[^\s`\"'<>]+)")
 _TUPLE = re.compile(r"""\b(?:auth|credentials|login|basic_auth)\w*\s*[:=(]+\s*\(?\s*["'`]([^"'`\n]+)["'`]\s*,\s*["'`]([^"'`\n]+)["'`]\s*\)?""")
@@ -182,14 +186,26 @@ _PLACES = [
         r"\becho\s+(?:-\w+\s+)?[\"']?([^\s\"'|:]{6,})[\"']?\s*\|\s*[^\n]*--password-stdin\b",
         r"/user:\S+\s+[\"']?([^\s\"'/]{4,})",
         r"\b(?:add_user|change_password|set_password)\s+[\"']?\w+[\"']?\s+[\"']?([^\s\"']{4,})",
+        r"\bConvertTo-SecureString\s+(?:-String\s+)?[\"']([^\"'\s]{4,})[\"']",
+        r"\b(?:ldapsearch|ldapadd|ldapmodify|ldapdelete|ldapwhoami)\b[^\n|;]*?\s-w\s+[\"']?([^\s\"']{4,})",
+        r"\b(?:enable|username\s+\S+)\s+(?:secret|password)\s+(?:\d\s+)?([^\s\"']{4,})",
+        r"\bsnmp-server\s+community\s+([^\s\"']{4,})",
+        r"(?i)\b(?:use|with|try|nimm|nutze)\s+(?:the\s+|this\s+|das\s+)?(?:\w+\s+)?(?:token|password|passphrase|secret|key|passwort|kennwort)\s+[`\"']([^\s`\"']{6,})[`\"']",
+        r"\bopenssl\s+enc\b[^\n|;]*?\s-k\s+[\"']?([^\s\"']{4,})",
         r"://([A-Za-z0-9_\-]{20,})@[\w.\-]+",
     )
 ]
 _NETRC = re.compile(r"(?i)\b(?:login|user|account)\s+\S+\s+password\s+[\"']?([^\s\"';]+)")
 _BUILDER = re.compile(rf"""\.(?P<name>{_NAME})\(\s*(?P<v>"[^"\n]*"|'[^'\n]*'|`[^`\n]*`)\s*\)""")
 _PROPERTY = re.compile(rf"""<\w[^<>\n]*\bname=["'](?P<name>{_NAME})["'][^<>\n]*>(?P<v>[^<>\s]+)</""")
-_SPACED = re.compile(rf"(?i)^\W*(?:env|arg|export|set|setx|setenv|define|#define|config set)\s+(?P<name>{_NAME})\s+(?P<v>[^\s=]+)\s*\W*$")
-_FOR_IS = re.compile(r"(?i)(?<!\w)(?P<name>(?:[^\W\d]+[ _\-]){0,4}?(?:[^\W\d]+))(?:\s+(?:for|of|on|to|in|at|von|für|de|para)\s+(?:the\s+)?[\w.\-/]+)?\s+(?:is|was|ist|lautet|est|es)(?:\s+now|\s+still)?\s+[`\"']?(?P<v>[^\s`\"'<>]+)")
+_SPACED = re.compile(rf"(?i)^\W*(?:env|arg|export|set|setx|setenv|define|#define|config set)\s+(?:-\w+\s+)*(?P<name>{_NAME})\s+(?P<v>[^\s=]+)\s*\W*$")
+#: A setting and its value in quotes, alone on a line, as build files have them.
+_SETTING = re.compile(rf"""^\s*(?P<name>{_NAME})\s+(?P<v>"[^"\n]+"|'[^'\n]+')\s*;?\s*$""")
+#: A property by name and value, each in its element.
+_ELEMENTS = re.compile(rf"""(?i)<(?:name|key)>\s*(?P<name>{_NAME})\s*</(?:name|key)>\s*<value>\s*(?P<v>[^<>\s]+)\s*</value>""")
+#: A variable that is declared in a block with a default.
+_DECLARED = re.compile(rf"""\bvariable\s+["'](?P<name>{_NAME})["']\s*\{{[^{{}}]*?\bdefault\s*=\s*(?P<v>"[^"\n]*")""")
+_FOR_IS = re.compile(r"(?i)(?<!\w)(?P<name>(?:[^\W\d]+[ _\-]){0,4}?(?:[^\W\d]+))(?:\s+(?:for|of|on|to|in|at|von|für|de|para)\s+(?:the\s+)?[\w.\-/]+)?\s+(?:is|was|ist|lautet|est|es|è|é|jest|är|er)(?:\s+now|\s+still)?\s+[`\"']?(?P<v>[^\s`\"'<>]+)")
 _LOOSE = re.compile(r"(?i)(?<!\w)(?:token|password|passwd|secret|api[ _]?key|passphrase|credentials?)\s+[`\"']?(?P<v>[^\s`\"'<>]{6,})[`\"']?\s+(?:works|is valid|expires|still|until|lets|opens|gilt|funktioniert)")
 
 # What the automaton looks for. A hit is necessary for what follows it, never sufficient.
@@ -199,7 +215,7 @@ NAMES = sorted({*SECRET_WORDS, "passw", "passp", "passc", "passe", "cred", "cont
 LAST_NAMES = ["pass", "pw", "sid"]
 #: Places: what goes before or around a value that no name tells of.
 PLACES = [
-    "://", ":*:", "sig=", "signature=", "bearer", "basic", "-u", "identified", "mysql", "mariadb", "mongo", "redis-cli", "plink", "pscp", "sqlplus", "smbclient", "rpcclient", "htpasswd", "masterauth", "chpasswd", "add_user", "/user:", "expdp", "impdp", "7za", "requirepass",
+    "://", ":*:", "sig=", "signature=", "bearer", "basic", "-u", "identified", "mysql", "mariadb", "mongo", "redis-cli", "plink", "pscp", "sqlplus", "smbclient", "rpcclient", "htpasswd", "masterauth", "chpasswd", "add_user", "/user:", "convertto-securestring", "ldapsearch", "ldapadd", "ldapmodify", "ldapdelete", "ldapwhoami", "openssl", "snmp-server", "expdp", "impdp", "7za", "requirepass",
     "login", "log in", "log_in", "logon", "log on", "signin", "sign in", "sign_in", "connect(", "anmelden", "zugang",
 ]
 COMMANDS = ["rman", "exp", "imp", "zip", "7z", "rar", "connect"]
@@ -438,6 +454,16 @@ def _simple_spans(text: str, at: int, end: int, rules: set[str], whole: list[Pie
     for m in _FLAG.finditer(line) if named and "-" in line else ():
         if secret_name(m[1]) and literal(m[2], False):
             out.append((at + m.start(2), at + m.end(2)))
+    if named:
+        m = _SETTING.match(line)
+        if m and secret_name(m["name"]):
+            named_value(m["name"], at + m.start("v"), at + m.end("v"))
+        for m in _ELEMENTS.finditer(text, at, end) if "<" in line else ():
+            if secret_name(m["name"]) and literal(m["v"], True):
+                out.append((m.start("v"), m.end("v")))
+        m = "variable" in line and _DECLARED.match(text, at + line.index("variable"))
+        if m and secret_name(m["name"]):
+            named_value(m["name"], m.start("v"), m.end("v"))
     # A list of name and value pairs, each on its line: the value stands on the next.
     m = re.match(rf"""\s*-?\s*["']?(?:name|key)["']?\s*[:=]\s*["']?(?P<name>{_NAME})["']?,?\s*$""", line)
     if m and secret_name(m["name"]):
