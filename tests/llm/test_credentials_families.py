@@ -28,8 +28,6 @@ FIRST = [
     ("jwt","eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmNHl0w5Nx","eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmNHl0w5Nx"),
 ]
 SECOND = [
-    ')[0])
-    cases=[
     ("dotenv export", f"export STRIPE_SECRET={V}", V),("toml", f'[database]\npassword = "{V}"', V),("ini section", f"[smtp]\nuser=x\npass={V}", V),("hcl var", f'variable "db_password" {{\n  default = "{V}"\n}}', V),("gradle", f'storePassword "{V}"', V),("gradle props", f"RELEASE_KEY_PASSWORD={V}", V),
     ("maven", f"<server><id>x</id><password>{V}</password></server>", V),("nuget", f'<add key="ClearTextPassword" value="{V}" />', V),("composer", '{"http-basic":{"repo.example.org":{"username":"u","password":"'+V+'"}}}', V),("docker login", f"echo {V} | docker login -u me --password-stdin", V),("docker login p", f"docker login -u me -p {V} registry.example.org", V),
     ("git remote", f"git remote add origin https://me:{V}@git.example.org/x.git", V),("netrc", f"machine x.example.org login me password {V}", V),("rclone", f"pass = {V}", V),("wifi", f"wpa_passphrase={V}", V),("wpa psk", f'  psk="{V}"', V),("cisco", f"enable secret {V}", V),("snmp", f"snmp-server community {V} RO", V),
