@@ -32,10 +32,12 @@ _VAR = r"[A-Za-z][A-Za-z_]*(?:[ .\-][A-Za-z_]+){0,3}"
 SLOT = re.compile(
     rf"\{{\{{-?\s*{_VAR}\s*-?\}}\}}|\{{%-?\s*(?!(?:end)?(?:if|for|set|block|raw|macro|filter|call|with)\b|else|elif|include|extends|import|from){_VAR}\s*-?%\}}|<%=?\s*{_VAR}\s*%>|\$\{{{_VAR}\}}|\$\[{_VAR}\]|#\{{{_VAR}\}}|@@{_VAR}@@|%%{_VAR}%%|%[A-Za-z][A-Za-z_]+%"
     rf"|<<\s*{_VAR}\s*>>|\[\[\s*{_VAR}\s*\]\]|\b__[A-Za-z][A-Za-z_]*?__(?!\w)|\[(?:insert|enter|your|add|fill|put)\b[^\]\n]{{0,40}}\]|<(?:insert|enter|your|add|fill)\b[^>\n]{{0,40}}>|<!--\s*(?:write|insert|add|enter|fill|put|describe|todo)\b[^>]{{0,60}}-->"
-    rf"|\((?:fill in|insert|enter|add|your)\b[^)\n]{{0,40}}\)|\bTODO\({_VAR}\)|\bYYYY-MM-DD\b|\bDD[./]MM[./]YYYY\b|\bMM/DD/YYYY\b|_{{5,}}|\bX{{4,}}\b|\btb[da]\b(?!\.\w)|<[A-Z][A-Z_]+>|\[(?:name|title|author|owner|year|version|date|license|contact|description|usage|team|email|company|project|ticket|repo)[a-z_ ]*\]"
+    rf"|\((?:fill in|insert|enter|add|your)\b[^)\n]{{0,40}}\)|\bTODO\({_VAR}\)|\bYYYY-MM-DD\b|\bDD[./]MM[./]YYYY\b|\bMM/DD/YYYY\b|_{{5,}}|\bX{{4,}}\b|\btb[da]\b(?!\.\w)|<[A-Z][A-Z_]+(?: [A-Z_]+){{0,3}}>|\[(?:name|title|author|owner|year|version|date|license|contact|description|usage|team|email|company|project|ticket|repo)[a-z_ ]*\]"
     rf"|(?<![\w$#{{%]|\")\{{{_VAR}\}}(?!\"|\}})|_[A-Z][^_\n]{{3,60}} here\._"
+    # What is to be filled in, in brackets: alone, in several words, or at the end of a phrase.
+    r"|^\[[^\W\d][^\[\]\n|=]{2,60}\]$|(?-i:\[[A-ZÄÖÜ][a-zäöüß]+(?: [A-Za-zäöüß]+){1,5}\](?![(\[:]))|(?-i:\[[A-ZÄÖÜ][A-ZÄÖÜ ]{3,30}\](?![(\[:\w ]))|(?-i:\[[A-ZÄÖÜ][a-zäöüß]{2,30}\](?=[,.!?]?$))|^(?:\[ \] )?TODO\.?$"
     # Names of what is to be filled in, in capitals, in the midst of a sentence.
-    r"|(?-i:(?<![\w.\-$(])(?<![A-Z] )(?:FIRST ?|LAST ?|FULL ?|YOUR ?)?(?:NAME|COMPANY|PRODUCT|CUSTOMER|RECIPIENT|SENDER|ADDRESS|CITY|COUNTRY|AMOUNT|ORGANI[SZ]ATION|DEPARTMENT|POSITION)(?![\w=:(\-.]{2}|[ \t]*[=:(]| [A-Z]{2}))",
+    r"|(?-i:(?<![\w.\-$(])(?<![A-Z] )(?:FIRST ?|LAST ?|FULL ?|YOUR ?)?(?:NAME|COMPANY|PRODUCT|CUSTOMER|RECIPIENT|SENDER|ADDRESS|CITY|COUNTRY|AMOUNT|ORGANI[SZ]ATION|DEPARTMENT|POSITION)(?=[,.!?]?$|[,;!?] ))",
     re.I,
 )
 _SLOT_STRICT = re.compile(r"[A-Z]{4,}|^_|tb[da]$", re.I)
@@ -52,7 +54,7 @@ _ORDINARY = set("the a an of to and is are was for with that this it on as by fr
 _FILLER = re.compile(
     r"(?i)\b(?:placeholder|dummy|filler|sample|example) (?:paragraph|text|content|copy|heading|title|caption)\b|\bblindtext\b|\bplatzhaltertext\b|\btexto? (?:de relleno|provis[oó]rio|fictício)|\btexte? (?:de remplissage|fictif|factice|provisoire|bidon)|\btesto (?:segnaposto|di prova|fittizio)|\bздесь (?:будет|должен быть) (?:ваш )?текст|\bтекст[- ]заглушка|\bрыба[- ]текст|ダミーテキスト"
     r"|\b(?:here could be|your) (?:text|content|copy)\b(?: (?:goes )?here)?|\b(?:text|content) (?:goes|comes) here\b|\bhier k[öo]nnte (?:ihr|dein) text\b|\breplace this (?:text|paragraph|section)\b|\bcoming soon\b$|\bunder construction\b|\badd a short (?:introduction|description|summary) here\b"
-    r"|^describe (?:your|the) (?:change|issue|problem|bug)\b.{0,40}$|^_?(?:explain|describe|list|summari[sz]e|add|write) (?:the|your|a|any)\b.{3,60}\bhere\b\.?_?$|^inputs: \.\.\.|^outputs: \.\.\.|^known limits: \.\.\."
+    r"|^describe (?:your|the) (?:changes?|issues?|problems?|bugs?)\b.{0,40}$|^_?(?:explain|describe|list|summari[sz]e|add|write) (?:the|your|a|any)\b.{3,60}\bhere\b\.?_?$|^inputs: \.\.\.|^outputs: \.\.\.|^known limits: \.\.\."
 )
 _BLANK = re.compile(r"^[\w ]{2,30}:\s*(?:\.\.\.|…|-{1,3}|\?+|n/a)$")
 _STUB = re.compile(r"(?i)^(?:[\s,;|/]*\b(?:(?:caption|section|card|page|main|sub)[ -]?(?:text|title|heading)|(?:heading|title|headline|subheading|subtitle|paragraph|body text|lorem|label|link|image|item|button)(?: (?:\d+|one|two|three|four|label|text|caption))?|\w+ label|button \w+|text|content|test|blah|asdf|qwerty|foo(?: bar)?(?: baz)?|xxx+|item (?:\d+|one|two|three))\b)+[.,;]?$")
@@ -72,7 +74,7 @@ _ERROR = re.compile(
     r"|\baccess(?: to this \w+)?(?: is| was|)? ?denied\b|\b(?:access|permission) (?:denied|required)\b|\byou (?:are not allowed|do not have (?:permission|access)|don't have (?:permission|access))\b|\byour (?:address|ip)\b.{0,20}\b(?:was|has been|is) (?:blocked|banned)\b|\bblocked by the firewall\b"
     r"|\b(?:session|login|link) (?:has )?(?:expired|timed out)\b|\b(?:please )?(?:log|sign) in (?:again )?to (?:view|see|continue|access)\b|\bis private\b.{0,5}$|\bask its owner for access\b|\brequest (?:limit|rate)\b|\brate limit(?:ed)?\b|\breached the (?:request|rate|download) limit\b"
     r"|\b(?:scheduled|planned|undergoing) maintenance\b|\bdown for (?:scheduled )?maintenance\b|\bwe'll be (?:right )?back\b|\bbe right back\b|\btemporarily (?:unavailable|down|offline|not available)\b|\bis (?:currently )?(?:unavailable|offline)\b|\bout of service\b"
-    r"|\btook too long to respond\b|\bcan'?t be reached\b|\bERR_[A-Z_]{4,}\b|\bDNS_PROBE\w*|\bconnection (?:refused|reset|timed out|failure)\b|\bupstream connect error\b|\bdisconnect before headers\b|\berror establishing a database connection\b|\bdatabase error\b"
+    r"|\btook too long to respond\b|\bcan'?t be reached\b|\bhaving trouble (?:finding|loading|connecting|reaching)\b|\b(?:can'?t|cannot|could not|couldn't) connect to (?:the|this|that) (?:server|site|host|page)\b|^(?:http )?(?:40[013458]|410|429|50[0234])\s+[-–—:|]\s|\bERR_[A-Z_]{4,}\b|\bDNS_PROBE\w*|\bconnection (?:refused|reset|timed out|failure)\b|\bupstream connect error\b|\bdisconnect before headers\b|\berror establishing a database connection\b|\bdatabase error\b"
     r"|\bchecking your (?:connection|browser)\b|\bverify (?:that )?you are (?:a )?human\b|\breview the security of your connection\b|\bcaptcha\b|\bunusual traffic\b"
     r"|\b(?:something|that) (?:went wrong|broke)\b|\b(?:enable|allow|accept|activate|turn on|switch on) (?:\w+ ){0,2}cookies\b|\bcookies (?:are|must be|seem to be) (?:\w+ )?(?:disabled|blocked|required|enabled|turned off)\b|\b(?:oops|whoops|hmm|uh-oh|sorry|ouch|yikes|uh oh|oh no|bummer|argh|dang)\b[!,. ]|\b(?:is )?(?:not|no longer) in use\b|\bif (?:it|this) keeps happening\b|\bquota (?:used up|exceeded)\b|\bnothing (?:lives |is )?(?:to see )?here\b|\bwe (?:can't|cannot|couldn't) find (?:that|the|this)\b|\bwe lost that\b|\bleads nowhere\b|\bhas (?:been )?(?:moved|removed|deleted)\b|\bmay have been (?:moved|renamed|deleted|removed)\b|\bno longer (?:exists|available)\b"
     r"|\bapplication error\b|\b(?:client|server)-side exception\b|\bunhandled exception\b|\btraceback \(most recent call last\)|\bfatal: unable to\b|\bunable to (?:read|load|connect|fetch)\b|\brepository unavailable\b|\bfetch failed\b|\bbody omitted\b|\bthe remote answered\b|\bno such (?:blob|key|object|bucket|file)\b|\bobject is archived\b|<code>accessdenied"
@@ -84,7 +86,7 @@ _ERROR_TAIL = re.compile(
     r"(?i)^(?:try again(?: later)?\b.{0,60}|please try again.{0,40}|try:?|checking the (?:connection|proxy|firewall).{0,20}|(?:reference|ray|incident|request|trace|vorgang|code|detail|host|status|content-length|x-[\w\-]+|ref|id)\b[ :=#\"].{0,80}|go back\b.{0,60}|(?:report|tell|contact)\b.{0,60}|(?:thank you|thanks) for your patience\.?|zurück zur? .{0,30}|vuelva .{0,30}|merci de .{0,40}|wait \d+ \w+.{0,60}|if you think this is a mistake.{0,60}|sign in to see more\.?|file \"[^\"]+\", line \d+.{0,60}|return \w+\(.{0,60}\)|\w+(?:error|missing|exception)\b.{0,80}|the page \S+ could not.{0,80}|reset reason.{0,60}|\S+ said \d+.{0,40}|[\w.\-]+\.(?:test|example|invalid|com|org|net)\b.{0,90})$"
 )
 #: How an error as data begins.
-_BODY = re.compile(r'(?i)(?:\{\s*"?(?:message|error|detail|status|code|title)"?\s*[:=]|<\?xml[^<>]*>\s*<error>|error:?\s*\{|http/\d(?:\.\d)? [45]\d\d\b)')
+_BODY = re.compile(r'(?i)(?:\{\s*"?(?:message|error|detail|status|code|title)"?\s*[:=]|\{\s*"(?:timestamp|path|request_?id|trace_?id|type|instance|success|ok)"\s*:|<\?xml[^<>]*>\s*<error>|error:?\s*\{|http/\d(?:\.\d)? [45]\d\d\b)')
 _PAIR = re.compile(r"""["']?([A-Za-z_][\w\-]*)["']?\s*[:=]\s*("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^\s,;{}\[\]"']+)""", re.S)
 _HEADER_LINE = re.compile(r"[A-Za-z][\w\-]*: ?.*")
 #: An error as data, somewhere in a page: where it begins, and the status it must have.
@@ -97,7 +99,10 @@ _BODY_SIGN = re.compile(r"(?i)[45]\d\d|denied|forbidden|not found|error|unavaila
 _MENU = re.compile(r"(?i)^(?:skip to (?:main )?content|menu|search|home|docs|sign (?:in|up|out)|log ?(?:in|out)|overview|pricing|files|history|start|help|status|contact|privacy|terms|cookies|imprint|feedback|about|next|previous|back|[|·•\-–/\s,])+$")
 _CODE = re.compile(r"[;{}]\s*$|^\s*[\w.\[\]\"'\-]+\s*(?:=|:=|\+=)\s*\S|^\s*(?:def|class|import|from|package|func|fn|pub|const|let|var|if|for|while|return|match|SELECT|UPDATE|INSERT|FROM|COPY|RUN|ENV|EXPOSE|export|public|private|static|@\w+)\b.*[({:;=]|\w\(.*\)\s*[;{:]?$|^\s*[\"']?[\w.\-]+[\"']?\s*:\s*(?:[\"'\[{\d]|\S+$)|^\s*\[[\w.\-]+\]$|\{%-?\s*(?:if|for|set|block|end)|\|\s*default\(|^\s*-\s+\w+:|^\s*sed\b|^#!")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[\"'(_*`\[<{$#%@A-ZА-ЯÄÖÜÁÉÍÓÚÇ\d])|\s{2,}|\n+")
-_QUOTED = re.compile(r"[\"'`“„«](?:[^\"'`“„«»”\n]{6,})[\"'`”“»]")
+#: What stands in quotes; an apostrophe inside of a word is none.
+_QUOTED = re.compile(r"(?:[\"`“„«]|(?<!\w)')(?:[^\"`“„«»”\n]{6,}?)(?:[\"`”“»]|'(?!\w))")
+#: What tells of an error instead of being one.
+_NARRATED = re.compile(r"(?i)\bbecause (?:the|it|its|a|an)\b|\bthe (?:client|caller|handler|exporter|parser|fix|test|tests|router|commit|patch)\b|\b(?:answers|answered|responds|responded) with\b")
 _LABELLED, _SHOWN_ERROR = re.compile(r"^[A-Za-z]+: "), re.compile(r"(?i)traceback|http/")
 _TITLE_WORDS = 7
 _CONTROL = re.compile(r"\{%-?\s*(?:if|for|set|block|macro|end\w+)\b|\{\{[#/]\w+|<%\s*(?:if|for|end)\b|\|\s*default\(")
@@ -252,7 +257,7 @@ def _kind(unit: str) -> str:
         return "filler"
     if len(words) <= 24 and "slot" in groups and _SIGNS.search("slot", bare, hits) and not (_CODE.search(SLOT.sub("S", bare)) and not _LABELLED.match(bare)):
         return "template"
-    if "error" in groups and not told and len(words) <= 26 and not (code and not _SHOWN_ERROR.match(bare)) and _SIGNS.search("error", bare, hits):
+    if "error" in groups and not told and not _NARRATED.search(bare) and len(words) <= 26 and not (code and not _SHOWN_ERROR.match(bare)) and _SIGNS.search("error", bare, hits):
         return "error"
     if _latin(words):
         return "filler"
