@@ -338,5 +338,12 @@ ORACLE = {
     + """SELECT doc_id, format('{:,}', size * 1000) AS shown, regexp_replace(rel_path, '[^A-Za-z0-9_]', '_', 'g') AS node, '&lt;a &amp; &#x27;b&#x27;&gt; ' || replace(replace(replace(replace(replace(rel_path, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS html,
       strftime(make_timestamp(size * 86399000000), '%Y-%m-%d %H:%M:%S') AS human, strftime(make_timestamp(size * 86399000000), '%Y%m%d_%H%M%S') AS compact, strftime(make_timestamp(size * 86399000000), '%Y-%m-%d %H:%M:%S UTC') AS zoned FROM h""",
     "refined_tokens": "SELECT doc_id, greatest(1, CAST(round(strlen(text) / CASE WHEN len(regexp_extract_all(text, '[\\x{0400}-\\x{04FF}]')) * 2 > length(text) THEN 1.9 * 2.5 ELSE 3.8 END) AS BIGINT)) AS tokens FROM documents WHERE text IS NOT NULL",
+    "debounced_events": """WITH ev AS (SELECT CAST(user_id AS VARCHAR) AS root, epoch_us(ts) // 1000 AS tms, event_type AS path FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL),
+      xs AS (SELECT root, list({'tms': tms, 'path': path, 'last': CAST(NULL AS BIGINT), 'pend': CAST([] AS VARCHAR[]), 'out': CAST([] AS STRUCT(tms BIGINT, path VARCHAR)[])} ORDER BY tms, path) AS xs FROM ev GROUP BY 1),
+      fd AS (SELECT root, list_reduce(list_prepend({'tms': CAST(0 AS BIGINT), 'path': '', 'last': CAST(NULL AS BIGINT), 'pend': CAST([] AS VARCHAR[]), 'out': CAST([] AS STRUCT(tms BIGINT, path VARCHAR)[])}, xs), lambda a, x: CASE WHEN a.last IS NULL OR x.tms - a.last >= 604800000
+        THEN {'tms': x.tms, 'path': x.path, 'last': x.tms, 'pend': CAST([] AS VARCHAR[]), 'out': list_concat(a.out, list_transform(list_sort(list_distinct(list_append(a.pend, x.path))), lambda p: {'tms': x.tms, 'path': p}))}
+        ELSE {'tms': x.tms, 'path': x.path, 'last': a.last, 'pend': list_append(a.pend, x.path), 'out': a.out} END).out AS o FROM xs), u AS (SELECT root, unnest(o) AS r FROM fd)
+      SELECT root, r.tms AS "at", r.path AS path FROM u""",
+    "report_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"(CAST({k} AS INT), '{r.name}', '{p}', {str(p == 'full' or p in r.profiles).lower()})" for k, r in enumerate(catalogue().reports.values(), 1) for p in ALL) + ") AS v(place, report, profile, runs)",
     "ignored_union": literal.over(_STACKS + f", b AS (SELECT unnest([{_DIRS}]) AS directory), u AS (SELECT directory FROM b UNION SELECT lower(unnest(dirs)) FROM st) SELECT directory, directory NOT IN (SELECT directory FROM b) AS added FROM u"),
 }
