@@ -118,8 +118,6 @@ def language(path: Column) -> Column:
 
 def is_binary_sniff(content: Column) -> Column:
     """Whether the first 8192 bytes hold a NUL, or over 30 % control bytes (under 9, or 14 to 31)."""
-    head = F.hex(F.substring(content, 1, 8192))
-    pairs = F.regexp_replace(head, "(..)", "$1 ")
-    controls = F.regexp_count(pairs, F.lit("(0[0-8]|0[EF]|1[0-9A-F]) "))
-    size = F.length(F.substring(content, 1, 8192))
-    return (F.regexp_count(pairs, F.lit("00 ")) > 0) | F.coalesce(controls / F.nullif(size, F.lit(0)) > 0.30, F.lit(False))
+    head = F.decode(F.substring(content, 1, 8192), "ISO-8859-1")
+    controls = F.regexp_count(head, F.lit(r"[\x00-\x08\x0E-\x1F]"))
+    return head.contains("\x00") | F.coalesce(controls / F.nullif(F.length(head), F.lit(0)) > 0.30, F.lit(False))

@@ -39,11 +39,14 @@ def copy_outcomes(planned: DataFrame, selected: DataFrame | None, mode: str) ->
 
 def copy_counters(outcomes: DataFrame, skipped_dirs: DataFrame) -> DataFrame:
     """One row: dirs_created (the target and every directory above a copied file), files_copied, dirs_skipped, files_skipped, by safety, by diff, errors."""
-    copied = outcomes.where("outcome = 'copied'").select(F.explode(F.concat(F.array(F.lit("")), paths.ancestors(F.col("rel_path")))).alias("d")).agg(F.greatest(F.lit(1), F.countDistinct("d")).alias("dirs_created"))
-    by = lambda o: F.count_if(F.col("outcome") == o)
-    counts = outcomes.agg(by("copied").alias("files_copied"), by("safety").alias("files_skipped"), by("safety").alias("files_skipped_by_safety"), by("diff").alias("files_skipped_by_diff"), by("error").alias("errors"))
+    # One pass: a file's outcome is counted with the first of the directories above it.
+    above = F.when(F.col("outcome") == "copied", F.concat(F.array(F.lit("")), paths.ancestors(F.col("rel_path")))).otherwise(F.array(F.lit("")))
+    rows = outcomes.select("outcome", F.posexplode(above).alias("k", "d"))
+    by = lambda o: F.count_if((F.col("outcome") == o) & (F.col("k") == 0))
+    dirs_created = F.greatest(F.lit(1), F.countDistinct(F.when(F.col("outcome") == "copied", F.col("d")))).alias("dirs_created")
+    counts = rows.agg(dirs_created, by("copied").alias("files_copied"), by("safety").alias("files_skipped"), by("safety").alias("files_skipped_by_safety"), by("diff").alias("files_skipped_by_diff"), by("error").alias("errors"))
     dirs = skipped_dirs.agg(F.countDistinct("directory").alias("dirs_skipped"))
-    return copied.join(counts, F.lit(True)).join(dirs, F.lit(True))  # one row each
+    return counts.join(dirs, F.lit(True))  # one row each
 
 
 def dump_outcomes(files: DataFrame, largest: int | None) -> DataFrame:

@@ -13,7 +13,7 @@ from cairn.operators import findings, graph, manifests, parts, rules, sarif, sto
 from cairn.queries import corpus
 from cairn.queries.corpus import _FILES, files
 from cairn.operators.snapshot_changes import digest_value, path_key
-from cairn.runtime import cut, shared_folder, small, table
+from cairn.runtime import cut, shared_folder, small, spread, table
 from cairn.streaming import scan as stream
 
 RULES = rules.Rules.parse(
@@ -54,7 +54,7 @@ def explain_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def import_edges(spark: SparkSession, d: str) -> DataFrame:
-    rows = files(spark, d).select("project_id", "rel_path", "text")
+    rows = spread(files(spark, d).select("project_id", "rel_path", "text"))
     modules = manifests.declarations(rows).where("kind = 'module'").select("project", F.col("name").alias("module")).distinct()
     return graph.import_edges(rows, go_module=modules)
 
@@ -69,16 +69,16 @@ def import_degrees(spark: SparkSession, d: str) -> DataFrame:
 
 def import_candidates(spark: SparkSession, d: str) -> DataFrame:
     """How many files each importing file may stand for, before they are held against what exists."""
-    found = graph.specifiers(files(spark, d).select("project_id", "rel_path", "text"))
+    found = graph.specifiers(spread(files(spark, d).select("project_id", "rel_path", "text")))
     return found.groupBy("project", "source").agg(F.countDistinct("base").alias("bases"), F.countDistinct("target").alias("targets"))
 
 
 def key_file_scores(spark: SparkSession, d: str) -> DataFrame:
-    return graph.key_file_scores(files(spark, d).select("doc_id", "project_id", "rel_path", "text"), _edges(spark, d))
+    return graph.key_file_scores(spread(files(spark, d).select("doc_id", "project_id", "rel_path", "text")), _edges(spark, d))
 
 
 def refactoring_scores(spark: SparkSession, d: str) -> DataFrame:
-    return graph.refactoring_scores(files(spark, d).select("doc_id", "project_id", "rel_path", "text"), _edges(spark, d))
+    return graph.refactoring_scores(spread(files(spark, d).select("doc_id", "project_id", "rel_path", "text")), _edges(spark, d))
 
 
 def layers_of_files(spark: SparkSession, d: str) -> DataFrame:
