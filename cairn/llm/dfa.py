@@ -18,6 +18,8 @@ import numpy as np
 
 #: Characters of the chunk before that tell a chunk's first state, nearly always.
 OVERLAP = 96
+#: Where more states than this were made, they are forgotten before the next text, so memory is bounded.
+MOST_STATES = 1 << 16
 #: Texts of fewer characters are gone through one character at a time.
 SHORT = 4096
 _SPACE = frozenset(" \t\n\r\f\v")
@@ -47,6 +49,10 @@ class Automaton:
             self.final[last] = k
             self.starts.append((before, first))
         self._classes()
+        self._forget()
+
+    def _forget(self) -> None:
+        """Begins anew with the one state in which texts begin."""
         self.ids: dict[frozenset[int], int] = {}
         self.sets: list[frozenset[int]] = []
         self.table = np.full((256, self.kinds), -1, dtype=np.int32)
@@ -215,7 +221,12 @@ class Automaton:
         return self.lookup[np.minimum(code, 0xFFFF)]
 
     def places(self, text: str) -> list[tuple[int, int]]:
-        """(place, state) wherever a rule may have matched, in order; text ends as if a line ended there."""
+        """(place, state) wherever a rule may have matched, in order; text ends as if a line ended there.
+
+        States hold until the next text.
+        """
+        if len(self.sets) > MOST_STATES:
+            self._forget()
         kinds = np.append(self._kinds(text), np.uint8(self.newline))
         out: list[tuple[int, int]] = []
         if len(kinds) <= SHORT:
@@ -264,10 +275,10 @@ class Automaton:
         whole = "\n".join(texts)
         out: list[dict[int, set[str]]] = [{} for _ in texts]
         text, start, end = 0, 0, len(texts[0]) if texts else 0
+        places = self.places(whole)
         names = [{self.rules[k] for k in f} for f in self.found]
-        known = len(names)
         line, stop = -1, -1
-        for at, state in self.places(whole):
+        for at, state in places:
             while at > end:
                 text += 1
                 start, end = end + 1, end + 1 + len(texts[text])
@@ -276,9 +287,6 @@ class Automaton:
                 line = max(line, start)
                 stop = whole.find("\n", at)
                 stop = end if stop < 0 or stop > end else stop
-            if state >= known:
-                names += [{self.rules[k] for k in f} for f in self.found[known:]]
-                known = len(names)
             out[text].setdefault(line - start, set()).update(names[state])
         return out
 

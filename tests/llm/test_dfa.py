@@ -39,6 +39,15 @@ def test_hits_do_not_depend_on_where_chunks_are_cut(monkeypatch):
     assert by_chunk == places(whole) and len(by_chunk) > 100
 
 
+def test_states_may_be_forgotten_between_texts(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(PIECES) for _ in range(50)) for _ in range(40)]
+    whole = [Automaton(RULES).lines([t])[0] for t in texts]
+    monkeypatch.setattr(dfa, "MOST_STATES", 8)
+    automaton = Automaton(RULES)
+    assert [automaton.lines([t])[0] for t in texts] == whole and automaton.lines(texts) == whole
+
+
 def test_empty_texts():
     automaton = Automaton(RULES)
     assert automaton.lines([]) == [] and automaton.lines(["", "AKIA" + "B2" * 8, ""]) == [{}, {0: {"token", "alone"}}, {}]
