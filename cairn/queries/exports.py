@@ -215,6 +215,23 @@ def ignored_union(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(found.select(F.lower("directory").alias("directory"))).distinct().withColumn("added", ~F.col("directory").isin(rules.BASE_IGNORED))
 
 
+_COMMITS, _CHANGES, _TREE = "project_id long, oid string, author string, at long", "project_id long, oid string, path string, inserted long, deleted long", "project_id long, path string, oid string"
+KEEP_LITERAL = 3
+
+
+def literal_authors(spark: SparkSession, d: str) -> DataFrame:
+    return history.by_author(literal.rows(spark, literal.COMMITS, _COMMITS))
+
+
+def literal_churn(spark: SparkSession, d: str) -> DataFrame:
+    return history.churn(literal.rows(spark, literal.CHANGES, _CHANGES), literal.rows(spark, literal.COMMITS, _COMMITS), KEEP_LITERAL)
+
+
+def literal_tree_diff(spark: SparkSession, d: str) -> DataFrame:
+    found = history.tree_diff(literal.rows(spark, literal.BEFORE, _TREE), literal.rows(spark, literal.AFTER, _TREE))
+    return found.select("project_id", "path", "status", F.coalesce("old_path", F.lit("")).alias("old_path"))
+
+
 def catalogue() -> Catalogue:
     """The reports of this package, each a query."""
     from cairn.queries import code, projects
@@ -258,7 +275,7 @@ QUERIES = {
     "copy_outcomes": copy_outcomes, "copy_counters": copy_counters, "skipped_dirs": skipped_dirs, "plan_overrides": plan_overrides, "directory_status": directory_status, "size_cap": size_cap, "dump_counters": dump_counters, "dump_lengths": dump_lengths, "labelled_lines": labelled_lines, "manifests": manifests,
     "verify_summary": verify_summary, "message_shapes": message_shapes, "exit_codes": exit_codes, "budget_pinned": budget_pinned, "budget_summary": budget_summary, "oversized_parts": oversized_parts, "retention_counts": retention_counts, "legacy_import": legacy_import, "legacy_import_report": legacy_import_report,
     "new_projects": new_projects, "snapshot_totals": snapshot_totals, "distinct_blobs": distinct_blobs, "recent_commits": recent_commits, "blob_findings": blob_findings, "display_forms": display_forms, "refined_tokens": refined_tokens, "debounced_events": debounced_events, "ignored_union": ignored_union,
-    "report_catalogue": report_catalogue, "report_run": report_run,
+    "literal_authors": literal_authors, "literal_churn": literal_churn, "literal_tree_diff": literal_tree_diff, "report_catalogue": report_catalogue, "report_run": report_run,
 }
 
 # --- the same in SQL ---------------------------------------------------------------------------------------------
@@ -344,6 +361,14 @@ ORACLE = {
         THEN {'tms': x.tms, 'path': x.path, 'last': x.tms, 'pend': CAST([] AS VARCHAR[]), 'out': list_concat(a.out, list_transform(list_sort(list_distinct(list_append(a.pend, x.path))), lambda p: {'tms': x.tms, 'path': p}))}
         ELSE {'tms': x.tms, 'path': x.path, 'last': a.last, 'pend': list_append(a.pend, x.path), 'out': a.out} END).out AS o FROM xs), u AS (SELECT root, unnest(o) AS r FROM fd)
       SELECT root, r.tms AS "at", r.path AS path FROM u""",
+    "literal_authors": "WITH " + literal.values_sql("c", literal.COMMITS, "project_id, oid, author, at_") + " SELECT project_id, author, count(DISTINCT oid) AS commits FROM c GROUP BY 1, 2",
+    "literal_churn": "WITH " + literal.values_sql("c", literal.COMMITS, "project_id, oid, author, at_") + ", " + literal.values_sql("g", literal.CHANGES, "project_id, oid, path, ins, del")
+    + f""", k AS (SELECT project_id, oid FROM (SELECT project_id, oid, row_number() OVER (PARTITION BY project_id ORDER BY at_ DESC, oid DESC) AS k FROM (SELECT DISTINCT project_id, oid, at_ FROM c)) WHERE k <= {KEEP_LITERAL})
+      SELECT g.project_id, path, CAST(sum(ins + del) AS BIGINT) AS churn, count(DISTINCT g.oid) AS touches FROM g SEMI JOIN k ON k.project_id = g.project_id AND k.oid = g.oid GROUP BY 1, 2""",
+    "literal_tree_diff": "WITH " + literal.values_sql("b", literal.BEFORE, "project_id, path, oid") + ", " + literal.values_sql("n", literal.AFTER, "project_id, path, oid")
+    + """, gone AS (SELECT b.*, row_number() OVER (PARTITION BY b.project_id, b.oid ORDER BY b.path) AS k FROM b ANTI JOIN n ON n.project_id = b.project_id AND n.path = b.path), made AS (SELECT n.*, row_number() OVER (PARTITION BY n.project_id, n.oid ORDER BY n.path) AS k FROM n ANTI JOIN b ON b.project_id = n.project_id AND b.path = n.path)
+      SELECT n.project_id, n.path, 'modified' AS status, '' AS old_path FROM n JOIN b ON b.project_id = n.project_id AND b.path = n.path WHERE b.oid <> n.oid
+      UNION ALL SELECT coalesce(m.project_id, g.project_id), coalesce(m.path, g.path), CASE WHEN m.path IS NULL THEN 'deleted' WHEN g.path IS NULL THEN 'added' ELSE 'renamed' END, CASE WHEN m.path IS NOT NULL THEN coalesce(g.path, '') ELSE '' END FROM made m FULL JOIN gone g ON g.project_id = m.project_id AND g.oid = m.oid AND g.k = m.k""",
     "report_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"(CAST({k} AS INT), '{r.name}', '{p}', {str(p == 'full' or p in r.profiles).lower()})" for k, r in enumerate(catalogue().reports.values(), 1) for p in ALL) + ") AS v(place, report, profile, runs)",
     "ignored_union": literal.over(_STACKS + f", b AS (SELECT unnest([{_DIRS}]) AS directory), u AS (SELECT directory FROM b UNION SELECT lower(unnest(dirs)) FROM st) SELECT directory, directory NOT IN (SELECT directory FROM b) AS added FROM u"),
 }

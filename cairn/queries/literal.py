@@ -66,3 +66,22 @@ def over(sql: str) -> str:
     """SQL over the corpus as SQL over these rows."""
     body = sql.strip()
     return SQL + (", " + body[5:] if body.upper().startswith("WITH ") else " " + body)
+
+
+#: project_id, oid, author, at.
+COMMITS = [(1, "a1", "Ada", 10), (1, "a2", "Ben", 20), (1, "a3", "Ada", 30), (1, "a4", "Ada", 30), (1, "a4", "Ada", 30), (2, "b1", "Cy", 5)]
+#: project_id, oid, path, inserted, deleted.
+CHANGES = [(1, "a1", "x", 9, 9), (1, "a2", "x", 3, 1), (1, "a3", "x", 1, 0), (1, "a3", "y", 5, 5), (1, "a4", "y", 2, 2), (2, "b1", "x", 7, 0), (2, "none", "x", 1, 1)]
+#: project_id, path, oid of two trees.
+BEFORE = [(1, "a", "o1"), (1, "b", "o2"), (1, "c", "o3"), (1, "d", "o3"), (1, "same", "o9"), (2, "a", "o1")]
+AFTER = [(1, "a", "o1x"), (1, "e", "o3"), (1, "f", "o3"), (1, "g", "o3"), (1, "new", "o5"), (1, "same", "o9"), (2, "moved", "o1")]
+
+
+def rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(values, schema)
+
+
+def values_sql(name: str, values: list[tuple], columns: str) -> str:
+    """name(columns) AS a common table expression over the values; whole numbers are BIGINT."""
+    cells = ["(" + ", ".join(f"CAST({x} AS BIGINT)" if isinstance(x, int) else _text(x) for x in v) + ")" for v in values]
+    return f"{name}({columns}) AS (VALUES {', '.join(cells)})"

@@ -48,9 +48,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if its table lies in fewer files than there are cores, as a small table does; else df as it is."""
+    """df over all cores if it lies in fewer partitions than there are cores, as a table of one small file does; else df as it is.
+
+    Only counted, never collected: the names of a large table's files stay where they are.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
