@@ -80,3 +80,22 @@ def test_long_prompts_are_cut_at_every_limit(spark):
 def test_an_item_over_a_limit_is_an_error():
     with pytest.raises(ValueError):
         pack(np.array([11]), np.array([0]), Limits(10, 2, 10))
+
+
+def test_report_and_limits_by_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(4)
+    tokens = np.minimum(3000, np.exp(rng.normal(4.5, 1.2, 4000)).astype(int))
+    rows = [(k, int(t), int(max(0, t - rng.integers(0, 12)))) for k, t in enumerate(tokens)]
+    caps = spark.createDataFrame([("small", 128, 1), ("middle", 512, 1), ("large", 4096, 1)], C)
+    out = packed(docs(spark, rows), caps)
+    placed, capacities = out.toPandas(), caps.toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.register("placed", placed)
+    con.register("capacities", capacities)
+    want = con.sql("""SELECT p.container, count(DISTINCT bin) AS bins, count(DISTINCT doc_id) AS documents, count(DISTINCT doc_id) FILTER (piece > 0) AS split_documents, sum(p.tokens)::BIGINT AS tokens,
+        round(1 - sum(p.tokens) / (count(DISTINCT bin) * max(capacity_tokens)), 6) AS unused FROM placed p JOIN capacities c ON c.container = p.container GROUP BY 1""").fetchall()
+    assert {tuple(r) for r in fill_report(out, caps).collect()} == set(want) and all(r[5] < 0.03 for r in want)
+    over = con.sql("""SELECT count(*) FROM (SELECT p.container, bin, sum(p.tokens) AS t, sum(p.loss_tokens) AS l, count(*) AS n, max(capacity_tokens) AS c FROM placed p JOIN capacities k ON k.container = p.container GROUP BY 1, 2)
+        WHERE t > c OR l > greatest(1, floor(c * 0.995)) OR n > greatest(1, c // 16)""").fetchall()
+    assert over == [(0,)]
