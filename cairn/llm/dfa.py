@@ -18,6 +18,8 @@ import numpy as np
 
 #: Characters of the chunk before that tell a chunk's first state, nearly always.
 OVERLAP = 96
+#: Characters that are coded together.
+PIECE = 1 << 20
 #: Where more states than this were made, they are forgotten before the next text, so memory is bounded.
 MOST_STATES = 1 << 16
 #: Texts of fewer characters are gone through one character at a time.
@@ -217,8 +219,12 @@ class Automaton:
         return int(state)
 
     def _kinds(self, text: str) -> np.ndarray:
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        return self.lookup[np.minimum(code, 0xFFFF)]
+        """The kind of each character, and of the line end that closes the text; long texts are coded piece by piece."""
+        out = np.full(len(text) + 1, self.newline, dtype=np.uint8)
+        for at in range(0, len(text), PIECE):
+            code = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            out[at : at + len(code)] = self.lookup[np.minimum(code, 0xFFFF)]
+        return out
 
     def places(self, text: str) -> list[tuple[int, int]]:
         """(place, state) wherever a rule may have matched, in order; text ends as if a line ended there.
@@ -227,7 +233,7 @@ class Automaton:
         """
         if len(self.sets) > MOST_STATES:
             self._forget()
-        kinds = np.append(self._kinds(text), np.uint8(self.newline))
+        kinds = self._kinds(text)
         out: list[tuple[int, int]] = []
         if len(kinds) <= SHORT:
             self._walk(kinds.tobytes(), self.begin, 0, out)
