@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import stacks
@@ -46,7 +46,7 @@ def plan_groups_ranked(spark: SparkSession, d: str) -> DataFrame:
     from cairn.functions.classify import plan_group
 
     rows = files(spark, d).groupBy(plan_group(F.col("rel_path")).alias("plan_group")).agg(F.count("*").alias("files"), F.min("doc_id").alias("first"))
-    return rows.select("plan_group", "files", F.row_number().over(corpus.Window.orderBy(F.col("files").desc(), "first")).alias("place"))
+    return rows.select("plan_group", "files", F.row_number().over(Window.orderBy(F.col("files").desc(), "first")).alias("place"))
 
 
 def concern_words(spark: SparkSession, d: str) -> DataFrame:
