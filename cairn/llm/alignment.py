@@ -121,10 +121,6 @@ def places(text: str) -> dict[int, list[tuple[str, str]]]:
     return {signature: frame.places(kind) for signature, kind in frame.signatures().items()}
 
 
-def may_be_open(text: str) -> bool:
-    return Frame(text).may_be_open()
-
-
 def _bare(text: str) -> str:
     return re.sub(r"[\W_]+", "", text).lower()
 

@@ -482,9 +482,7 @@ def _simple_spans(text: str, at: int, end: int, rules: set[str], whole: list[Pie
     if m and secret_name(m["name"]):
         n = re.compile(r"""\r?\n\s*(?P<v>"[^"\n]*"|'[^'\n]*'|`[^`\n]*`)""").match(text, end)
         if n:
-            before = len(out)
             named_value(m["name"], n.start("v"), n.end("v"))
-            del before
     return out
 
 
