@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import paths, policy
+from cairn.runtime import small
 
 # Directories that are never looked into.
 BASE_IGNORED = [".git", "node_modules", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".venv", "venv", "env", "dist", "build", "coverage", ".coverage", ".next", ".nuxt", ".turbo", ".parcel-cache"]
@@ -151,7 +152,7 @@ def override_selection(selected: DataFrame, include: list[str], exclude: list[st
     """The paths of a diff (rel_path) with those put in by hand and without those put out."""
     spark = selected.sparkSession
     one = lambda xs: spark.createDataFrame([(x,) for x in xs], "rel_path string")
-    return selected.select("rel_path").unionByName(one(include)).distinct().join(F.broadcast(one(exclude)), "rel_path", "left_anti")  # as many as a user names
+    return selected.select("rel_path").unionByName(one(include)).distinct().join(small(one(exclude)), "rel_path", "left_anti")
 
 
 def not_looked_into(path: Column, rules: Rules | None = None, ignored: IgnoredDirs | None = None) -> Column:

@@ -140,8 +140,9 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 def join_counted(rows: DataFrame, values: DataFrame, keys: list[str], count: str) -> DataFrame:
     """rows joined with values on keys (which hold no nulls); count says how many rows have the value.
 
-    Values that are small as a whole are broadcast. Else a value that a third of all rows share isn't one task: hot values, at most HOT of them, are broadcast, and their
-    rows stay where they are; the others are joined by a shuffle in which no value has more than one in HOT rows.
+    Values that are small as a whole are broadcast. Else a value that a third of all rows share isn't one task: hot
+    values, at most HOT of them, are broadcast if their bytes allow it, and their rows stay where they are; the others
+    are joined by a shuffle in which no value has more than one in HOT rows.
     """
     size, total, most = values.agg(F.sum(_width(values)), F.sum(count), F.max(count)).first()
     if (size or 0) <= BROADCAST_BYTES:
@@ -149,7 +150,10 @@ def join_counted(rows: DataFrame, values: DataFrame, keys: list[str], count: str
     if most * HOT <= total:  # no value is hot
         return rows.join(values.drop(count), keys)
     hot = F.col(count) * HOT > total
-    heads = F.broadcast(values.where(hot).drop(count))
+    heads = values.where(hot).drop(count)
+    if (heads.agg(F.sum(_width(heads))).first()[0] or 0) > BROADCAST_BYTES:  # few, but too long
+        return rows.join(values.drop(count), keys)
+    heads = F.broadcast(heads)
     cold = rows.join(F.broadcast(values.where(hot).select(*keys)), keys, "left_anti").join(values.where(~hot).drop(count), keys)
     return rows.join(heads, keys).unionByName(cold)
 

@@ -208,7 +208,7 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 def test_hot_values_are_joined_without_one_task(spark, monkeypatch):
     from cairn import runtime
 
-    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 1000)
     monkeypatch.setattr(runtime, "HOT", 4)
     rows = spark.range(300).selectExpr("id", "if(id % 2 = 0, 'hot', cast(id AS string)) AS k")
     values = rows.groupBy("k").count().withColumnRenamed("count", "n").withColumn("v", F.col("k")).where("k <> '5'")
