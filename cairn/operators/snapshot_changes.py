@@ -63,11 +63,16 @@ def complete_headers(headers: DataFrame, files: DataFrame) -> DataFrame:
 _BLOCK = ["series", "block"]
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """rows (series, block, key, first, had) with ordinal: had where a key has one, else the next of its block, in the order of first and key."""
+def _numbered(rows: DataFrame, bases: DataFrame | None) -> DataFrame:
+    """rows (series, block, key, first, had) with ordinal: had where a key has one, else the next of its block, in the order of first and key.
+
+    bases: series, block, base, the first free number of each block; None if no key has a number yet.
+    """
+    if bases is None:
+        return rows.withColumn("ordinal", (F.dense_rank().over(Window.partitionBy(*_BLOCK).orderBy("first", "key")) - 1).cast("long"))
     rank = F.dense_rank().over(Window.partitionBy(*_BLOCK, F.col("had").isNull()).orderBy("first", "key")) - 1
-    base = F.coalesce(F.max("had").over(Window.partitionBy(*_BLOCK)) + 1, F.lit(0))
-    return rows.withColumn("ordinal", F.coalesce("had", base + rank).cast("long"))
+    rows = rows.withColumn("rank", rank).join(bases, _BLOCK, "left")
+    return rows.withColumn("ordinal", F.coalesce("had", F.coalesce("base", F.lit(0)) + F.col("rank")).cast("long")).drop("rank", "base")
 
 
 def snapshot_changes(headers: DataFrame, files: DataFrame, path: str | None = None) -> DataFrame:
@@ -93,6 +98,7 @@ def snapshot_changes(headers: DataFrame, files: DataFrame, path: str | None = No
 def _changes(rows: DataFrame, head: DataFrame, path: str | None) -> DataFrame:
     block = _BLOCK
     known = kept(rows.sparkSession, path, _ORDINALS) if path else None
+    bases = None
     if known is not None:
         # A series keeps the number of blocks that it was given when it was first seen.
         given = known.groupBy("project_id", "branch").agg(F.max("blocks").alias("given"))
@@ -102,16 +108,18 @@ def _changes(rows: DataFrame, head: DataFrame, path: str | None) -> DataFrame:
     placed = join_counted(rows, head.select("series", "pos", "next_id", "blocks", "n", "id", F.col("id").alias("snapshot_id")), ["snapshot_id"], "n")
     placed = placed.withColumn("block", F.expr("pmod(xxhash64(key), blocks)").cast("int")).drop("blocks", "snapshot_id").withColumn("had", F.lit(None).cast("long"))
     if known is not None:
-        # Keys that are known come along as rows without a place, so no join is needed to find their ordinals.
-        placed = placed.unionByName(known, allowMissingColumns=True)
+        if not known.isEmpty():
+            # Keys that are known come along as rows without a place, so no join is needed to find their ordinals.
+            placed = placed.unionByName(known, allowMissingColumns=True)
+            bases = small(cut(known.groupBy(*_BLOCK).agg((F.max("had") + 1).alias("base"))))
         ever = placed.groupBy(*_BLOCK, "key").agg(F.min("pos").alias("first"), F.max("had").alias("had"))
-        added = _numbered(ever).where("had IS NULL").join(names, "series")
+        added = _numbered(ever, bases).where("had IS NULL").join(names, "series")
         # What is numbered below reads the ordinals as they were before this, and so agrees.
         added.select("project_id", "branch", "blocks", "block", "key", "ordinal").write.mode("append").parquet(path)
     once = placed.repartition(*_BLOCK).groupBy(*_BLOCK, "key", "pos").agg(*(F.max(c).alias(c) for c in ("id", "next_id", "digest", "bytes", "lines", "had")))
     by_key = Window.partitionBy(*_BLOCK, "key")
     seen = once.withColumns({"first": F.min("pos").over(by_key), "had": F.max("had").over(by_key)})
-    numbered = _numbered(seen).where("pos IS NOT NULL").drop("first", "had")
+    numbered = _numbered(seen, bases).where("pos IS NOT NULL").drop("first", "had")
 
     bit = (F.col("ordinal") % 64).cast("int")
     numbered = numbered.withColumn("word", F.floor(F.col("ordinal") / 64).cast("int")).withColumn("bit", bit)
