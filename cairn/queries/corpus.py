@@ -159,6 +159,12 @@ def scan_findings(spark: SparkSession, d: str) -> DataFrame:
     return findings.scan(_texts(spark, d, "rel_path", "text")).distinct()
 
 
+def scan_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Every finding without its message; those of sensitive files have line 0."""
+    found = findings.scan(_texts(spark, d, "rel_path", "text"))
+    return found.select("type", "severity", "confidence", "file", F.coalesce("line", F.lit(0)).alias("line"), "rule").distinct()
+
+
 def scan_summary(spark: SparkSession, d: str) -> DataFrame:
     return findings.summary(findings.scan(_texts(spark, d, "rel_path", "text")))
 
@@ -218,7 +224,7 @@ QUERIES = {
     "loc_counts": loc_counts, "code_metrics": code_metrics, "line_numbers": line_numbers, "todo_markers": todo_markers, "todo_by_kind": todo_by_kind,
     "secret_keyword_value": _matching(detect.VALUE), "secret_assignment": _matching(detect.ASSIGNMENT), "secret_mention": _matching(detect.MENTION), "secret_bearer": _matching(detect.BEARER),
     "private_key_headers": _matching(detect.ARMOR), "telegram_tokens": _matching(detect.TELEGRAM), "url_credentials": _matching(detect.URL_PASSWORD), "http_auth": _matching(detect.HTTP_AUTH),
-    "provider_signatures": provider_signatures, "entropy_tokens": entropy_tokens, "risky_code": risky_code, "secret_cascade": secret_cascade, "scan_findings": scan_findings,
+    "provider_signatures": provider_signatures, "entropy_tokens": entropy_tokens, "risky_code": risky_code, "secret_cascade": secret_cascade, "scan_findings": scan_findings, "scan_positions": scan_positions,
     "scan_summary": scan_summary, "fail_on_gate": fail_on_gate, "earlier_finding_kinds": earlier_finding_kinds, "allowlist_screen": allowlist_screen,
     "redact_lines": redact_lines, "stable_labels": stable_labels, "placeholder_counts": placeholder_counts,
 }
@@ -342,6 +348,11 @@ _SCANNED = (
 
 ORACLE = {
     "secret_cascade": _CASCADE + "SELECT s.rule AS rule, s.confidence AS confidence, count(*) AS lines FROM cs WHERE s IS NOT NULL GROUP BY 1, 2",
+    "scan_positions": _SCANNED
+    + rf""", sh AS (SELECT doc_id, '.\' || replace(rel_path, '/', '\') AS file FROM documents), al2 AS (
+      SELECT 'sensitive_file' AS type, CASE WHEN starts_with(n, '.env') OR e IN ('key', 'pem', 'p12', 'pfx') THEN 'critical' ELSE 'high' END AS severity, 'high' AS confidence, doc_id, 0 AS line, 'sensitive_file' AS rule FROM ne WHERE n IN {_in(policy.SENSITIVE_NAMES)} OR e IN {_in(policy.SENSITIVE_SUFFIXES)} OR (starts_with(n, '.env') AND NOT (ends_with(n, '.example') OR ends_with(n, '.sample')))
+      UNION ALL SELECT 'potential_secret', s.confidence, s.confidence, cs.doc_id, line, s.rule FROM cs SEMI JOIN tx ON tx.doc_id = cs.doc_id WHERE s IS NOT NULL UNION ALL SELECT 'risky_code', severity, 'medium', r.doc_id, line, rule FROM ({_RISKY_ROWS}) r SEMI JOIN tx ON tx.doc_id = r.doc_id)
+      SELECT DISTINCT type, severity, confidence, file, CAST(line AS INT) AS line, rule FROM al2 JOIN sh ON sh.doc_id = al2.doc_id""",
     "scan_summary": _SCANNED + "SELECT count(*) FILTER (type = 'sensitive_file') AS sensitive_file, count(*) FILTER (type = 'potential_secret') AS potential_secret, count(*) FILTER (type = 'risky_code') AS risky_code, count(*) FILTER (severity = 'critical') AS critical FROM al",
     "fail_on_gate": _SCANNED + "SELECT count(*) FILTER (severity IN ('critical', 'high')) AS gating, count(*) FILTER (severity IN ('critical', 'high')) > 0 AS failed FROM al",
     "inv_by_extension": _FILES + _BY.format(key="ek", name="extension"),
