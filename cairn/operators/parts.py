@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import sizes
+from cairn.runtime import arrow_map
 from cairn.runtime import cut as cut_table
 
 MIB = 1024 * 1024
@@ -88,6 +92,27 @@ def part_target(limit: int) -> int:
     return min(PART_TARGET, max(1, max(1, limit) - PART_RESERVE))
 
 
+def cut_sizes(sizes: np.ndarray, target: int, state: tuple[int, int, bool, bool]) -> tuple[np.ndarray, tuple[int, int, bool, bool]]:
+    """The part of each size, and the state after the last: part, what it holds, whether it is closed, whether it is the first and empty.
+
+    Cut by cut, not size by size: a part goes as far as the running sum allows, or to the first size of at least target.
+    """
+    part, held, full, fresh = state
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    large = np.flatnonzero(sizes >= target)
+    out, i = np.empty(len(sizes), dtype=np.int32), 0
+    while i < len(sizes):
+        if not fresh and (full or held + sizes[i] > target):
+            part, held = part + 1, 0
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + target - held, side="right")) - 1)
+        k = np.searchsorted(large, i)
+        if k < len(large) and large[k] < j:
+            j = int(large[k]) + 1
+        out[i:j] = part
+        held, full, fresh, i = held + int(upto[j] - upto[i]), bool(sizes[j - 1] >= target), False, j
+    return out, (part, held, full, fresh)
+
+
 def archive_parts(entries: DataFrame, target: int) -> DataFrame:
     """entries with part: each group's files in path order, cut where the next would pass target; a file of at least target ends its part.
 
@@ -98,23 +123,23 @@ def archive_parts(entries: DataFrame, target: int) -> DataFrame:
     rows = entries.select("archive", "group", "path", F.col("size").cast("long"), F.lower("path").alias("_key"))
     ordered = rows.repartition("archive", "group").sortWithinPartitions("archive", "group", "_key", "path")
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, part, held, full = None, 0, 0, False
-        for frame in frames:
-            parts = []
-            for archive, group, size in zip(frame["archive"], frame["group"], frame["size"]):
-                if (archive, group) != key:
-                    key, part, held, full = (archive, group), 1, 0, False
-                elif full or held + size > target:
-                    part, held, full = part + 1, 0, False
-                held += size
-                full = size >= target
-                parts.append(part)
-            frame["group_part"] = parts
-            yield frame[["archive", "group", "path", "size", "group_part"]]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, (1, 0, False, True)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            archive, group = batch.column(0), batch.column(1)
+            sizes, out = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64), np.empty(batch.num_rows, dtype=np.int32)
+            differs = [pc.fill_null(pc.not_equal(c[1:], c[:-1]), True).to_numpy(zero_copy_only=False) for c in (archive, group)]
+            starts = [0, *(np.flatnonzero(differs[0] | differs[1]) + 1).tolist()]
+            for begin, end in zip(starts, [*starts[1:], batch.num_rows]):
+                this = (archive[begin].as_py(), group[begin].as_py())
+                out[begin:end], state = cut_sizes(sizes[begin:end], target, state if this == key else (1, 0, False, True))
+                key = this
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out)], names=["archive", "group", "path", "size", "group_part"])
 
     kinds = dict(rows.dtypes)
-    cut_rows = ordered.mapInPandas(cut, f"archive {kinds['archive']}, group string, path string, size bigint, group_part int")
+    cut_rows = arrow_map(ordered.select("archive", "group", "path", "size"), cut, f"archive {kinds['archive']}, group string, path string, size bigint, group_part int")
     # Parts are numbered through the groups of an archive: how many the groups before have.
     counts = cut_rows.groupBy("archive", "group").agg(F.max("group_part").alias("n"))
     before = Window.partitionBy("archive").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,6 +2,7 @@ import ast
 import json
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,3 +216,20 @@ def test_hot_values_are_joined_without_one_task(spark, monkeypatch):
     got = runtime.join_counted(rows, values, ["k"], "n")
     assert got.count() == 299 and got.where("k <> v").count() == 0
     assert runtime.join_counted(rows.where("id % 2 = 1"), values.where("k <> 'hot'"), ["k"], "n").count() == 149
+
+
+def test_cuts_by_running_sums_against_size_by_size():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        target, sizes = int(rng.integers(1, 40)), rng.integers(0, 45, int(rng.integers(0, 60)))
+        part, held, full, want = 0, 0, True, []
+        for x in sizes:
+            if full or held + x > target:
+                part, held = part + 1, 0
+            held, full = held + x, x >= target
+            want.append(part)
+        got, state = [], (1, 0, False, True)
+        for piece in np.array_split(sizes, int(rng.integers(1, 5))):
+            out, state = parts.cut_sizes(piece, target, state)
+            got += out.tolist()
+        assert got == want
